@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, urls
 
 
 def queries() -> dict:
     return {
+        "op2_url_filters": urls.op2_url_filters,
         "op4_mixing": mixing.op4_mixing,
         "op8_media_columns": media.op8_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL}
+    return {"op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL}
