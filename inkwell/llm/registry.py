@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, urls
+from . import media, mixing, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_url_filters": urls.op2_url_filters,
         "op4_mixing": mixing.op4_mixing,
         "op8_media_columns": media.op8_media_columns,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
