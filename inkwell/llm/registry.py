@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, toxicity, urls
+from . import media, mixing, quality, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op2_url_filters": urls.op2_url_filters,
         "op4_mixing": mixing.op4_mixing,
+        "op6_quality_rules": quality.op6_quality_rules,
         "op8_media_columns": media.op8_media_columns,
         "op9_toxicity": toxicity.op9_toxicity,
     }
