@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neardup, quality, toxicity, urls
+from . import linededup, media, mixing, neardup, quality, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op2_url_filters": urls.op2_url_filters,
         "op4_mixing": mixing.op4_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL}
+    return {"op1_line_dedup": linededup.SQL, "op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL}
