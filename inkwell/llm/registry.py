@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, neardup, quality, toxicity, urls
+from . import linededup, media, mixing, neardup, packing, quality, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_url_filters": urls.op2_url_filters,
         "op4_mixing": mixing.op4_mixing,
+        "op5_retrieval_packing": packing.op5_retrieval_packing,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_minmax_near_duplicates": neardup.op7_minmax_near_duplicates,
         "op8_media_columns": media.op8_media_columns,
