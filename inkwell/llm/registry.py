@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, neardup, packing, quality, toxicity, urls
+from . import html_text, linededup, media, mixing, neardup, packing, quality, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_url_filters": urls.op2_url_filters,
+        "op3_html_extraction": html_text.op3_html_extraction,
         "op4_mixing": mixing.op4_mixing,
         "op5_retrieval_packing": packing.op5_retrieval_packing,
         "op6_quality_rules": quality.op6_quality_rules,
