@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, linededup, media, mixing, neardup, packing, quality, toxicity, urls
+from . import html_text, linededup, media, mixing, neardup, packing, quality, toolcalls, toxicity, urls
 
 
 def queries() -> dict:
@@ -16,8 +16,9 @@ def queries() -> dict:
         "op7_minmax_near_duplicates": neardup.op7_minmax_near_duplicates,
         "op8_media_columns": media.op8_media_columns,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_tool_calls": toolcalls.op10_tool_calls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.SQL, "op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL}
+    return {"op1_line_dedup": linededup.SQL, "op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL, "op10_tool_calls": toolcalls.SQL}
