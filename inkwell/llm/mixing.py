@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, durable, salted_join, unit_hash
@@ -80,6 +80,16 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return outside.unionByName(inside).select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes it, in whole copies; those it doesn't take go."""
+    # Rows that share a doc_id are told apart by their text, and repeated rows count together.
+    mark = F.xxhash64("text", "source")
+    named = docs.withColumn("__name", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), mark.cast("string")))
+    taken = mixed(named, key="__name").withColumn("copies", F.floor(F.col("taken") / F.greatest(F.lit(1), F.col("size"))))
+    taken = taken.groupBy("__name").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    return named.dropDuplicates(["__name"]).join(taken, "__name").filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
