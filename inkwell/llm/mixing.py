@@ -86,8 +86,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = F.xxhash64("text", "source")
     named = docs.withColumn("__name", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), mark.cast("string")))
     taken = mixed(named, key="__name").withColumn("copies", F.floor(F.col("taken") / F.greatest(F.lit(1), F.col("size"))))
-    taken = taken.groupBy("__name").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    return named.dropDuplicates(["__name"]).join(taken, "__name").filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    taken = taken.groupBy("__name").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    nth = F.row_number().over(Window.partitionBy("__name").orderBy("__name"))  # over the join's own partitions
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    rows = named.join(taken, "__name").withColumn("own", own).filter("own > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
