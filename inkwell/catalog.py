@@ -523,6 +523,5 @@ def stream_repeats(spark, sf_dir):
     folder = _folder(spark)
     events = samples.events(spark, sf_dir)
     events.write.parquet(f"{folder}/events")
-    name = f"repeats_{uuid.uuid4().hex}"
-    intake.repeats_sink(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), name, f"{folder}/state").awaitTermination()
-    return spark.table(f"global_temp.{name}")
+    intake.repeats_sink(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), f"{folder}/repeats", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/repeats")

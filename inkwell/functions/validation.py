@@ -31,7 +31,9 @@ def timestamp(raw: Column) -> Column:
 
 
 def timestamp_error(raw: Column, field: str) -> Column:
-    return F.when(raw.isNotNull() & timestamp(raw).isNull() & ~raw.rlike(r"(Z|[+-]\d\d(:?\d\d)?)$"), f"{field} needs a UTC offset").when(raw.isNotNull() & timestamp(raw).isNull(), f"{field} is not ISO-8601")
+    wrong = raw.isNotNull() & timestamp(raw).isNull()
+    local = raw.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d(:\d\d){0,2}(\.\d+)?)?$")
+    return F.when(wrong & local, f"{field} needs a UTC offset").when(wrong, f"{field} is not ISO-8601")
 
 
 def _member(c: Column, allowed: tuple[str, ...], field: str) -> Column:

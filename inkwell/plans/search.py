@@ -54,7 +54,8 @@ def excerpts(picked: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFr
     """picked rows with heading_path and excerpt: a fragment where keywords match, else the chunk's head; clipped."""
     rows = picked.join(queries.select("query_id", "project", "query"), "query_id").join(chunks.select("project", *KEY, "heading_path", "content"), ["project", *KEY])
     wanted = rows.withColumn("terms", tokenize(F.col("query"))).withColumn("full", search_text(F.col("heading_path"), F.col("content")))
-    shape = picked.select(*picked.columns).schema.add("heading_path", "string").add("excerpt", "string")
+    names = list(picked.columns)
+    shape = picked.select(*names).schema.add("heading_path", "string").add("excerpt", "string")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -63,9 +64,9 @@ def excerpts(picked: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFr
                 found = set(terms) & set(re.findall(r"[^\W_]+", full.lower()))
                 part = fragment(full, found) if found else content
                 out.append(part if len(part) <= EXCERPT_MAX else part[: EXCERPT_MAX - 1] + "…")
-            yield f.assign(excerpt=out)[[*picked.columns, "heading_path", "excerpt"]]
+            yield f.assign(excerpt=out)[[*names, "heading_path", "excerpt"]]
 
-    return wanted.select(*picked.columns, "heading_path", "content", "full", "terms").mapInPandas(task, shape)
+    return wanted.select(*names, "heading_path", "content", "full", "terms").mapInPandas(task, shape)
 
 
 def search_docs(queries: DataFrame, documents: DataFrame, chunks: DataFrame, tokens: DataFrame | None = None) -> DataFrame:

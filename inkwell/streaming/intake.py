@@ -33,11 +33,11 @@ def repeat_counts(events: DataFrame) -> DataFrame:
     return events.filter("root_cause is not null").groupBy("project", "module", "root_cause").agg(F.count(F.lit(1)).alias("n"))
 
 
-def repeats_sink(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The causes that have recurred so far, as the table `name` in memory."""
+def repeats_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The causes that have recurred so far, as a table that each batch replaces."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.filter(F.col("n") >= REPEAT_MIN).createOrReplaceGlobalTempView(name)
+        batch.filter(F.col("n") >= REPEAT_MIN).write.mode("overwrite").parquet(path)
 
     return repeat_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
