@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from .plans import ledger, search
 from .schemas import CHUNKS, DOCUMENTS, POOL
 from .sources import corpus, samples
 from .sources import ledger as sinks
+from .sources.shared import shared_folder
 from .streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,16 +41,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors see; a local one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}"
-
-
 DOCS, MD, EVENTS = (samples.sql(c, t) for c, t in ((samples.DOCUMENTS, "documents"), (samples.MARKDOWN, "documents"), (samples.EVENTS, "events")))
 EV = f"WITH e AS (SELECT *, occurred_at + to_seconds(seconds) AS resolved_at FROM ({EVENTS}))"
 
@@ -158,7 +147,6 @@ def _embed(texts: list[str]) -> list[list[float]]:
 @_register()
 def ingest(spark, sf_dir):
     """A first run over the Markdown corpus with back-fill: counters and status of each project."""
-    _folder(spark)
     docs = samples.markdown(spark, sf_dir)
     raw = docs.select("project", "path", F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
     listing = docs.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact"))
@@ -399,7 +387,6 @@ def proposals(spark, sf_dir):
 
 @_register(f"WITH {_LINES} SELECT project, count(*) AS chunks, CAST(count(*) AS BIGINT) AS filled FROM c GROUP BY project")
 def backfill(spark, sf_dir):
-    _folder(spark)
     filled, _ = ing.backfill_embeddings(samples.line_chunks(spark, sf_dir).select("project", "repo", "path", "chunk_idx", "heading_path", "content", "embedding"), _embed)
     return filled.groupBy("project").agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("filled"))
 
@@ -441,7 +428,6 @@ def broken_links(spark, sf_dir):
 @_register("WITH RECURSIVE r AS (SELECT 64 AS id UNION SELECT x FROM (SELECT id * 2 AS x FROM r UNION SELECT id + 64 FROM r) WHERE x < (SELECT count(*) FROM documents)) SELECT 'docs/' || doc_id || '.md' AS path FROM documents WHERE doc_id NOT IN (SELECT id FROM r)")
 def orphans(spark, sf_dir):
     """Reached from document 64 by links that lead 64 further or to the double."""
-    _folder(spark)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.concat(F.lit("[a]("), (F.col("doc_id") + 64).cast("string"), F.lit(".md) ![b](../docs/"), (F.col("doc_id") * 2).cast("string"), F.lit(".md#x)"))
     return audit.orphans(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text")), "docs/64.md")
@@ -497,7 +483,7 @@ def path_parity(spark, sf_dir):
 
 @_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM e GROUP BY project")
 def backup_roundtrip(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     sinks.append(samples.events(spark, sf_dir), f"{folder}/events")
     sinks.backup_events(spark.read.parquet(f"{folder}/events"), f"{folder}/backup")
     sinks.restore_events(spark, f"{folder}/backup", f"{folder}/restored")
@@ -511,7 +497,7 @@ def _submitted_lines(spark, sf_dir):
 
 @_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) FILTER (id % 50 <> 0) AS accepted, count(*) FILTER (id % 50 = 0) AS rejected FROM e GROUP BY project")
 def stream_intake(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     _submitted_lines(spark, sf_dir).write.text(f"{folder}/in")
     intake.intake(sinks.stream_events(spark, f"{folder}/in"), f"{folder}/accepted", f"{folder}/rejected", f"{folder}/state").awaitTermination()
     n = lambda kind: spark.read.parquet(f"{folder}/{kind}").groupBy("project").agg(F.count(F.lit(1)).alias(kind))
@@ -520,7 +506,7 @@ def stream_intake(spark, sf_dir):
 
 @_register(f"{_REPEATS} SELECT * FROM n")
 def stream_repeats(spark, sf_dir):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     events = samples.events(spark, sf_dir)
     events.write.parquet(f"{folder}/events")
     intake.repeats_sink(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), f"{folder}/repeats", f"{folder}/state").awaitTermination()

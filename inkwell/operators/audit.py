@@ -12,6 +12,7 @@ from ..functions.markdown import has_open_fence, prose
 from ..functions.text import front_matter
 from ..schemas import DOC_TYPES, STATUSES
 from ..sources.corpus import in_index_paths
+from ..sources.shared import held
 
 
 def front_matter_problems(docs: DataFrame) -> DataFrame:
@@ -50,14 +51,15 @@ def broken_links(docs: DataFrame) -> DataFrame:
 
 
 def orphans(docs: DataFrame, start: str = "README.md") -> DataFrame:
-    """Paths that no chain of links reaches from `start`. One join a step; each step's frontier is checkpointed."""
-    edges = links(docs).distinct().checkpoint()
-    seen = docs.filter(F.col("path") == start).select("path").distinct().checkpoint()
+    """Paths that no chain of links reaches from `start`. One join a step; each step's frontier is a table of its own."""
+    edges = held(links(docs).distinct())
+    seen = docs.filter(F.col("path") == start).select("path").distinct()
+    seen = held(seen)
     frontier = seen
     while not frontier.isEmpty():
         ahead = edges.join(frontier.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
-        frontier = ahead.join(seen, "path", "left_anti").checkpoint()
-        seen = seen.unionByName(frontier).checkpoint()
+        frontier = held(ahead.join(seen, "path", "left_anti"))
+        seen = held(seen.unionByName(frontier))
     return docs.select("path").join(seen, "path", "left_anti")
 
 

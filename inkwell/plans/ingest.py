@@ -15,6 +15,7 @@ from ..functions.validation import closed_set_error
 from ..operators.changes import changes, deletable, run_counters
 from ..schemas import DOC_TYPES, RULES_VERSION, STATUSES
 from ..sources.corpus import classify_listing
+from ..sources.shared import held
 
 KEY = ["project", "repo", "path"]
 
@@ -81,14 +82,14 @@ def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_ch
     wanted = texts.filter("error is null").join(change.filter("change in ('new', 'changed', 'rules_stale')"), ["project", "path"])
     parsed = derive_meta(wanted.join(parse_documents(wanted), ["project", "path"]))
     bad_value = F.coalesce(closed_set_error(F.col("doc_type"), DOC_TYPES, "doc_type"), closed_set_error(F.col("status"), STATUSES, "status"))
-    parsed = parsed.withColumn("bad", bad_value).checkpoint()
+    parsed = held(parsed.withColumn("bad", bad_value))
 
     problems = texts.filter("error is not null").select("project", "path", "error").unionByName(parsed.filter("bad is not null").select("project", "path", F.col("bad").alias("error")))
     # The failing path of a project is its first by bytes: a small aggregate.
     first = problems.groupBy("project").agg(F.min(F.struct("path", "error")).alias("p")).select("project", F.col("p.path").alias("bad_path"), F.concat_ws(": ", "p.path", "p.error").alias("error"))
     empty = raw.select("project").unionByName(stored_docs.select("project")).unionByName(listing.select("project")).distinct()
     empty = empty.join(named.filter("outcome = 'indexed'").select("project").distinct(), "project", "left_anti").select("project", F.lit("").alias("bad_path"), F.lit("no Markdown was found").alias("error"))
-    failed = first.join(empty.select("project"), "project", "left_anti").unionByName(empty).checkpoint()
+    failed = held(first.join(empty.select("project"), "project", "left_anti").unionByName(empty))
 
     usable = parsed.join(failed.select("project", "bad_path"), "project", "left").filter(F.col("bad_path").isNull() | (F.col("path") < F.col("bad_path")))
     now = F.current_timestamp()
@@ -102,10 +103,11 @@ def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_ch
     fresh = usable.select("project", F.lit("").alias("repo"), "path", F.explode("chunks").alias("c")).select("project", "repo", "path", "c.chunk_idx", "c.heading_path", "c.content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("token_count"))
 
     keep = named.filter("outcome = 'indexed' or exact").select("project", "path")
-    gone = deletable(stored_docs, keep, skipped.filter("reason = 'symlink'").select("project", "path")).join(failed.select("project"), "project", "left_anti").select(*KEY).checkpoint()
-    touched = rebuilt.select(*KEY).unionByName(gone)
-    documents = stored_docs.join(touched, KEY, "left_anti").unionByName(rebuilt).checkpoint()
-    out_chunks = stored_chunks.join(touched, KEY, "left_anti").unionByName(fresh).checkpoint()
+    gone = held(deletable(stored_docs, keep, skipped.filter("reason = 'symlink'").select("project", "path")).join(failed.select("project"), "project", "left_anti").select(*KEY))
+    rebuilt = held(rebuilt)
+    touched = held(rebuilt.select(*KEY).unionByName(gone))
+    documents = held(stored_docs.join(touched, KEY, "left_anti").unionByName(rebuilt))
+    out_chunks = held(stored_chunks.join(touched, KEY, "left_anti").unionByName(fresh))
 
     applied = change.filter("change <> 'deleted'").join(failed.select("project", "bad_path"), "project", "left").filter(F.col("bad_path").isNull() | (F.col("path") < F.col("bad_path"))).select("project", "path", "change")
     counted = applied.unionByName(gone.select("project", "path", F.lit("deleted").alias("change")))
@@ -137,7 +139,7 @@ def backfill_embeddings(chunks_: DataFrame, embedder: Callable[[list[str]], list
             yield f.assign(embedding=vectors)[columns]
 
     lacking = chunks_.filter("embedding is null").withColumn("__text", search_text(F.col("heading_path"), F.col("content")))
-    filled = chunks_.filter("embedding is not null").unionByName(lacking.mapInPandas(task, shape)).checkpoint()
+    filled = held(chunks_.filter("embedding is not null").unionByName(lacking.mapInPandas(task, shape)))
     return filled, filled.filter("embedding is null").groupBy("project").agg(F.count(F.lit(1)).alias("missing"))
 
 
