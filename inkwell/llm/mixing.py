@@ -31,8 +31,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     everything = Window.partitionBy()
     facts = facts.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
     facts = facts.withColumn("level", F.col("left") / F.sum("weight").over(after))
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
-    target = F.when(F.col("level") * F.col("weight") > F.col("cap"), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight")))
+    # The first source in that order that its share doesn't lift over its cap: all before it are capped, none after it.
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.row_number().over(by_ratio).alias("nth"), "level"))
+    facts = facts.withColumn("fits", fits).withColumn("chosen", F.min("fits").over(everything)["level"])
+    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("chosen") * F.col("weight"), F.col("cap").cast("double")))
     return facts.select("source", "source_size", "size_gain", target.cast("double").alias("target"))
 
 
@@ -112,9 +114,10 @@ WITH RECURSIVE docs AS (
     CAST(sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_after FROM facts
 ), levels AS (
   SELECT *, rest_of_all / weight_after AS level FROM ordered
+), fits AS (
+  SELECT l.level, abs(sum(least(CAST(3 * f.source_size AS DOUBLE), l.level * f.weight)) - sum(f.source_size)) AS off FROM levels l, facts f WHERE l.level >= 0 GROUP BY l.level
 ), targets AS (
-  SELECT *, CASE WHEN level * weight > 3 * source_size THEN CAST(3 * source_size AS DOUBLE)
-    ELSE least(CAST(3 * source_size AS DOUBLE), coalesce(min(CASE WHEN level * weight <= 3 * source_size THEN level END) OVER (), 0.0) * weight) END AS target FROM levels
+  SELECT *, least(CAST(3 * source_size AS DOUBLE), (SELECT arg_min(level, off) FROM fits) * weight) AS target FROM levels
 ), parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM targets
 ), rests AS (
