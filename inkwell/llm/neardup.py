@@ -18,10 +18,10 @@ SHINGLE, PERCENT = 5, 75
 #: Permutations and bands. Each permutation gives its minimum and its maximum, so a band of two permutations has four
 #: values: texts at a similarity of 0.75 meet in one of 32 bands but for 5 in a million.
 PERMUTATIONS, BANDS = 64, 32
+#: Rounds of pivots, the first pivots' second one included, before the exact rest.
+ROUNDS = 4
 #: Slots of the frequency sketch by which the exact rest orders shingles (4 MB, whatever the input).
 SLOTS = 1 << 20
-#: Words whose hashes a task remembers.
-CACHE = 500_000
 
 _rng = np.random.default_rng(75)
 _STEP = _rng.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,33 +37,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes; remembers words within bounds."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        # bytes.lower and bytes.split touch A-Z and ASCII white space only, as the words are defined.
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        try:
-            h = np.fromiter([known[w] for w in words], np.uint64, len(words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter([known[w] for w in words], np.uint64, len(words))
-        if len(h) < SHINGLE:
-            return _mix(np.array([(h * _STEP[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
-        n = len(h) - SHINGLE + 1
-        total = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            total += h[k : k + n] * _STEP[k]
-        return np.unique(_mix(total))
+def shingle(text: bytes | None) -> np.ndarray:
+    """A text's sorted distinct 64-bit shingle hashes."""
+    # bytes.lower and bytes.split touch A-Z and ASCII white space only, as the words are defined.
+    words = (text or b"").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    if not words:
+        return h
+    if len(h) < SHINGLE:
+        return _mix(np.array([(h * _STEP[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
+    n = len(h) - SHINGLE + 1
+    total = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        total += h[k : k + n] * _STEP[k]
+    return np.unique(_mix(total))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def min_max_bands(shingles: np.ndarray) -> np.ndarray:
@@ -82,8 +76,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     shape = docs.select("key").schema.add("n_shingles", "long").add("cls", "binary").add("bands", ArrayType(LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, names, bands = [], [], []
             for raw in batch.column(1).to_pylist():
                 s = shingle(raw)
@@ -103,8 +96,7 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = docs.join(wanted, docs["key"].eqNullSafe(wanted["wanted_key"])).select("cls", "raw")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             # Where documents share an id, only the one with the class's set is its text.
             right = [xxhash.xxh3_128_digest(shingle(raw).tobytes()) == cls for cls, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             yield batch.filter(pa.array(right, pa.bool_()))
@@ -118,9 +110,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = pairs.join(first, "a").join(second, "b").select("a", "b", "raw_a", "raw_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         last: dict[bytes, np.ndarray] = {}  # a pivot's pairs come one after another
-        for batch in batches:
+        for batch in slices(batches):
             a, b, raw_a, raw_b = [c.to_pylist() for c in batch.columns]
             linked = []
             for i in range(len(a)):
@@ -146,14 +137,18 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         work = durable(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if work.isEmpty():
             return labels
-        hook = work.groupBy("a").agg(F.min("b").alias("to"))
-        # A root hooked to one that is hooked itself goes two steps at once.
-        further = hook.toDF("to", "next")
-        hook = durable(hook.join(further, "to", "left").select(F.col("a").alias("root"), F.coalesce("next", "to").alias("to")))
+        hook = durable(work.groupBy("a").agg(F.min("b").alias("to")))
+        while True:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
+            further = hook.join(hook.toDF("to", "next"), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
+            further = durable(further)
+            hook = further.select("a", "to")
+            if further.filter("more").isEmpty():
+                break
+        hook = hook.withColumnRenamed("a", "root")
         moved = labels.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         fresh = hook.select(F.col("root").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti")
         labels = durable(moved.unionByName(fresh))
-        x, y = hook.toDF("a", "to_a"), hook.toDF("b", "to_b")
+        x, y = hook.select("root", "to").toDF("a", "to_a"), hook.select("root", "to").toDF("b", "to_b")
         work = work.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
 
 
@@ -161,8 +156,8 @@ def _sketch(texts: DataFrame) -> np.ndarray:
     """How many of the texts have a shingle of each slot: SLOTS counts, whatever the input."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts = Shingler(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in slices(batches):
             for raw in batch.column(0).to_pylist():
                 np.add.at(counts, shingle(raw) % np.uint64(SLOTS), 1)
         slots = np.flatnonzero(counts > 0)
@@ -184,8 +179,7 @@ def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     counts = _sketch(texts)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             nodes, hashes, sizes, places = [], [], [], []
             for node, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 s = shingle(raw)
@@ -211,9 +205,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """key, n_shingles, component_id (the smallest key reachable over links) and kept of every row of docs.
 
     Rows with the same shingle set are one class. Classes that share a band are compared with the bucket's first
-    class: at first each with one such pivot, then with those of its other buckets that are still in another
-    component. Buckets in which several components remain go to an exact prefix join of all their classes, so no
-    bucket is compared pair by pair and no link between found candidates is left out.
+    class: at first each with one such pivot, then with the pivots of its other buckets that are still in another
+    component, then with other pivots. Buckets in which several components remain go to an exact prefix join of all
+    their classes, so no bucket is compared pair by pair and no link between found candidates is left out.
 
     Null and wordless texts have no shingles and are linked with nothing; their component is their own key. Repeated
     rows are links of similarity 1; rows with one key and different texts count as different documents. A null key is
@@ -238,17 +232,26 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def rooted(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(labels.toDF(column, out), column, "left").withColumn(out, F.coalesce(out, column))
 
-    rest = rooted(rooted(near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "a", "ra"), "b", "rb")
-    rest = durable(rest.filter("ra != rb").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = merge_components(labels, _confirmed(rest, texts))
+    for n in range(ROUNDS):
+        # Buckets that still hold several components get another pivot each time.
+        spans = rooted(members, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        still = members.join(spans.select("band"), "band", "left_semi")
+        if n:
+            turn = still.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(n))).alias("pivot"))
+            still = still.select("cls", "band").join(turn, "band")
+        pairs = still.filter(F.col("cls") != F.col("pivot")).select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
+        pairs = rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b")
+        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        labels = merge_components(labels, _confirmed(pairs, texts))
+        tried = tried.unionByName(pairs)
 
     spans = rooted(members, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_classes = durable(members.join(spans.select("band"), "band", "left_semi").select("cls").distinct())
     if not open_classes.isEmpty():
         pairs = _rare_prefix_pairs(texts.join(open_classes, "cls", "left_semi"), labels)
-        done = tried.unionByName(rest)
-        done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = durable(pairs.join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             labels = merge_components(labels, _confirmed(pairs, texts))
