@@ -71,19 +71,22 @@ def line_templates(lines: DataFrame) -> DataFrame:
     the places of its fields; it counts where enough positions are constant. All sums are over distinct lines and
     combine before the shuffle, so a leaf or line of any size is dealt out.
     """
-    several = lambda lo="lo", hi="hi": F.col(lo) != F.col(hi)
+    several = F.col("lo") != F.col("hi")
     span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     distinct = lines.groupBy("leaf", "line").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("parts").alias("parts"))
     distinct = stored(distinct, "lines-distinct")
-    leaves = distinct.groupBy("leaf").agg(*span).filter(several()).select("leaf")
-    tokens = distinct.join(leaves, "leaf").select("leaf", "line", "lo", "hi", F.posexplode("parts").alias("at", "part"))
-    constant = tokens.groupBy("leaf", "at", "part").agg(*span).filter(several()).select("leaf", "at", "part", F.lit(1).alias("constant"))
-    marked = tokens.join(constant, ["leaf", "at", "part"], "left")
-    held = F.when(F.col("constant").isNotNull(), F.xxhash64("at", "part")).otherwise(F.xxhash64("at"))
+    leaves = distinct.groupBy("leaf").agg(*span).filter(several).select("leaf")
+    # Positions are many: they go on as one hash of leaf, place and value, and one that names the line.
+    at = distinct.join(leaves, "leaf").select(F.xxhash64("leaf", "line").alias("id"), "leaf", "lo", "hi", F.posexplode("parts").alias("at", "part"))
+    at = at.select(F.xxhash64("leaf", "at", "part").alias("value"), "id", "lo", "hi", "at")
+    constant = at.groupBy("value").agg(*span).filter(several).select("value", F.lit(1).alias("constant"))
+    marked = at.select("value", "id", "at").join(constant, "value", "left")
+    held = F.when(F.col("constant").isNotNull(), F.col("value")).otherwise(F.xxhash64("at"))
     # Hashes of positions are combined by xor, which needs no order.
-    named = marked.groupBy("leaf", "line").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count(F.lit(1)).alias("positions"), *span)
-    named = named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT)
-    first = named.groupBy("leaf", "template").agg(*span).filter(several()).select("leaf", "template", F.col("lo").alias("first"))
+    named = marked.groupBy("id").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count(F.lit(1)).alias("positions"))
+    named = named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT).select("id", "template")
+    named = distinct.select(F.xxhash64("leaf", "line").alias("id"), "leaf", "line", "lo", "hi").join(named, "id")
+    first = named.groupBy("leaf", "template").agg(*span).filter(several).select("leaf", "template", F.col("lo").alias("first"))
     return named.join(first, ["leaf", "template"]).select("leaf", "line", "first")
 
 
@@ -99,8 +102,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     mark = F.xxhash64(text)
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    lines = stored(_line_table(docs.select(ident.alias("key"), mark.alias("mark"), F.col(text).cast("binary").alias("raw"))), "lines")
-    found = line_templates(lines)
+    # Reading the texts twice costs less than holding every line's positions between.
+    lines = _line_table(docs.select(ident.alias("key"), mark.alias("mark"), F.col(text).cast("binary").alias("raw")))
+    found = line_templates(lines.select("key", "leaf", "line", "parts"))
     gone = lines.select("key", "mark", "no", "leaf", "line").join(found, ["leaf", "line"]).filter(F.col("key") != F.col("first"))
     # The same lines of one document, or of rows repeated, come once.
     gone = gone.groupBy(F.col("key").alias("__key"), F.col("mark").alias("__mark")).agg(F.collect_set("no").alias("__gone"))
