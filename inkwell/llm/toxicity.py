@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BUCKETS, GRAMS, DIM = 1 << 18, (3, 4, 5), 8
 #: Words in a window; a text's score is that of its worst window, so long texts hide nothing.
 WINDOW = 16
+#: Longer tokens (scripts without spaces, joined words) are read in pieces of PIECE characters, each sharing OVERLAP with
+#: the one before, so that every n-gram stands whole in a piece and a word in one isn't averaged away.
+LONG, PIECE, OVERLAP = 64, 16, 8
 #: n-grams in fewer training texts stay out of the model.
 MIN_TEXTS = 4
 #: Bounds of the training sample: rows in hash order, and their characters in all.
@@ -24,16 +27,31 @@ RATE, DECAY = 0.05, 2e-4
 #: Words whose scores a worker remembers, and texts scored at once.
 CACHE, TOGETHER = 700_000, 32
 _BASE = np.uint64(0x100000001B3)
-_POWERS = np.cumprod(np.full(66, 0xD6E8FEB86659FD93, np.uint64))
+_POWERS = np.cumprod(np.full(LONG + 2, 0xD6E8FEB86659FD93, np.uint64))
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&$~`-_/\\"
 
 
+def tokens(text: str | None) -> list[str]:
+    """The lower-cased text's tokens; the whole of a long one, in overlapping pieces."""
+    words = (text or "").lower().split()
+    if not words or len(max(words, key=len)) <= LONG:
+        return words
+    out: list[str] = []
+    for w in words:
+        if len(w) > LONG and len(inner := w.strip(_EDGE)) > LONG:
+            out += [inner[i : i + PIECE] for i in range(0, len(inner) - OVERLAP, PIECE - OVERLAP)]
+        else:
+            out.append(w)
+    return out
+
+
 def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Owner (index into words) and bucket of every n-gram of the lower-cased words within < and >, and of the whole words.
 
-    Code points are hashed by sums of powers, all words at once. Mere punctuation has no n-grams.
+    Code points are hashed by sums of powers, all words at once. Mere punctuation has no n-grams. Words (from tokens)
+    have at most LONG characters between punctuation.
     """
-    inner = [w.strip(_EDGE)[:64] for w in words]
+    inner = [w.strip(_EDGE) for w in words]
     sizes = np.array([len(w) + 2 if w else 0 for w in inner], np.int64)
     points = np.frombuffer("".join(f"<{w}>" for w in inner if w).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     points = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +92,14 @@ class Model:
         return sums / np.maximum(np.bincount(owner, minlength=len(tokens)), 1)
 
 
-def window_starts(n_words: int) -> np.ndarray:
-    return np.arange(0, max(n_words, 1), WINDOW)
+def window_counts(lengths: np.ndarray) -> np.ndarray:
+    """How many windows texts of so many words have: one at each word that a whole window follows, one at least."""
+    return np.maximum(lengths - WINDOW, 0) + 1
+
+
+def window_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return upto[starts + lengths] - upto[starts]
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
@@ -87,7 +111,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in (t or "").lower().split()] or [index.setdefault("", len(index))], np.int32) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in tokens(t)] or [index.setdefault("", len(index))], np.int32) for t in texts]
     owner, gram = gram_table(list(index))
     order = np.argsort(owner, kind="stable")
     gram, count = gram[order], np.bincount(owner, minlength=len(index))
@@ -109,10 +133,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
     counts = np.ones(len(words))  # a word right after itself counts once
     counts[1:] = words[1:] != words[:-1]
     counts[starts] = 1
-    win = np.concatenate([s + window_starts(n) for s, n in zip(starts, lengths, strict=True)])
-    n_win = -(-lengths // WINDOW)
-    win_doc = np.repeat(np.arange(len(docs)), n_win)
+    n_win = window_counts(lengths)
+    win_doc = np.repeat(np.arange(len(docs), dtype=np.int32), n_win)
     doc_win = np.concatenate([[0], np.cumsum(n_win)])[:-1]
+    win = np.arange(len(win_doc)) + (starts - doc_win)[win_doc]
     win_len = np.minimum(WINDOW, (starts + lengths)[win_doc] - win)
     divisor = np.maximum(win_len, WINDOW // 2)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
@@ -125,7 +149,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
         score = np.bincount(owner, (emb @ (out[:, 1] - out[:, 0]))[gram] / size, len(index))
         if lap:
             # Each text's worst windows; the steps of this lap choose among them.
-            mean = np.add.reduceat(score[words] * counts, win) / divisor
+            mean = window_sums(score[words] * counts, win, win_len) / divisor
             order = np.lexsort((-mean, win_doc))
             nth = np.arange(len(order)) - np.repeat(doc_win, n_win)
             at = np.sort(order[nth < WORST])
@@ -222,21 +246,22 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
         cache = _remembered(name)
 
         def logits(texts: list[str]) -> Iterator[float]:
-            tokens = [t.lower().split() if t else [] for t in texts]
-            if new := list(set().union(*tokens).difference(cache)):
+            split = [tokens(t) for t in texts]
+            if new := list(set().union(*split).difference(cache)):
                 if len(cache) > CACHE:
                     cache.clear()
-                    new = list(set().union(*tokens))
+                    new = list(set().union(*split))
                 cache.update(zip(new, model.words(new).tolist(), strict=True))
-            for own in tokens:
+            for own in split:
                 if not own:
                     yield model.bias
                     continue
                 scores = np.array([cache[t] for t in own])
-                scores[1:][scores[1:] == scores[:-1]] = 0.0  # a word right after itself counts once
-                starts = window_starts(len(own))
-                lengths = np.minimum(WINDOW, len(own) - starts)
-                yield float((np.add.reduceat(scores, starts) / np.maximum(lengths, WINDOW // 2)).max() * WINDOW) + model.bias
+                alike = np.flatnonzero(scores[1:] == scores[:-1]) + 1
+                scores[[i for i in alike.tolist() if own[i] == own[i - 1]]] = 0.0  # a word right after itself counts once
+                size = min(WINDOW, len(own))
+                sums = window_sums(scores, np.arange(window_counts(len(own))), size)
+                yield float(sums.max() / max(size, WINDOW // 2) * WINDOW) + model.bias
 
         for batch in batches:
             texts = batch.column(at).to_pylist()

@@ -245,3 +245,38 @@ def test_subword_table():
     owner, bucket = toxicity.gram_table(["ab", "...", "abc", "ab."])
     of = lambda i: sorted(bucket[owner == i].tolist())
     assert of(0) == of(3) and of(1) == [] and len(of(0)) == 4 and hashlib and len(toxicity.gram_table([])[0]) == 0
+
+
+def toxic_texts(seed, n=900):
+    rnd = random.Random(seed)
+    plain, bad = [f"{a}{b}{c}" for a in ("lo", "mi", "ta") for b in ("ra", "ne", "su") for c in ("n", "l", "k")], ["grubbish", "vilewort", "scoundrel"]
+    texts = [[rnd.choice(plain) for _ in range(rnd.randint(5, 120))] for _ in range(n)]
+    for own in texts[::4]:
+        own[rnd.randrange(len(own))] = rnd.choice(bad)
+    return texts, plain, bad, rnd
+
+
+def test_toxic_word_in_a_long_token(spark):
+    texts, plain, bad, rnd = toxic_texts(5)
+    model = toxicity.train([" ".join(t) for t in texts], [int(i % 4 == 0) for i in range(len(texts))])
+    rows = []
+    for i, joint in enumerate(["", "", ".", "_", "/"] * 4):
+        own = [rnd.choice(plain) for _ in range(400)]
+        rows += [(2 * i, joint.join(own)), (2 * i + 1, joint.join([*own[:300], bad[i % 3], *own[300:]]))]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs(spark, *rows), model).collect()}
+    assert all(got[2 * i] < 0.5 < got[2 * i + 1] for i in range(20))
+    pieces = toxicity.tokens("Ab " + "".join(map(chr, range(0x4E00, 0x4E00 + 1000))) + " ..." + "x" * 64 + "...")
+    assert pieces[0] == "ab" and pieces[-1] == "..." + "x" * 64 + "..." and max(map(len, pieces[1:-1])) <= 64
+    grams = {p[i : i + n] for p in pieces[1:-1] for n in toxicity.GRAMS for i in range(len(p) - n + 1)}
+    assert all("".join(map(chr, range(c, c + n))) in grams for n in toxicity.GRAMS for c in range(0x4E00, 0x4E00 + 1001 - n))
+
+
+def test_toxic_neighbours_anywhere(spark):
+    scores = np.zeros(toxicity.BUCKETS, np.float32)
+    for w in ("foul", "vile"):
+        scores[toxicity.gram_table([w])[1]] = 1.0
+    model = toxicity.Model(scores, -1.5)
+    # Two neighbours in every place, and different words of one score, which both count; a repeated word counts once.
+    rows = [(i, " ".join(["a"] * i + ["foul", "vile"] + ["a"] * (60 - i))) for i in range(61)] + [(100, "foul foul" + " a" * 60)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs(spark, *rows), model).collect()}
+    assert np.allclose([got[i] for i in range(61)], 1 / (1 + np.exp(-0.5))) and np.isclose(got[100], 1 / (1 + np.exp(0.5)))
