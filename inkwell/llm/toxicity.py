@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Hash buckets of the character n-grams, their lengths and the width of the embeddings.
 BUCKETS, GRAMS, DIM = 1 << 18, (3, 4, 5), 8
 #: Words in a window; a text's score is that of its worst window, so long texts hide nothing.
@@ -21,6 +23,8 @@ LONG, PIECE, OVERLAP = 64, 16, 8
 MIN_TEXTS = 4
 #: Bounds of the training sample: rows in hash order, and their characters in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 30_000_000
+#: Stretches, evenly spread, that a text gives to the sample where it is longer than its share.
+STRETCHES = 8
 #: Laps of training, steps in each; the worst windows of a text that a lap looks at.
 LAPS, STEPS, WORST = 14, 8, 3
 RATE, DECAY = 0.05, 2e-4
@@ -191,32 +195,56 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
     return Model(scores, float(bias[0]))
 
 
+def fair_share(sizes: list[int], total: int) -> int:
+    """The largest size to which texts can be cut so that they sum up to at most total; texts below it stay whole."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left -= n
+    return total
+
+
+def _thinned(text: Column, share: int) -> Column:
+    """text where it has at most share characters, else stretches from its start to its end that have as many in all."""
+    each = max((share - STRETCHES) // STRETCHES, 1)  # a line break follows each
+    gap = (F.length(text) - each) / (STRETCHES - 1)
+    parts = [F.substring(text, (F.floor(gap * i) + 1).cast("int"), F.lit(each)) for i in range(STRETCHES)]
+    return F.when(F.length(text) > share, F.concat_ws("\n", *parts)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from a bounded sample of labelled rows: the first `rows` by a hash of doc_id, up to `chars` characters.
+    """A model from a bounded sample of labelled rows: the first `rows` by a hash of doc_id, `chars` characters in all.
 
     docs: doc_id, text; labels: doc_id, toxic. Rows with crc32(doc_id as text) mod 5 = 0 are held out. Null labels and
-    ids are left out; repeated labels of an id count as its highest.
+    ids are left out; repeated labels of an id count as its highest. Every row stays in the sample: where the texts
+    exceed `chars`, the longest give evenly spread stretches in place of the whole, all of one size in sum. None where
+    no row or one class alone is labelled, or docs is empty; if no model results otherwise, ValueError is raised.
     """
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("n", F.length("text"))
-    # A window over at most `rows` documents; documents repeated under one id are taken once.
-    sample = sample.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"), F.max("n").alias("n"))
-    run = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sample = sample.withColumn("upto", F.sum(F.coalesce("n", F.lit(0))).over(run)).filter(F.col("upto") <= chars)
-    # The running sum has brought the sample into one partition; that task trains, so a lost executor is just a retry.
-    ordered = sample.select("text", "toxic", "upto").coalesce(1)
+    picked = durable(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).collect()  # at most `rows` numbers
+    share = fair_share([r["n"] or 0 for r in sizes], chars)
+    # Texts are cut before they move; documents repeated under one id are taken once.
+    sample = texts.groupBy("doc_id").agg(F.max(_thinned(F.col("text"), share)).alias("text"), F.max("toxic").alias("toxic"))
+    # One task has the bounded sample and trains, so a lost executor is just a retry.
+    ordered = sample.select("text", "toxic", F.xxhash64("doc_id"), "doc_id").coalesce(1)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        rows.sort(key=lambda r: r[2])
+        rows.sort(key=lambda r: r[2:])
         model = train([r[0] for r in rows], [r[1] for r in rows])
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias])], names=["scores", "bias"])
 
     got = ordered.mapInArrow(task, "scores binary, bias double").collect()
-    return Model(np.frombuffer(got[0]["scores"], np.float32), got[0]["bias"]) if got else None
+    if got:
+        return Model(np.frombuffer(got[0]["scores"], np.float32), got[0]["bias"])
+    if told.select("toxic").distinct().count() > 1 and not docs.isEmpty():
+        raise ValueError("labels of both classes exist, but the sample has not both; no model was trained")
+    return None
 
 
 _memory: dict[int, dict[str, float]] = {}

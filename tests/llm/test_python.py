@@ -280,3 +280,21 @@ def test_toxic_neighbours_anywhere(spark):
     rows = [(i, " ".join(["a"] * i + ["foul", "vile"] + ["a"] * (60 - i))) for i in range(61)] + [(100, "foul foul" + " a" * 60)]
     got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs(spark, *rows), model).collect()}
     assert np.allclose([got[i] for i in range(61)], 1 / (1 + np.exp(-0.5))) and np.isclose(got[100], 1 / (1 + np.exp(0.5)))
+
+
+def test_one_long_labelled_text(spark):
+    texts, *_ = toxic_texts(6)
+    chars = sum(len(" ".join(t)) for t in texts)
+    d = docs(spark, *[(i, " ".join(t)) for i, t in enumerate(texts)], *[(i, "lora mine tasul " * (chars // 10)) for i in range(1000, 1020)])
+    told = spark.createDataFrame([(i, int(i % 4 == 0 and i < 1000)) for i in [*range(len(texts)), *range(1000, 1020)]], "doc_id bigint, toxic int")
+    model = toxicity.fit(d, told, chars=chars)
+    held = {r["doc_id"]: r["score"] for r in toxicity.scored(d.filter("doc_id < 1000"), model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    assert np.mean([(s >= 0.5) == (i % 4 == 0) for i, s in held.items()]) > 0.95
+    with pytest.raises(ValueError):
+        toxicity.fit(d.filter("doc_id % 4 = 1"), told)
+    sizes = [5, 100, 0, 40, 1000]
+    assert toxicity.fair_share(sizes, 2000) >= 1000 and toxicity.fair_share([], 9) == 9
+    assert all(sum(min(n, s) for n in sizes) <= t < sum(min(n, s + 1) for n in sizes) for t in range(1, 1145) for s in [toxicity.fair_share(sizes, t)])
+    long = "".join(chr(0x4E00 + i) for i in range(5000))
+    cut = spark.createDataFrame([(long,), ("short",), (None,)], "t string").select(toxicity._thinned(F.col("t"), 800).alias("t")).collect()
+    assert len(cut[0]["t"]) <= 800 and cut[0]["t"][0] == long[0] and cut[0]["t"][-1] == long[-1] and (cut[1]["t"], cut[2]["t"]) == ("short", None)
