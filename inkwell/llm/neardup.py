@@ -72,13 +72,13 @@ def min_max_bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """key, n_shingles, cls (16 bytes that name the set; null for an empty one) and bands of docs (key, raw)."""
-    shape = docs.select("key").schema.add("n_shingles", "long").add("cls", "binary").add("bands", ArrayType(LongType()))
+    """Other columns, n_shingles, cls (16 bytes that name the set; null for an empty one) and bands of docs (.., raw last)."""
+    shape = docs.drop("raw").schema.add("n_shingles", "long").add("cls", "binary").add("bands", ArrayType(LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, names, bands = [], [], []
-            for raw in batch.column(1).to_pylist():
+            for raw in batch.column(batch.num_columns - 1).to_pylist():
                 s = shingle(raw)
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -86,7 +86,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], names=shape.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], names=shape.names)
 
     return docs.mapInArrow(task, shape)
 
@@ -213,7 +213,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows are links of similarity 1; rows with one key and different texts count as different documents. A null key is
     kept only where its whole component has none. An empty table gives an empty result; other columns are not looked at.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw"))
+    out = _components(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw")))
+    component = F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """n_shingles, cls, root (a class of the component), component_id and all columns but raw of docs (key, .., raw last)."""
     sigs = stored(_signatures(docs), "neardup-signatures")
     classes = sigs.filter(F.col("cls").isNotNull())
     first_keys = classes.groupBy("cls").agg(F.min("key").alias("first"))
@@ -222,7 +228,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     pivots = posts.groupBy("band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter(F.col("pivot") != F.col("last")).select("band", "pivot")
     members = stored(posts.join(pivots, "band"), "neardup-buckets")
     wanted = members.select("cls").distinct().join(first_keys, "cls").withColumnRenamed("first", "wanted_key")
-    texts = _class_texts(docs, wanted)
+    texts = _class_texts(docs.select("key", "raw"), wanted)
 
     labels = durable(texts.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0))
     near = members.filter(F.col("cls") != F.col("pivot"))
@@ -258,10 +264,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     grouped = first_keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("cls", "component_id")
-    out = sigs.select("key", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
+    named = grouped.join(least, "root").select("cls", "root", "component_id")
+    return sigs.drop("bands").join(named, "cls", "left")
 
 
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,10 +276,14 @@ def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays.
 
-    Rows repeated under that id and text stay once.
+    Of several texts under that id, or without one where the whole group has none, the one with the smallest hash
+    stays; rows repeated under id and text stay once. Texts are told apart by id and hash, as ids may be null or shared.
     """
-    kept = linked(docs).filter("kept and n_shingles > 0").select("doc_id").distinct()
+    mark = F.xxhash64("text")
+    groups = _components(docs.select(F.col("doc_id").alias("key"), mark.alias("mark"), F.col("text").cast("binary").alias("raw")))
+    groups = groups.filter("n_shingles > 0 and key <=> component_id")
+    kept = groups.groupBy("root").agg(F.min("mark").alias("mark"), F.first("key").alias("key"))
     same = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    whole = same.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    whole = same.join(kept, same["doc_id"].eqNullSafe(kept["key"]) & (mark == kept["mark"]), "left_semi").dropDuplicates(["doc_id", "text"])
     # Texts without words are linked with nothing and stay.
     return whole.unionByName(docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inkwell.llm import html_text, linededup, media, neardup, packing, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -170,6 +171,32 @@ def test_near_duplicates(spark):
     assert neardup.linked(d.limit(0)).count() == 0
 
 
+def test_stage_with_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(9)
+    base = [" ".join("".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(80)) for _ in range(8)]
+    rows = [(None, base[0]), (None, base[0]), (None, base[1] + " end"), (None, base[1]), (None, base[2]), (4, base[2] + " end")]  # no id at all; an id beats none
+    rows += [(5, base[3]), (5, base[4]), (2, base[4] + " end"), (6, base[3] + " end")]  # of two texts under 5 one is a near duplicate of 2
+    rows += [(7, base[5]), (7, base[5] + " end"), (7, base[5]), (8, base[6]), (8, base[7]), (None, None), (9, " "), (9, " ")]
+    d = docs(spark, *rows)
+    names = {t: k for k, b in enumerate(base) for t in (b, b + " end")}
+
+    def groups(found):  # ids and groups of the texts with words that stay
+        return sorted((i is None, i or 0, names[t]) for i, t in found if (t or "").strip())
+
+    # Brute force: of each group the smallest id, one text of it.
+    want = groups([min(((i, t) for i, t in rows if names.get(t) == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in range(8)])
+    out = [(r["doc_id"], r["text"]) for r in neardup.stage(spark, d, "").collect()]
+    assert groups(out) == want and len(set(out) - set(rows)) == 0
+    assert sum(not (t or "").strip() for _, t in out) == 3
+    # The whole pipeline over one source, where the mix takes every document once; without labels of both classes none is toxic.
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    by_id = lambda found: {r["doc_id"]: r["n"] for r in found.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    packed = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    words = [r for r in out if (r[1] or "").strip()]  # the mix takes no text without words
+    assert packed == by_id(packing.stage(spark, docs(spark, *words), "")) and packed[None] > 0
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(20)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
     labels = spark.createDataFrame([], "node binary, root binary")
