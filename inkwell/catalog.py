@@ -427,10 +427,10 @@ def broken_links(spark, sf_dir):
 
 @_register("WITH RECURSIVE r AS (SELECT 64 AS id UNION SELECT x FROM (SELECT id * 2 AS x FROM r UNION SELECT id + 64 FROM r) WHERE x < (SELECT count(*) FROM documents)) SELECT 'docs/' || doc_id || '.md' AS path FROM documents WHERE doc_id NOT IN (SELECT id FROM r)")
 def orphans(spark, sf_dir):
-    """Reached from document 64 by links that lead 64 further or to the double."""
+    """Reached from document 64 by links of the texts and, at their ends, links that lead 64 further or to the double."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.concat(F.lit("[a]("), (F.col("doc_id") + 64).cast("string"), F.lit(".md) ![b](../docs/"), (F.col("doc_id") * 2).cast("string"), F.lit(".md#x)"))
-    return audit.orphans(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text")), "docs/64.md")
+    added = F.concat(F.lit("[a]("), (F.col("doc_id") + 64).cast("string"), F.lit(".md) ![b](../docs/"), (F.col("doc_id") * 2).cast("string"), F.lit(".md#x)"))
+    return audit.orphans(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", "text", added).alias("text")), "docs/64.md")
 
 
 @_register("SELECT 'docs/' || doc_id || '.md' AS path FROM documents WHERE doc_id % 9 = 0 AND doc_id % 18 <> 0")
@@ -448,10 +448,11 @@ def phrase_scan(spark, sf_dir):
     "UNION ALL SELECT 'docs/' || doc_id || '.md', 'private key', '-----BEGIN R' FROM documents WHERE doc_id % 20 = 2 UNION ALL SELECT 'docs/' || doc_id || '.md', 'dsn', 'pg://user:se' FROM documents WHERE doc_id % 20 = 3"
 )
 def secret_scan(spark, sf_dir):
+    """The secrets of the texts and of the sample lines at their ends."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     k = F.col("doc_id") % 20
-    text = F.when(k == 1, "x sk-abcdefghijklmnop0 y").when(k == 2, "-----BEGIN RSA PRIVATE KEY-----").when(k == 3, "pg://user:secret@h").when(k == 4, "pg://user:***@h").when(k == 5, "pg://user:${PW}@h").otherwise("plain")
-    return audit.secrets(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text")))
+    added = F.when(k == 1, "x sk-abcdefghijklmnop0 y").when(k == 2, "-----BEGIN RSA PRIVATE KEY-----").when(k == 3, "pg://user:secret@h").when(k == 4, "pg://user:***@h").when(k == 5, "pg://user:${PW}@h").otherwise("plain")
+    return audit.secrets(d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", "text", added).alias("text")))
 
 
 @_register(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from inkwell import catalog
 from inkwell.operators import ranking
 from inkwell.plans import ingest as ing
 from inkwell.plans import search
@@ -89,3 +90,11 @@ def test_fragment():
     part = search.fragment(text, {"alpha", "beta"})
     assert "alpha beta" in part and len(part.split()) == 60
     assert search.fragment("", {"a"}) == ""
+
+
+def test_scans_read_the_texts(spark, tmp_path):
+    rows = [(64, "see [x](7.md)"), (7, "key sk-abcdefghijklmnopqrst in a text"), (9, None), (40, "plain")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in catalog.queries()["secret_scan"](spark, str(tmp_path)).collect()]
+    assert found == [("docs/7.md", "key", "sk-abcdefghi")]
+    assert sorted(r["path"] for r in catalog.queries()["orphans"](spark, str(tmp_path)).collect()) == ["docs/40.md", "docs/9.md"]
