@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +15,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def worker_held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one object; asking for another lets go of the one before."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the session names none, as in tests, a fresh local one is set once.
+    A session that names none gets a fresh local folder if it runs in one process, as in tests; a cluster's raises
+    ValueError, as a folder of one machine is lost to the others.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, worker_held
 
 #: Hash buckets of the character n-grams, their lengths and the width of the embeddings.
-BUCKETS, GRAMS, DIM = 1 << 18, (3, 4, 5), 8
+BUCKETS, GRAMS, DIM = 1 << 18, (4, 6, 8), 8
 #: Words in a window; a text's score is that of its worst window, so long texts hide nothing.
-WINDOW = 16
-#: Longer tokens (scripts without spaces, joined words) are read in pieces of PIECE characters, each sharing OVERLAP with
-#: the one before, so that every n-gram stands whole in a piece and a word in one isn't averaged away.
+WINDOW = 4
+#: Longer tokens (scripts without spaces, joined words) are read in pieces of PIECE characters, each sharing OVERLAP (as
+#: long as the longest n-gram) with the one before, so that every n-gram stands whole in a piece and a word in one isn't averaged away.
 LONG, PIECE, OVERLAP = 64, 16, 8
 #: n-grams in fewer training texts stay out of the model.
 MIN_TEXTS = 4
@@ -26,10 +26,14 @@ SAMPLE_ROWS, SAMPLE_CHARS = 6000, 30_000_000
 #: Stretches, evenly spread, that a text gives to the sample where it is longer than its share.
 STRETCHES = 8
 #: Laps of training, steps in each; the worst windows of a text that a lap looks at.
-LAPS, STEPS, WORST = 14, 8, 3
+LAPS, STEPS, WORST = 14, 16, 6
 RATE, DECAY = 0.05, 2e-4
+#: Standard errors beyond which an n-gram's log odds count in the choice of the first windows.
+SURE = 2.0
 #: Words whose scores a worker remembers, and texts scored at once.
-CACHE, TOGETHER = 700_000, 32
+CACHE, TOGETHER = 150_000, 32
+#: Words that training looks at together.
+WORDS = 50_000
 _BASE = np.uint64(0x100000001B3)
 _POWERS = np.cumprod(np.full(LONG + 2, 0xD6E8FEB86659FD93, np.uint64))
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&$~`-_/\\"
@@ -106,93 +110,149 @@ def window_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return upto[starts + lengths] - upto[starts]
 
 
+class Vocabulary:
+    """The distinct words of texts as lists of n-gram buckets, one after another, and the texts as numbers of words."""
+
+    def __init__(self, texts: list[str]) -> None:
+        index: dict[str, int] = {"": 0}
+        docs, chunk = [], []
+        grams, counts = [], [np.zeros(1, np.int32)]
+
+        def add() -> None:
+            owner, bucket = gram_table(chunk)
+            grams.append(bucket[np.argsort(owner, kind="stable")])
+            counts.append(np.bincount(owner, minlength=len(chunk)).astype(np.int32))
+            chunk.clear()
+
+        for text in texts:
+            own = tokens(text)
+            for w in own:
+                if w not in index:
+                    index[w] = len(index)
+                    chunk.append(w)
+            docs.append(np.array([index[w] for w in own] or [0], np.int32))
+            if len(chunk) >= WORDS:
+                add()
+        add()
+        self.words, self.lengths = np.concatenate(docs), np.array([len(d) for d in docs])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.grams, self.count = np.concatenate(grams), np.concatenate(counts)
+        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' buckets, one word after another, and how many each has."""
+        n = self.count[words]
+        ends = np.cumsum(n)
+        return self.grams[np.repeat(self.first[words] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+    def scores(self, buckets: np.ndarray) -> np.ndarray:
+        """Each word's mean over its n-grams, some words at a time."""
+        out = np.zeros(len(self.count), np.float32)
+        for at in range(0, len(out), WORDS):
+            n = self.count[at : at + WORDS]
+            part = self.grams[self.first[at] : self.first[at] + n.sum()]
+            out[at : at + WORDS] = np.bincount(np.repeat(np.arange(len(n)), n), buckets[part], len(n)) / np.maximum(n, 1)
+        return out
+
+
+def _log_odds(vocabulary: Vocabulary, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each bucket occurs, and its log odds between toxic and other texts in standard errors over SURE."""
+    seen = np.zeros((2, BUCKETS), np.int32)
+    for start, n, y in zip(vocabulary.starts, vocabulary.lengths, toxic, strict=True):
+        seen[int(y), np.unique(vocabulary.grams_of(np.unique(vocabulary.words[start : start + n]))[0])] += 1
+    n_bad = toxic.sum()
+    odds = np.log((seen[1] + 0.5) / (n_bad + 1)) - np.log((seen[0] + 0.5) / (len(toxic) - n_bad + 1))
+    z = odds / np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
+    return seen.sum(axis=0), np.maximum(z - SURE, 0).astype(np.float32)
+
+
+def _worst_windows(vocabulary: Vocabulary, score: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of each text's WORST windows with the highest sums, and their texts; some texts at a time."""
+    found, of = [], []
+    v, at = vocabulary, 0
+    while at < len(v.lengths):
+        to = at + max(1, int(np.searchsorted(np.cumsum(v.lengths[at:]), WORDS, "right")))
+        lengths, base = v.lengths[at:to], v.starts[at]
+        part = slice(base, base + lengths.sum())
+        n_win = window_counts(lengths)
+        doc = np.repeat(np.arange(at, to, dtype=np.int32), n_win)
+        first = np.cumsum(n_win) - n_win
+        win = np.arange(len(doc)) - np.repeat(first - (v.starts[at:to] - base), n_win)
+        sums = window_sums(score[v.words[part]] * counts[part], win, np.minimum(WINDOW, np.repeat(lengths, n_win)))
+        order = np.lexsort((-sums, doc))
+        nth = np.arange(len(order)) - np.repeat(first, n_win)
+        best = np.sort(order[nth < WORST])
+        found.append(win[best] + base)
+        of.append(doc[best])
+        at = to
+    return np.concatenate(found), np.concatenate(of)
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 1) -> Model | None:
-    """Embeddings and softmax fitted together by Adam on the worst window of each text; None if a class is missing.
+    """Embeddings and softmax fitted together by Adam on the worst windows of each text; None if a class is missing.
 
-    The first lap averages over whole texts, which tells the windows apart before the worst are chosen.
+    The first lap's windows are those with the highest log odds, later ones those that the model finds worst. n-grams
+    and windows are held as 32-bit numbers and looked at in parts, so memory stays a few times that of the texts.
     """
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in tokens(t)] or [index.setdefault("", len(index))], np.int32) for t in texts]
-    owner, gram = gram_table(list(index))
-    order = np.argsort(owner, kind="stable")
-    gram, count = gram[order], np.bincount(owner, minlength=len(index))
-    # Buckets in too few texts are dropped from every word.
-    first = np.concatenate([[0], np.cumsum(count)])
-    seen = np.zeros(BUCKETS, np.int32)
-    for d in docs:
-        seen[np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in np.unique(d)]))] += 1
-    known = (seen >= MIN_TEXTS)[gram]
-    owner = np.repeat(np.arange(len(index), dtype=np.int32), count)[known]
-    size = np.maximum(count, 1).astype(np.float32)[owner]
-    used, gram = np.unique(gram[known], return_inverse=True)
-    gram = gram.astype(np.int32)
+    v = Vocabulary(texts)
+    seen, odds = _log_odds(v, y)
+    used = np.flatnonzero(seen >= MIN_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    odds[seen < MIN_TEXTS] = 0
 
     rng = np.random.default_rng(seed)
-    words = np.concatenate(docs)
-    lengths = np.array([len(d) for d in docs])
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    counts = np.ones(len(words))  # a word right after itself counts once
-    counts[1:] = words[1:] != words[:-1]
-    counts[starts] = 1
-    n_win = window_counts(lengths)
-    win_doc = np.repeat(np.arange(len(docs), dtype=np.int32), n_win)
-    doc_win = np.concatenate([[0], np.cumsum(n_win)])[:-1]
-    win = np.arange(len(win_doc)) + (starts - doc_win)[win_doc]
-    win_len = np.minimum(WINDOW, (starts + lengths)[win_doc] - win)
-    divisor = np.maximum(win_len, WINDOW // 2)
+    counts = np.ones(len(v.words), np.float32)  # a word right after itself counts once
+    counts[1:] = v.words[1:] != v.words[:-1]
+    counts[v.starts] = 1
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     weight /= weight.sum()
 
-    emb, out, bias = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.3, (DIM, 2)), np.array([-2.0])
+    emb, out, bias = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.array([-2.0], np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, out, bias)]
     step = 0
-    for lap in range(LAPS):
-        score = np.bincount(owner, (emb @ (out[:, 1] - out[:, 0]))[gram] / size, len(index))
-        if lap:
-            # Each text's worst windows; the steps of this lap choose among them.
-            mean = window_sums(score[words] * counts, win, win_len) / divisor
-            order = np.lexsort((-mean, win_doc))
-            nth = np.arange(len(order)) - np.repeat(doc_win, n_win)
-            at = np.sort(order[nth < WORST])
-            parts, of_doc, per = at, win_doc[at], WINDOW / divisor[at]
-            flat = np.concatenate([np.arange(s, s + n) for s, n in zip(win[at], win_len[at], strict=True)])
-            part_len = win_len[at]
-        else:
-            parts, of_doc, per = np.arange(len(docs)), np.arange(len(docs)), WINDOW / lengths
-            flat, part_len = np.arange(len(words)), lengths
-        part_start = np.concatenate([[0], np.cumsum(part_len)])[:-1]
+    buckets = odds
+    for _ in range(LAPS):
+        win, of_doc = _worst_windows(v, v.scores(buckets), counts)
+        size = np.minimum(WINDOW, v.lengths[of_doc])
+        per = WINDOW / np.maximum(size, WINDOW // 2)
+        part_start = np.cumsum(size) - size
+        flat = np.repeat(win - part_start, size) + np.arange(size.sum())
         doc_start = np.flatnonzero(np.r_[True, of_doc[1:] != of_doc[:-1]])
-        local, token = np.unique(words[flat], return_inverse=True)
+        local, token = np.unique(v.words[flat], return_inverse=True)
         once = counts[flat]
-        place = np.full(len(index), -1)
-        place[local] = np.arange(len(local))
-        mine = place[owner] >= 0
-        l_owner, l_gram, l_size = place[owner[mine]], gram[mine], size[mine]
+        gram, n = v.grams_of(local)
+        gram, owner = place[gram], np.repeat(np.arange(len(local), dtype=np.int32), n)
+        share = np.repeat((1 / np.maximum(n, 1)).astype(np.float32), n)
+        known = gram >= 0
+        gram, owner, share = gram[known], owner[known], share[known]
         for _ in range(STEPS):
             step += 1
             side = out[:, 1] - out[:, 0]
-            score = np.bincount(l_owner, (emb @ side)[l_gram] / l_size, len(local))
+            score = np.bincount(owner, (emb @ side)[gram] * share, len(local))
             mean = np.add.reduceat(score[token] * once, part_start) * per
             best = np.maximum.reduceat(mean, doc_start)
-            top = np.flatnonzero(mean == np.repeat(best, np.diff(np.r_[doc_start, len(parts)])))
+            top = np.flatnonzero(mean == np.repeat(best, np.diff(np.r_[doc_start, len(win)])))
             top = top[np.r_[True, of_doc[top][1:] != of_doc[top][:-1]]]  # of equal windows the first
-            d_doc = (1 / (1 + np.exp(-np.clip(best + bias[0], -50, 50))) - y) * weight
-            d_part = np.zeros(len(parts))
-            d_part[top] = d_doc * per[top]
-            d_word = np.bincount(token, np.repeat(d_part, part_len) * once, len(local))
-            d_gram = np.bincount(l_gram, d_word[l_owner] / l_size, len(used))
+            # A toxic text has a toxic window; every window of another text isn't.
+            chance = 1 / (1 + np.exp(-np.clip(mean + bias[0], -50, 50)))
+            d_win = np.where(y[of_doc] == 1, 0.0, chance * weight[of_doc])
+            d_win[top] = (chance[top] - y[of_doc[top]]) * weight[of_doc[top]]
+            d_part = d_win * per
+            d_word = np.bincount(token, np.repeat(d_part, size) * once, len(local)).astype(np.float32)
+            d_gram = np.bincount(gram, d_word[owner] * share, len(used)).astype(np.float32)
             d_side = emb.T @ d_gram
-            grads = (d_gram[:, None] * side + DECAY * emb / len(y) ** 0.5, np.stack([-d_side, d_side], axis=1) + DECAY * out, np.array([d_doc.sum()]))
-            for p, g, (m, v) in zip((emb, out, bias), grads, moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    scores = np.zeros(BUCKETS, np.float32)
-    scores[used] = emb @ (out[:, 1] - out[:, 0])
-    return Model(scores, float(bias[0]))
+            grads = (d_gram[:, None] * side + np.float32(DECAY / len(y) ** 0.5) * emb, np.stack([-d_side, d_side], axis=1) + np.float32(DECAY) * out, np.array([d_win.sum()], np.float32))
+            for p, g, (m, s) in zip((emb, out, bias), grads, moments, strict=True):
+                m += np.float32(0.1) * (g - m)
+                s += np.float32(0.01) * (g * g - s)
+                p -= np.float32(RATE / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+        buckets = np.zeros(BUCKETS, np.float32)
+        buckets[used] = emb @ (out[:, 1] - out[:, 0])
+    return Model(buckets, float(bias[0]))
 
 
 def fair_share(sizes: list[int], total: int) -> int:
@@ -247,17 +307,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
     return None
 
 
-_memory: dict[int, dict[str, float]] = {}
-
-
-def _remembered(name: int) -> dict[str, float]:
-    """The worker's word scores of one model."""
-    if name not in _memory:
-        _memory.clear()
-        _memory[name] = {}
-    return _memory[name]
-
-
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a score in 0..1: the sigmoid of the worst window of the whole text.
 
@@ -271,7 +320,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
     name = None if model is None else hash((model.bias, model.scores.tobytes()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _remembered(name)
+        cache = worker_held(("toxicity", name), dict)
 
         def logits(texts: list[str]) -> Iterator[float]:
             split = [tokens(t) for t in texts]
@@ -304,11 +353,11 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's toxicity by a model of its own labelled rows that aren't held out."""
+    """Every document's toxicity by a model of the labelled rows that aren't held out; rows without an id never are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = scored(docs, model)
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -271,7 +271,8 @@ def test_toxicity(spark):
 def test_subword_table():
     owner, bucket = toxicity.gram_table(["ab", "...", "abc", "ab."])
     of = lambda i: sorted(bucket[owner == i].tolist())
-    assert of(0) == of(3) and of(1) == [] and len(of(0)) == 4 and hashlib and len(toxicity.gram_table([])[0]) == 0
+    grams = sum(max(0, len("<ab>") - n + 1) for n in toxicity.GRAMS)
+    assert of(0) == of(3) and of(1) == [] and len(of(0)) == grams + 1 and hashlib and len(toxicity.gram_table([])[0]) == 0
 
 
 def toxic_texts(seed, n=900):
@@ -309,6 +310,26 @@ def test_toxic_neighbours_anywhere(spark):
     assert np.allclose([got[i] for i in range(61)], 1 / (1 + np.exp(-0.5))) and np.isclose(got[100], 1 / (1 + np.exp(0.5)))
 
 
+def test_scores_equal_a_plain_computation(spark):
+    texts, plain, bad, rnd = toxic_texts(11, 300)
+    model = toxicity.train([" ".join(t) for t in texts], [int(i % 4 == 0) for i in range(len(texts))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts[:60])] + [(60, "lora"), (61, "... !!"), (62, ""), (63, None), (64, "lora lora mine"), (65, "LORA, (mine)")]
+
+    def word(w):
+        buckets = toxicity.gram_table([w])[1]
+        return sum(float(model.scores[b]) for b in buckets) / len(buckets) if len(buckets) else 0.0
+
+    def plain_score(text):
+        words = (text or "").lower().split()
+        each = [0.0 if i and w == words[i - 1] else word(w) for i, w in enumerate(words)]
+        n = min(len(words), toxicity.WINDOW)
+        best = max((sum(each[i : i + n]) / max(n, toxicity.WINDOW // 2) * toxicity.WINDOW for i in range(len(words) - n + 1)), default=0.0) if words else 0.0
+        return 1 / (1 + np.exp(-(best + model.bias)))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs(spark, *rows), model).collect()}
+    assert len(got) == len(rows) and all(np.isclose(got[i], plain_score(t), atol=1e-5) for i, t in rows)
+
+
 def test_one_long_labelled_text(spark):
     texts, *_ = toxic_texts(6)
     chars = sum(len(" ".join(t)) for t in texts)
