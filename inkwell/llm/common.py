@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, in every operator here: a run without ASCII white space.
@@ -48,6 +48,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_count(df: DataFrame, such: Column | None = None) -> tuple[DataFrame, int]:
+    """durable(df), and how many of its rows are `such`, counted on the way; after a lost executor it may be more."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1) if such is None else F.when(such, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder, read again.
 

@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import durable, stored
+from .common import durable, durable_count, stored
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
 #: Permutations and bands. Each permutation gives its minimum and its maximum, so a band of two permutations has four
 #: values: texts at a similarity of 0.75 meet in one of 32 bands but for 5 in a million.
 PERMUTATIONS, BANDS = 64, 32
-#: Rounds of pivots, the first pivots' second one included, before the exact rest.
-ROUNDS = 4
-#: Slots of the frequency sketch by which the exact rest orders shingles (4 MB, whatever the input).
+#: Parts over which a pivot's pairs are dealt.
+SALTS = 32
+#: Slots of the frequency sketch by which the exact rest orders shingles (1 MB, whatever the input).
 SLOTS = 1 << 20
 
 _rng = np.random.default_rng(75)
@@ -92,37 +92,36 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, raw: a text for each wanted class (cls, key: a document that has it)."""
-    rows = docs.join(wanted, docs["key"].eqNullSafe(wanted["wanted_key"])).select("cls", "raw")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            # Where documents share an id, only the one with the class's set is its text.
-            right = [xxhash.xxh3_128_digest(shingle(raw).tobytes()) == cls for cls, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            yield batch.filter(pa.array(right, pa.bool_()))
-
-    return stored(rows.mapInArrow(task, rows.schema).dropDuplicates(["cls"]), "neardup-texts")
+    """cls, raw: a text for each wanted class (cls, id of a document that has it); docs: id, raw."""
+    return stored(docs.join(wanted, "id").select("cls", "raw").dropDuplicates(["cls"]), "neardup-texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those whose full sets are similar enough."""
-    first, second = texts.toDF("a", "raw_a"), texts.toDF("b", "raw_b")
-    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "raw_a", "raw_b")
+    """Of pairs (a, b) of classes those whose full sets are similar enough.
+
+    b's pairs are dealt over SALTS parts and b's text goes to each part once, ahead of them, so a task that streams
+    through its parts holds one b at a time and no text is repeated for each pair of a frequent b.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
+    firsts = dealt.select("b", "salt").distinct().join(texts.withColumnRenamed("cls", "b"), "b")
+    firsts = firsts.select("b", "salt", F.lit(None).cast("binary").alias("a"), "raw")
+    rows = dealt.join(texts.withColumnRenamed("cls", "a"), "a").select("b", "salt", "a", "raw").unionByName(firsts)
+    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[bytes, np.ndarray] = {}  # a pivot's pairs come one after another
+        y = np.zeros(0, np.uint64)
         for batch in slices(batches):
-            a, b, raw_a, raw_b = [c.to_pylist() for c in batch.columns]
+            b, _, a, raws = [c.to_pylist() for c in batch.columns]
             linked = []
-            for i in range(len(a)):
-                if b[i] not in last:
-                    last = {b[i]: shingle(raw_b[i])}
-                x, y = shingle(raw_a[i]), last[b[i]]
+            for other, raw in zip(a, raws, strict=True):
+                x = shingle(raw)
+                if other is None:
+                    y = x
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                linked.append(other is not None and 100 * common >= PERCENT * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return durable(rows.mapInArrow(task, rows.select("a", "b").schema))
+    return durable(rows.mapInArrow(task, "a binary, b binary"))
 
 
 def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -134,16 +133,15 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = labels.toDF("a", "root_a"), labels.toDF("b", "root_b")
     work = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     while True:
-        work = durable(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if work.isEmpty():
+        work, n = durable_count(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not n:
             return labels
-        hook = durable(work.groupBy("a").agg(F.min("b").alias("to")))
-        while True:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
+        hook = work.groupBy("a").agg(F.min("b").alias("to"))
+        more = 1
+        while more:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
             further = hook.join(hook.toDF("to", "next"), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
-            further = durable(further)
+            further, more = durable_count(further, F.col("more"))
             hook = further.select("a", "to")
-            if further.filter("more").isEmpty():
-                break
         hook = hook.withColumnRenamed("a", "root")
         moved = labels.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         fresh = hook.select(F.col("root").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti")
@@ -153,7 +151,7 @@ def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _sketch(texts: DataFrame) -> np.ndarray:
-    """How many of the texts have a shingle of each slot: SLOTS counts, whatever the input."""
+    """How many of the texts have a shingle of each slot, roughly: SLOTS bytes, whatever the input."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
@@ -163,18 +161,21 @@ def _sketch(texts: DataFrame) -> np.ndarray:
         slots = np.flatnonzero(counts > 0)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots])], names=["slot", "n"])
 
-    rows = texts.select("raw").mapInArrow(task, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    counts = np.zeros(SLOTS, np.int64)
+    # As steps of a quarter of a doubling, which fit in a byte.
+    rows = texts.select("raw").mapInArrow(task, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    rows = rows.select(F.col("slot").cast("int"), F.round(F.log2("n") * 4).cast("int").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.uint8)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+    return counts
 
 
 def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs (a, b) of classes in different components that can be similar enough, for an exact rest.
 
-    Sets that similar share one of the first n - ceil(0.75 n) + 1 shingles in any common order. Rare ones come first,
-    so passages that many texts share seldom make pairs; a pair is kept where the shingles after the shared one
-    suffice.
+    Of two such sets, in any common order of shingles, one of the first n - ceil(t n) + 1 shingles of the larger is one
+    of the first n - ceil(2 t / (1 + t) n) + 1 of the smaller (t: the similarity, 0.75). Rare shingles come first, so
+    passages that many texts share are seldom among the smaller's; shingles that one component alone has are left out;
+    a pair is kept where the shingles from the shared one on suffice.
     """
     counts = _sketch(texts)
 
@@ -193,12 +194,17 @@ def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), *(pa.array(np.concatenate(c)) for c in (hashes, sizes, places))], names=["node", "h", "n", "at"])
 
     rows = texts.select("cls", "raw").mapInArrow(task, "node binary, h bigint, n bigint, at bigint")
-    rows = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    x, y = rows.toDF("a", "h", "na", "at_a", "ra"), rows.toDF("b", "h", "nb", "at_b", "rb")
-    both = 1 + F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) - 1
-    enough = both * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))
-    pairs = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough)
-    return pairs.select("a", "b").distinct()
+    rows = rows.join(labels, "node", "left").select("node", "h", "n", "at", F.coalesce("root", "node").alias("root"))
+    rows = stored(rows, "neardup-prefixes")
+    several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
+    rows = rows.join(several, "h", "left_semi")
+    # The smaller's part: both * (100 + PERCENT) >= PERCENT * 2 n, where both is what it has from the shared shingle on.
+    small = rows.filter((F.col("n") - F.col("at")) * (100 + PERCENT) >= 2 * PERCENT * F.col("n"))
+    x, y = small.toDF("h", "a", "na", "at_a", "ra"), rows.toDF("h", "b", "nb", "at_b", "rb")
+    enough = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = x.join(y, "h").filter(smaller & (F.col("ra") != F.col("rb")) & enough)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,8 +212,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Rows with the same shingle set are one class. Classes that share a band are compared with the bucket's first
     class: at first each with one such pivot, then with the pivots of its other buckets that are still in another
-    component, then with other pivots. Buckets in which several components remain go to an exact prefix join of all
-    their classes, so no bucket is compared pair by pair and no link between found candidates is left out.
+    component. Buckets in which several components remain go to an exact prefix join of all their classes, so no
+    bucket is compared pair by pair and no link between found candidates is left out.
 
     Null and wordless texts have no shingles and are linked with nothing; their component is their own key. Repeated
     rows are links of similarity 1; rows with one key and different texts count as different documents. A null key is
@@ -220,52 +226,40 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def _components(docs: DataFrame) -> DataFrame:
     """n_shingles, cls, root (a class of the component), component_id and all columns but raw of docs (key, .., raw last)."""
-    sigs = stored(_signatures(docs), "neardup-signatures")
-    classes = sigs.filter(F.col("cls").isNotNull())
-    first_keys = classes.groupBy("cls").agg(F.min("key").alias("first"))
-    # Equal sets have equal bands, so a (cls, band) pair is needed once.
-    posts = classes.select("cls", F.explode("bands").alias("band")).distinct()
+    ident = F.xxhash64("key", "raw").alias("id")
+    sigs = stored(_signatures(docs.select(*docs.columns[:-1], ident, "raw")), "neardup-signatures")
+    # Equal sets have equal bands.
+    classes = sigs.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("first"), F.min("id").alias("id"), F.first("bands").alias("bands"))
+    posts = classes.select("cls", "id", F.explode("bands").alias("band"))
     pivots = posts.groupBy("band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter(F.col("pivot") != F.col("last")).select("band", "pivot")
     members = stored(posts.join(pivots, "band"), "neardup-buckets")
-    wanted = members.select("cls").distinct().join(first_keys, "cls").withColumnRenamed("first", "wanted_key")
-    texts = _class_texts(docs.select("key", "raw"), wanted)
+    texts = _class_texts(docs.select(ident, "raw"), members.select("cls", "id").distinct())
 
-    labels = durable(texts.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0))
+    labels = members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
     near = members.filter(F.col("cls") != F.col("pivot"))
-    tried = durable(near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b"))
+    tried = near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b")
     labels = merge_components(labels, _confirmed(tried, texts))
 
     def rooted(df: DataFrame, column: str, out: str) -> DataFrame:
         return df.join(labels.toDF(column, out), column, "left").withColumn(out, F.coalesce(out, column))
 
-    for n in range(ROUNDS):
-        # Buckets that still hold several components get another pivot each time.
-        spans = rooted(members, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        still = members.join(spans.select("band"), "band", "left_semi")
-        if n:
-            turn = still.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(n))).alias("pivot"))
-            still = still.select("cls", "band").join(turn, "band")
-        pairs = still.filter(F.col("cls") != F.col("pivot")).select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
-        pairs = rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b")
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
+    pairs = near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs, n = durable_count(rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b"))
+    if n:
         labels = merge_components(labels, _confirmed(pairs, texts))
-        tried = tried.unionByName(pairs)
-
-    spans = rooted(members, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    open_classes = durable(members.join(spans.select("band"), "band", "left_semi").select("cls").distinct())
-    if not open_classes.isEmpty():
-        pairs = _rare_prefix_pairs(texts.join(open_classes, "cls", "left_semi"), labels)
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = durable(pairs.join(done, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            labels = merge_components(labels, _confirmed(pairs, texts))
-
-    grouped = first_keys.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    spans = rooted(members.select("band", "cls"), "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    left, n = durable_count(members.join(spans.select("band"), "band", "left_semi").select("cls").distinct())
+    if n:
+        done = tried.unionByName(pairs)
+        rest, n = durable_count(_rare_prefix_pairs(texts.join(left, "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
+        if n:
+            labels = merge_components(labels, _confirmed(rest, texts))
+
+    grouped = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("cls", "root", "component_id")
-    return sigs.drop("bands").join(named, "cls", "left")
+    return sigs.drop("bands", "id").join(named, "cls", "left")
 
 
 def op7_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
