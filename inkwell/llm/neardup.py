@@ -18,6 +18,8 @@ SHINGLE, PERCENT = 5, 75
 #: Permutations and bands. Each permutation gives its minimum and its maximum, so a band of two permutations has four
 #: values: texts at a similarity of 0.75 meet in one of 32 bands but for 5 in a million.
 PERMUTATIONS, BANDS = 64, 32
+#: Rounds in which buckets that still hold several components get another pivot, before the exact rest.
+ROUNDS = 2
 #: Parts over which a pivot's pairs are dealt.
 SALTS = 32
 #: Slots of the frequency sketch by which the exact rest orders shingles (1 MB, whatever the input).
@@ -212,7 +214,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Rows with the same shingle set are one class. Classes that share a band are compared with the bucket's first
     class: at first each with one such pivot, then with the pivots of its other buckets that are still in another
-    component. Buckets in which several components remain go to an exact prefix join of all their classes, so no
+    component, then, where a bucket still holds several, with other pivots. Buckets in which several components remain go to an exact prefix join of all their classes, so no
     bucket is compared pair by pair and no link between found candidates is left out.
 
     Null and wordless texts have no shingles and are linked with nothing; their component is their own key. Repeated
@@ -248,10 +250,22 @@ def _components(docs: DataFrame) -> DataFrame:
     if n:
         labels = merge_components(labels, _confirmed(pairs, texts))
 
-    spans = rooted(members.select("band", "cls"), "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    left, n = durable_count(members.join(spans.select("band"), "band", "left_semi").select("cls").distinct())
+    def still_open() -> DataFrame:
+        spans = rooted(members.select("band", "cls"), "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        return members.join(spans.select("band"), "band", "left_semi").select("band", "cls")
+
+    done = tried.unionByName(pairs)
+    for turn in range(ROUNDS):
+        buckets = still_open()
+        other = buckets.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
+        fresh = buckets.join(other, "band").filter("cls != pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
+        fresh, n = durable_count(rooted(rooted(fresh, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b").join(done, ["a", "b"], "left_anti"))
+        if not n:
+            break
+        labels, done = merge_components(labels, _confirmed(fresh, texts)), done.unionByName(fresh)
+
+    left, n = durable_count(still_open().select("cls").distinct())
     if n:
-        done = tried.unionByName(pairs)
         rest, n = durable_count(_rare_prefix_pairs(texts.join(left, "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
         if n:
             labels = merge_components(labels, _confirmed(rest, texts))
