@@ -10,161 +10,302 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import stored
 
-#: Shorter lines are left alone: they recur by chance.
-MIN_TOKENS = 5
 #: Leading tokens that lead to a leaf, below the token count.
 LEADING = 3
-#: A line's tokens are compared in at most so many equal parts, its positions.
-POSITIONS = 16
-#: Least share of constant positions in a template, in per cent.
+#: Least share of constant positions in a template, in per cent of those without a digit.
 CONSTANT = 75
-_DIGIT = re.compile(rb"[0-9]")
+#: A sentence within a line is looked at by itself from so many tokens on; shorter ones recur by chance. Lines of any
+#: length are.
+SENTENCE = 8
+#: Bits of the filter that spares most lines outside shared leaves from being handed on token by token (2 MB, whatever
+#: the input; the join behind it is exact).
+FILTER = 1 << 24
+_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
+_PIECE = re.compile(rb".*?[.!?]+[\x20\t\x0b-\r]+|.+")
+_STOPS, _SPACE = b".!?", b" \t\x0b\x0c\r"
 
 
-def line_positions(line: bytes) -> tuple[int, int, list[int]] | None:
-    """Leaf, line hash and position hashes of a line; None for a short one. Tokens with a digit count as one field."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return None
-    if _DIGIT.search(line):
-        tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
-    leaf = xxhash.xxh64_intdigest(b"%d " % n + b" ".join(tokens[:LEADING]))
-    s = min(n, POSITIONS)
-    parts = [xxhash.xxh32_intdigest(b" ".join(tokens[k * n // s : (k + 1) * n // s])) for k in range(s)]
-    return leaf, xxhash.xxh64_intdigest(b" ".join(tokens)), parts
+def units(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and tokens of every line and every long enough sentence of lines with several; tokens with a digit are <*>.
+
+    A line is numbered before its sentences. What has no letter outside such tokens is no unit, but has its number.
+    """
+    no = 0
+    for line in text.split(b"\n"):
+        tokens = line.split()
+        if _DIGIT.search(line):
+            tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+            raw = line.split()
+        else:
+            raw = tokens
+        if tokens and _LETTER.search(b" ".join(tokens)):
+            yield no, tokens
+        no += 1
+        ends = [i for i, t in enumerate(raw, 1) if t[-1] in _STOPS]
+        if ends and (len(ends) > 1 or ends[0] < len(raw)):
+            if ends[-1] < len(raw):
+                ends.append(len(raw))
+            at = 0
+            for end in ends:
+                if end - at >= SENTENCE and _LETTER.search(b" ".join(tokens[at:end])):
+                    yield no, tokens[at:end]
+                no += 1
+                at = end
+
+
+def leaf_of(tokens: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
-    """key, mark, no, leaf, line, parts: a row for each long enough line of docs (key, mark, raw)."""
-    shape = docs.select("key", "mark").schema.add("no", "integer").add("leaf", "long").add("line", "long").add("parts", ArrayType(IntegerType()))
+def _lines(docs: DataFrame, leaves: bool) -> DataFrame:
+    """doc, key, no, line and, if asked for, leaf of every unit of docs (doc, key, raw)."""
+    shape = docs.select("doc", "key").schema.add("no", "integer").add("line", "long")
+    if leaves:
+        shape = shape.add("leaf", "long")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, leaf, line, parts, ends = [], [], [], [], [], [0]
+            row, no, line, leaf = [], [], [], []
             for r, raw in enumerate(batch.column(2).to_pylist()):
-                for i, text in enumerate((raw or b"").split(b"\n")):
-                    if found := line_positions(text):
-                        row.append(r)
-                        no.append(i)
-                        leaf.append(found[0])
-                        line.append(found[1])
-                        parts += found[2]
-                        ends.append(len(parts))
-            u64 = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(parts, np.uint32).view(np.int32)))
+                for i, tokens in units(raw or b""):
+                    row.append(r)
+                    no.append(i)
+                    line.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+                    if leaves:
+                        leaf.append(leaf_of(tokens))
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), u64(leaf), u64(line), lists], names=shape.names)
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), _longs(line)]
+            yield pa.RecordBatch.from_arrays([*columns, _longs(leaf)] if leaves else columns, names=shape.names)
 
     return docs.mapInArrow(task, shape)
 
 
-def line_templates(lines: DataFrame) -> DataFrame:
-    """leaf, line, first: for each line of a template that recurs across documents the first document that has it.
+def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """line, leaf, tokens (hashes, null for <*>) of the units of docs (raw) whose leaf's bit is set; mostly once a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            line, leaf, tokens, ends = [], [], [], [0]
+            for raw in batch.column(0).to_pylist():
+                for _, own in units(raw or b""):
+                    h = leaf_of(own)
+                    if bits[h % FILTER >> 3] >> (h & 7) & 1 and (name := xxhash.xxh64_intdigest(b" ".join(own))) not in seen:
+                        seen.add(name)
+                        line.append(name)
+                        leaf.append(h)
+                        tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own]
+                        ends.append(len(tokens))
+            if len(seen) > 500_000:
+                seen.clear()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int64()))
+            yield pa.RecordBatch.from_arrays([_longs(line), _longs(leaf), lists], names=["line", "leaf", "tokens"])
+
+    return docs.mapInArrow(task, "line bigint, leaf bigint, tokens array<bigint>")
+
+
+def _filter_of(leaves: DataFrame) -> np.ndarray:
+    """A bit for each leaf, as bytes; at most FILTER / 64 rows come to the driver."""
+    slot = F.pmod("leaf", F.lit(FILTER))  # what the leaf, unsigned, leaves modulo a power of two
+    words = leaves.select(F.shiftright(slot, 6).cast("int").alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER >> 6, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint8)
 
-    A leaf holds the lines of one token count and the same leading tokens. In a leaf of several documents, what stands
-    at a position in two or more of them is constant, anything else a variable field. A template is its constants and
-    the places of its fields; it counts where enough positions are constant. All sums are over distinct lines and
-    combine before the shuffle, so a leaf or line of any size is dealt out.
+
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """line, first: for each unit of a template that recurs across documents the first document that has it.
+
+    docs: doc, key, raw. A leaf holds the units of one token count and the same leading tokens. In a leaf of several
+    documents, what stands at a position in two or more of them is constant, anything else a variable field, as are
+    tokens with a digit. A template is its constants and the places of its fields; it counts where enough positions are
+    constant. All sums are over distinct units and combine before the shuffle, so a leaf or unit of any size is dealt
+    out. Only units that share a leaf with others, of other documents, are looked at token by token.
     """
     several = F.col("lo") != F.col("hi")
     span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    distinct = lines.groupBy("leaf", "line").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("parts").alias("parts"))
+    distinct = _lines(docs, True).groupBy("line", "leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     distinct = stored(distinct, "lines-distinct")
-    leaves = distinct.groupBy("leaf").agg(*span).filter(several).select("leaf")
-    # Positions are many: they go on as one hash of leaf, place and value, and one that names the line.
-    at = distinct.join(leaves, "leaf").select(F.xxhash64("leaf", "line").alias("id"), "leaf", "lo", "hi", F.posexplode("parts").alias("at", "part"))
-    at = at.select(F.xxhash64("leaf", "at", "part").alias("value"), "id", "lo", "hi", "at")
-    constant = at.groupBy("value").agg(*span).filter(several).select("value", F.lit(1).alias("constant"))
-    marked = at.select("value", "id", "at").join(constant, "value", "left")
+    leaves = stored(distinct.groupBy("leaf").agg(*span, F.count(F.lit(1)).alias("n")).filter(several & (F.col("n") > 1)).select("leaf"), "lines-leaves")
+    tokens = _tokens_in(docs.select("raw"), _filter_of(leaves)).dropDuplicates(["line"])
+    rows = distinct.join(leaves, "leaf", "left_semi").select("line", "lo", "hi").join(tokens, "line")
+    at = stored(rows.select("line", "leaf", "lo", "hi", F.posexplode("tokens").alias("at", "token")).withColumn("value", F.when(F.col("token").isNotNull(), F.xxhash64("leaf", "at", "token"))).drop("token"), "lines-positions")
+    constant = at.filter("value is not null").groupBy("value").agg(*span).filter(several).select("value", F.lit(1).alias("constant"))
+    marked = at.filter("value is not null").join(constant, "value", "left").unionByName(at.filter("value is null").withColumn("constant", F.lit(None).cast("int")))
     held = F.when(F.col("constant").isNotNull(), F.col("value")).otherwise(F.xxhash64("at"))
     # Hashes of positions are combined by xor, which needs no order.
-    named = marked.groupBy("id").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count(F.lit(1)).alias("positions"))
-    named = named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT).select("id", "template")
-    named = distinct.select(F.xxhash64("leaf", "line").alias("id"), "leaf", "line", "lo", "hi").join(named, "id")
+    named = marked.groupBy("line", "leaf").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count("value").alias("positions"), *span)
+    named = stored(named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT).drop("constants", "positions"), "lines-named")
     first = named.groupBy("leaf", "template").agg(*span).filter(several).select("leaf", "template", F.col("lo").alias("first"))
-    return named.join(first, ["leaf", "template"]).select("leaf", "line", "first")
+    alike = named.join(first, ["leaf", "template"]).select("line", "first")
+    # A unit that recurs as it is needs no look at its tokens; what resembles it may have come before it.
+    return distinct.filter(several).select("line", F.col("lo").alias("first")).unionByName(alike).groupBy("line").agg(F.min("first").alias("first"))
+
+
+def without(text: bytes, gone: set[int]) -> tuple[bytes, int, int]:
+    """The text without the numbered lines and sentences, and how many of either went.
+
+    A short sentence goes with its neighbours: where the nearest units on both sides of it go, or all units of its line.
+    """
+    out, no, n_lines, n_cut = [], 0, 0, 0
+    for line in text.split(b"\n"):
+        me, raw = no, line.split()
+        no += 1
+        ends = [i for i, t in enumerate(raw, 1) if t[-1] in _STOPS]
+        size = len(ends) + (not ends or ends[-1] < len(raw))
+        several = size > 1
+        cut = [s for s in range(size) if no + s in gone] if several else []
+        no += size if several else 0
+        if me in gone:
+            n_lines += 1
+            continue
+        if not cut:
+            out.append(line)
+            continue
+        bounds = [0, *ends, len(raw)][: size + 1]
+        unit = [b - a >= SENTENCE for a, b in zip(bounds, bounds[1:], strict=False)]
+        dead = [s in cut for s in range(size)]
+        big = [s for s in range(size) if unit[s]]
+        everything = all(dead[s] for s in big)
+        for s in range(size):
+            if not unit[s]:
+                left = next((dead[k] for k in reversed(big) if k < s), everything)
+                right = next((dead[k] for k in big if k > s), everything)
+                dead[s] = left and right
+        if all(dead):
+            n_lines += 1
+            continue
+        n_cut += sum(dead)
+        out.append(b"".join(p for p, d in zip(_PIECE.findall(line), dead, strict=True) if not d).rstrip(_SPACE))
+    return b"\n".join(out), n_lines, n_cut
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its text less the lines whose template an earlier document has; n_lines and n_dropped are added.
+    """docs with its text less the lines and sentences whose template an earlier document has.
 
-    Lines end at \\n. A recurring template stays in the document with the smallest key, where it was first; the others
-    lose it. Lines of fewer than MIN_TOKENS tokens and repetitions within one document are left alone. Null texts stay
-    null with n_lines 0, empty ones have one empty line; rows with a null key are one document, before all others;
-    repeated rows are treated alike; an empty table gives an empty result. Columns n_lines and n_dropped are replaced,
-    others stay.
+    Added are n_lines, n_dropped (lines that went) and n_cut (sentences that went from lines that stay). Lines end at
+    \\n, a line's sentences at a token with . ! or ? at its end. A recurring template stays in the document with the
+    smallest key, where it was first; the others lose it. Repetitions within one document, lines without a letter and
+    empty lines are left alone; a sentence within a line needs SENTENCE tokens, or goes with those around it.
+
+    key is an integer column (else ValueError). Null texts stay null with n_lines 0, empty ones have one empty line;
+    rows with a null key are one document, before all others (they share it with the least 64-bit key); repeated rows
+    are treated alike; an empty table gives an empty result. Columns named like those added are replaced, others stay.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    mark = F.xxhash64(text)
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be an integer column")
+    added = ("n_lines", "n_dropped", "n_cut")
+    keep = [c for c in docs.columns if c not in added]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    # Reading the texts twice costs less than holding every line's positions between.
-    lines = _line_table(docs.select(ident.alias("key"), mark.alias("mark"), F.col(text).cast("binary").alias("raw")))
-    found = line_templates(lines.select("key", "leaf", "line", "parts"))
-    gone = lines.select("key", "mark", "no", "leaf", "line").join(found, ["leaf", "line"]).filter(F.col("key") != F.col("first"))
+    rows = docs.select(F.xxhash64(ident, F.col(text)).alias("doc"), ident.alias("key"), F.col(text).cast("binary").alias("raw"))
+    # Reading the texts again costs less than holding every line between.
+    found = recurring_lines(rows)
+    gone = _lines(rows, False).join(found, "line").filter(F.col("key") != F.col("first"))
     # The same lines of one document, or of rows repeated, come once.
-    gone = gone.groupBy(F.col("key").alias("__key"), F.col("mark").alias("__mark")).agg(F.collect_set("no").alias("__gone"))
-    rows = docs.select(*keep).withColumns({"__k": ident, "__m": mark})
-    rows = rows.join(gone, (F.col("__k") == F.col("__key")) & (F.col("__m") == F.col("__mark")), "left")
-    split = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return rows.withColumns({
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left),
-        "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
-        "n_dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
-    }).select(*keep, "n_lines", "n_dropped")
+    gone = gone.groupBy("doc").agg(F.collect_set("no").alias("__gone"))
+    told = docs.select(*keep).withColumn("__doc", F.xxhash64(ident, F.col(text)))
+    told = told.join(gone, F.col("__doc") == F.col("doc"), "left").select(*keep, "__gone")
+    shape = docs.select(*keep).schema
+    for name in added:
+        shape = shape.add(name, "long")
+    at = keep.index(text)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for raw, own in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
+                n = 0 if raw is None else raw.count(b"\n") + 1
+                new, *less = without(raw, set(own)) if own else (raw, 0, 0)
+                texts.append(new)
+                counts.append((n, *less))
+            columns = [*batch.columns[: len(keep)], *(pa.array(list(c), pa.int64()) for c in zip(*counts, strict=True))] if counts else [*batch.columns[: len(keep)], *[pa.array([], pa.int64())] * 3]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=shape.names)
+
+    return told.mapInArrow(task, shape)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document less the lines whose template an earlier document has."""
+    """Every document less the lines and sentences whose template an earlier document has."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return deduplicated(docs).select("doc_id", "n_lines", "n_dropped", "n_cut", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents less recurring lines; those that consisted of such lines alone go."""
+    """Pipeline stage: documents less what recurs; those that consisted of it alone go."""
     out = deduplicated(docs)
-    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    changed = F.col("n_dropped") + F.col("n_cut") > 0
+    empty = changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 #: The same in DuckDB, with the strings themselves in place of hashes.
-SQL = r"""
+SQL = rf"""
 WITH cut AS (
   SELECT doc_id, string_split(text, chr(10)) AS a FROM documents
 ), lines AS (
   SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS no FROM cut
-), tokens AS (
-  SELECT doc_id, no, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines
-), long AS (
-  SELECT doc_id, no, t, [CAST(len(t) AS VARCHAR)] || t[1:3] AS leaf FROM tokens WHERE len(t) >= 5
+), split AS (
+  SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM lines
+), masked AS (
+  SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM split
+), words AS (
+  SELECT doc_id, no, unnest(raw) AS w, unnest(t) AS m, unnest(range(len(raw))) AS i FROM masked
+), ends AS (
+  SELECT *, regexp_matches(lag(w) OVER (PARTITION BY doc_id, no ORDER BY i), '[.!?]$') AS starts FROM words
+), sentences AS (
+  SELECT doc_id, no, s, list(m ORDER BY i) AS t FROM (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, no ORDER BY i) AS s FROM ends) GROUP BY ALL
+), several AS (
+  SELECT *, len(t) >= {SENTENCE} AS big FROM sentences WHERE (doc_id, no) IN (SELECT (doc_id, no) FROM sentences WHERE s > 0)
+), units AS (
+  SELECT doc_id, no, -1 AS s, t, [CAST(len(t) AS VARCHAR)] || t[1:{LEADING}] AS leaf FROM masked
+  UNION ALL SELECT doc_id, no, s, t, [CAST(len(t) AS VARCHAR)] || t[1:{LEADING}] FROM several WHERE big
+), lettered AS (
+  SELECT * FROM units WHERE regexp_matches(array_to_string(t, ' '), '[A-Za-z]|[^\x00-\x7F]')
 ), uniq AS (
-  SELECT leaf, t, min(doc_id) AS lo, max(doc_id) AS hi FROM long GROUP BY ALL
+  SELECT leaf, t, min(doc_id) AS lo, max(doc_id) AS hi FROM lettered GROUP BY ALL
 ), leaves AS (
   SELECT leaf FROM uniq GROUP BY leaf HAVING min(lo) <> max(hi)
-), open AS (
-  SELECT leaf, t, lo, hi, least(len(t), 16) AS s FROM uniq JOIN leaves USING (leaf)
 ), placed AS (
-  SELECT leaf, t, lo, hi, s, unnest(range(s)) AS k FROM open
-), parts AS (
-  SELECT leaf, t, lo, hi, s, k, array_to_string(t[CAST(k * len(t) // s + 1 AS INTEGER):CAST((k + 1) * len(t) // s AS INTEGER)], ' ') AS part FROM placed
+  SELECT leaf, t, lo, hi, unnest(t) AS part, unnest(range(len(t))) AS k FROM uniq JOIN leaves USING (leaf)
 ), constant AS (
-  SELECT leaf, k, part FROM parts GROUP BY ALL HAVING min(lo) <> max(hi)
+  SELECT leaf, k, part FROM placed WHERE part <> '<*>' GROUP BY ALL HAVING min(lo) <> max(hi)
 ), named AS (
   SELECT p.leaf, p.t, list(CASE WHEN c.part IS NULL THEN '' ELSE '=' || c.part END ORDER BY p.k) AS template, min(lo) AS lo, max(hi) AS hi
-  FROM parts p LEFT JOIN constant c ON p.leaf = c.leaf AND p.k = c.k AND p.part = c.part
-  GROUP BY p.leaf, p.t HAVING count(c.part) * 100 >= count(*) * 75
+  FROM placed p LEFT JOIN constant c ON p.leaf = c.leaf AND p.k = c.k AND p.part = c.part
+  GROUP BY p.leaf, p.t HAVING count(c.part) * 100 >= count(CASE WHEN p.part <> '<*>' THEN 1 END) * {CONSTANT}
 ), firsts AS (
   SELECT leaf, template, min(lo) AS first FROM named GROUP BY ALL HAVING min(lo) <> max(hi)
 ), gone AS (
-  SELECT DISTINCT doc_id, no FROM long JOIN named USING (leaf, t) JOIN firsts USING (leaf, template) WHERE doc_id <> first
+  SELECT DISTINCT doc_id, no, s FROM lettered JOIN named USING (leaf, t) JOIN firsts USING (leaf, template) WHERE doc_id <> first
+), flagged AS (
+  SELECT x.doc_id, x.no, x.s, big, g.s IS NOT NULL AS gone, CASE WHEN big THEN g.s IS NOT NULL END AS known FROM several x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.no = g.no AND x.s = g.s
+), judged AS (
+  SELECT *, coalesce(bool_and(known) OVER (PARTITION BY doc_id, no), false) AND bool_or(gone) OVER (PARTITION BY doc_id, no) AS everything,
+    last_value(known IGNORE NULLS) OVER (PARTITION BY doc_id, no ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    first_value(known IGNORE NULLS) OVER (PARTITION BY doc_id, no ORDER BY s ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+  FROM flagged
+), dead AS (
+  SELECT doc_id, no, s, CASE WHEN big THEN gone ELSE coalesce(before, everything) AND coalesce(after, everything) END AS dead FROM judged
+), edited AS (
+  SELECT doc_id, no, bool_and(dead) AS whole, count(CASE WHEN dead THEN 1 END) AS n_cut, list(dead ORDER BY s) AS flags FROM dead GROUP BY ALL HAVING bool_or(dead)
+), joined AS (
+  SELECT l.doc_id, l.no, g.no IS NOT NULL OR coalesce(e.whole, false) AS dropped, CASE WHEN g.no IS NULL AND NOT e.whole THEN e.n_cut ELSE 0 END AS n_cut,
+    CASE WHEN e.flags IS NULL THEN l.line ELSE regexp_replace(array_to_string(list_transform(list_filter(
+      list_zip(regexp_extract_all(l.line, '.*?[.!?]+[\x20\x09\x0B-\x0D]+|.+'), e.flags), lambda p: NOT p[2]), lambda p: p[1]), ''), '[\x20\x09\x0B-\x0D]+$', '') END AS line
+  FROM lines l LEFT JOIN (SELECT DISTINCT doc_id, no FROM gone WHERE s = -1) g ON l.doc_id = g.doc_id AND l.no = g.no LEFT JOIN edited e ON l.doc_id = e.doc_id AND l.no = e.no
 )
-SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.no) AS BIGINT) AS n_dropped,
-  coalesce(string_agg(CASE WHEN g.no IS NULL THEN l.line END, chr(10) ORDER BY l.no), '') AS text
-FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(CASE WHEN dropped THEN 1 END) AS BIGINT) AS n_dropped, CAST(sum(n_cut) AS BIGINT) AS n_cut,
+  coalesce(string_agg(CASE WHEN NOT dropped THEN line END, chr(10) ORDER BY no), '') AS text
+FROM joined GROUP BY doc_id
 """

@@ -32,13 +32,42 @@ def test_line_dedup(spark):
     assert len(out) == len(rows)
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in out}
     assert got[1] == (rows[0][1], 2, 0) and got[2] == ("other things stand here alone", 2, 1)
-    assert got[3] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == ("short\nshort", 2, 0) and got[6][2] == 0
+    assert got[3] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == ("short\nshort", 2, 0) and got[6] == ("", 1, 1)
     assert got[7][0] == shared and got[8] == ("intro to this piece of text", 2, 1) and got[9][2] == 0 and got[10] == ("", 1, 1) and got[None][2] == 0
     assert linededup.deduplicated(d.limit(0)).count() == 0
     left = linededup.stage(spark, docs(spark, *rows), "")
     assert left.columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ") and 10 not in {r["doc_id"] for r in left.collect()}
 
 
+def test_lines_of_any_length(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+    long = [word() for _ in range(200)]
+    fields = [[*long], [*long]]
+    for own in fields:  # five single fields far apart
+        for k in (20, 60, 100, 140, 180):
+            own[k] = word()
+    chinese = "".join(chr(0x4E00 + i) for i in range(300))
+    rows = [(1, " ".join(fields[0])), (2, " ".join(fields[1]) + "\nown"), (3, chinese), (4, "own " + word() + "\n" + chinese), (5, "All rights reserved."), (6, word() + "\nAll rights reserved."), (7, "12 34"), (8, "12 34"), (9, "---"), (10, "---\n\n")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.deduplicated(docs(spark, *rows)).collect()}
+    assert got[1][1] == 0 and got[2] == ("own", 1) and got[4] == (rows[3][1].split("\n")[0], 1) and got[6][1] == 1
+    assert all(got[i] == (dict(rows)[i], 0) for i in (3, 5, 7, 8, 9, 10))
+    with pytest.raises(ValueError):
+        linededup.deduplicated(docs(spark, *rows), key="lang")
+
+
+def test_passages_within_lines(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    passage = [sentence(12), sentence(2), sentence(30), sentence(9)]
+    own = [sentence(10) for _ in range(6)]
+    rows = [(1, f"{own[0]} {' '.join(passage)} {own[1]}"), (2, f"{own[2]} {own[3]}  {' '.join(passage)} Ho. {own[4]}\n{own[5]}"), (3, f"{passage[0]}\n{passage[2]} Ho ho!"), (4, " ".join(passage))]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"], r["n_cut"]) for r in linededup.deduplicated(docs(spark, *rows)).collect()}
+    assert got[1] == (rows[0][1], 0, 0) and got[2] == (f"{own[2]} {own[3]}  Ho. {own[4]}\n{own[5]}", 0, 4)
+    assert got[3] == ("", 2, 0) and got[4] == ("", 1, 0)
+
+
 # --- html ----------------------------------------------------------------------------------------------------------
 
 
