@@ -14,8 +14,6 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .common import stored
 
-#: Leading tokens that lead to a leaf, below the token count.
-LEADING = 3
 #: Least share of constant positions in a template, in per cent of those without a digit.
 CONSTANT = 75
 #: A sentence within a line is looked at by itself from so many tokens on; shorter ones recur by chance. Lines of any
@@ -26,39 +24,50 @@ SENTENCE = 8
 FILTER = 1 << 24
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
 _PIECE = re.compile(rb".*?[.!?]+[\x20\t\x0b-\r]+|.+")
-_STOPS, _SPACE = b".!?", b" \t\x0b\x0c\r"
+_SPACE = b" \t\x0b\x0c\r"
 
 
-def units(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and tokens of every line and every long enough sentence of lines with several; tokens with a digit are <*>.
+def sentences(line: bytes) -> list[bytes]:
+    """The sentences of a line whose tokens are divided by single blanks: each ends with a token that ends with . ! or ?."""
+    parts = [line]
+    for stop in (b". ", b"! ", b"? "):
+        if stop in line:
+            cut = [p.split(stop) for p in parts]
+            parts = [q for own in cut for q in (*[x + stop[:1] for x in own[:-1]], own[-1])]
+    return parts
 
-    A line is numbered before its sentences. What has no letter outside such tokens is no unit, but has its number.
+
+def masked(words: bytes) -> bytes:
+    """The words, those with a digit as <*>."""
+    return b" ".join(b"<*>" if _DIGIT.search(w) else w for w in words.split(b" ")) if _DIGIT.search(words) else words
+
+
+def units(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Number and masked tokens, divided by blanks, of every line and every long enough sentence of lines with several.
+
+    A line is numbered before its sentences. What has no letter outside masked tokens is no unit, but has its number.
     """
     no = 0
     for line in text.split(b"\n"):
-        tokens = line.split()
-        if _DIGIT.search(line):
-            tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
-            raw = line.split()
-        else:
-            raw = tokens
-        if tokens and _LETTER.search(b" ".join(tokens)):
-            yield no, tokens
+        line = b" ".join(line.split())
+        if line and _LETTER.search(own := masked(line)):
+            yield no, own
         no += 1
-        ends = [i for i, t in enumerate(raw, 1) if t[-1] in _STOPS]
-        if ends and (len(ends) > 1 or ends[0] < len(raw)):
-            if ends[-1] < len(raw):
-                ends.append(len(raw))
-            at = 0
-            for end in ends:
-                if end - at >= SENTENCE and _LETTER.search(b" ".join(tokens[at:end])):
-                    yield no, tokens[at:end]
-                no += 1
-                at = end
+        if len(parts := sentences(line)) > 1:
+            for k, part in enumerate(parts, no):
+                if part.count(b" ") >= SENTENCE - 1 and _LETTER.search(own := masked(part)):
+                    yield k, own
+            no += len(parts)
+
 
+def leaf_of(unit: bytes) -> int:
+    """The leaf of a unit: by its token count and its leading tokens, as many as the count has binary digits.
 
-def leaf_of(tokens: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
+    So short lines share a leaf by three tokens or fewer, and long ones seldom share one by chance, however many there are.
+    """
+    n = unit.count(b" ") + 1
+    depth = n.bit_length()
+    return xxhash.xxh64_intdigest(b"%d " % n + b" ".join(unit.split(b" ", depth)[:depth]))
 
 
 def _longs(values: list[int]) -> pa.Array:
@@ -75,12 +84,12 @@ def _lines(docs: DataFrame, leaves: bool) -> DataFrame:
         for batch in batches:
             row, no, line, leaf = [], [], [], []
             for r, raw in enumerate(batch.column(2).to_pylist()):
-                for i, tokens in units(raw or b""):
+                for i, own in units(raw or b""):
                     row.append(r)
                     no.append(i)
-                    line.append(xxhash.xxh64_intdigest(b" ".join(tokens)))
+                    line.append(xxhash.xxh64_intdigest(own))
                     if leaves:
-                        leaf.append(leaf_of(tokens))
+                        leaf.append(leaf_of(own))
             take = pa.array(row, pa.int64())
             columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), _longs(line)]
             yield pa.RecordBatch.from_arrays([*columns, _longs(leaf)] if leaves else columns, names=shape.names)
@@ -98,11 +107,11 @@ def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for raw in batch.column(0).to_pylist():
                 for _, own in units(raw or b""):
                     h = leaf_of(own)
-                    if bits[h % FILTER >> 3] >> (h & 7) & 1 and (name := xxhash.xxh64_intdigest(b" ".join(own))) not in seen:
+                    if bits[h % FILTER >> 3] >> (h & 7) & 1 and (name := xxhash.xxh64_intdigest(own)) not in seen:
                         seen.add(name)
                         line.append(name)
                         leaf.append(h)
-                        tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own]
+                        tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own.split(b" ")]
                         ends.append(len(tokens))
             if len(seen) > 500_000:
                 seen.clear()
@@ -125,7 +134,7 @@ def _filter_of(leaves: DataFrame) -> np.ndarray:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """line, first: for each unit of a template that recurs across documents the first document that has it.
 
-    docs: doc, key, raw. A leaf holds the units of one token count and the same leading tokens. In a leaf of several
+    docs: doc, key, raw. A leaf (leaf_of) holds the units of one token count and the same leading tokens. In a leaf of several
     documents, what stands at a position in two or more of them is constant, anything else a variable field, as are
     tokens with a digit. A template is its constants and the places of its fields; it counts where enough positions are
     constant. All sums are over distinct units and combine before the shuffle, so a leaf or unit of any size is dealt
@@ -148,7 +157,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     first = named.groupBy("leaf", "template").agg(*span).filter(several).select("leaf", "template", F.col("lo").alias("first"))
     alike = named.join(first, ["leaf", "template"]).select("line", "first")
     # A unit that recurs as it is needs no look at its tokens; what resembles it may have come before it.
-    return distinct.filter(several).select("line", F.col("lo").alias("first")).unionByName(alike).groupBy("line").agg(F.min("first").alias("first"))
+    found = distinct.filter(several).select("line", F.col("lo").alias("first")).unionByName(alike)
+    return stored(found.groupBy("line").agg(F.min("first").alias("first")), "lines-found")
 
 
 def without(text: bytes, gone: set[int]) -> tuple[bytes, int, int]:
@@ -158,29 +168,23 @@ def without(text: bytes, gone: set[int]) -> tuple[bytes, int, int]:
     """
     out, no, n_lines, n_cut = [], 0, 0, 0
     for line in text.split(b"\n"):
-        me, raw = no, line.split()
+        me, parts = no, sentences(b" ".join(line.split()))
+        several = len(parts) > 1
         no += 1
-        ends = [i for i, t in enumerate(raw, 1) if t[-1] in _STOPS]
-        size = len(ends) + (not ends or ends[-1] < len(raw))
-        several = size > 1
-        cut = [s for s in range(size) if no + s in gone] if several else []
-        no += size if several else 0
+        dead = [several and no + k in gone for k in range(len(parts))]
+        no += len(parts) * several
         if me in gone:
             n_lines += 1
             continue
-        if not cut:
+        if not any(dead):
             out.append(line)
             continue
-        bounds = [0, *ends, len(raw)][: size + 1]
-        unit = [b - a >= SENTENCE for a, b in zip(bounds, bounds[1:], strict=False)]
-        dead = [s in cut for s in range(size)]
-        big = [s for s in range(size) if unit[s]]
-        everything = all(dead[s] for s in big)
-        for s in range(size):
-            if not unit[s]:
-                left = next((dead[k] for k in reversed(big) if k < s), everything)
-                right = next((dead[k] for k in big if k > s), everything)
-                dead[s] = left and right
+        big = [k for k, p in enumerate(parts) if p.count(b" ") >= SENTENCE - 1]
+        everything = all(dead[k] for k in big)
+        for k in set(range(len(parts))).difference(big):
+            left = next((dead[j] for j in reversed(big) if j < k), everything)
+            right = next((dead[j] for j in big if j > k), everything)
+            dead[k] = left and right
         if all(dead):
             n_lines += 1
             continue
@@ -268,8 +272,8 @@ WITH cut AS (
 ), several AS (
   SELECT *, len(t) >= {SENTENCE} AS big FROM sentences WHERE (doc_id, no) IN (SELECT (doc_id, no) FROM sentences WHERE s > 0)
 ), units AS (
-  SELECT doc_id, no, -1 AS s, t, [CAST(len(t) AS VARCHAR)] || t[1:{LEADING}] AS leaf FROM masked
-  UNION ALL SELECT doc_id, no, s, t, [CAST(len(t) AS VARCHAR)] || t[1:{LEADING}] FROM several WHERE big
+  SELECT doc_id, no, -1 AS s, t, [CAST(len(t) AS VARCHAR)] || t[1:CAST(floor(log2(greatest(len(t), 1))) AS BIGINT) + 1] AS leaf FROM masked
+  UNION ALL SELECT doc_id, no, s, t, [CAST(len(t) AS VARCHAR)] || t[1:CAST(floor(log2(greatest(len(t), 1))) AS BIGINT) + 1] FROM several WHERE big
 ), lettered AS (
   SELECT * FROM units WHERE regexp_matches(array_to_string(t, ' '), '[A-Za-z]|[^\x00-\x7F]')
 ), uniq AS (
