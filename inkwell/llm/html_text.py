@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .urls import host_and_path
 
 #: A subtree is a site's template if so many different pages of the host have it, and this share of them.
@@ -205,7 +205,7 @@ def template_subtrees(pages: DataFrame) -> DataFrame:
             rows = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(found, np.uint64).view(np.int64))], names=shape.names)
 
-    seen = stored(pages.select("host", "mark", "html").mapInArrow(task, shape).distinct(), "html-subtrees")
+    seen = stored(pages.select("host", "mark", "html").mapInArrow(tidy(task), shape).distinct(), "html-subtrees")
     sizes = pages.select("host", "mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     often = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
     often = often.join(sizes, "host").filter(F.col("n") >= F.col("pages") * MIN_SHARE).select("host", "subtree")
@@ -231,7 +231,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
             texts = [main_text(parse(s), frozenset(h & 0xFFFFFFFFFFFFFFFF for h in g or ())) if s else "" for s, g in zip(sources, lists, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=shape.names)
 
-    return rows.mapInArrow(task, shape)
+    return rows.mapInArrow(tidy(task), shape)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

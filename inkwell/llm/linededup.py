@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import stored
+from .common import stored, tidy
 
 #: Least share of constant positions in a template, in per cent of those without a digit.
 CONSTANT = 75
@@ -94,7 +94,7 @@ def _lines(docs: DataFrame, leaves: bool) -> DataFrame:
             columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), _longs(line)]
             yield pa.RecordBatch.from_arrays([*columns, _longs(leaf)] if leaves else columns, names=shape.names)
 
-    return docs.mapInArrow(task, shape)
+    return docs.mapInArrow(tidy(task), shape)
 
 
 def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -113,12 +113,12 @@ def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         leaf.append(h)
                         tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own.split(b" ")]
                         ends.append(len(tokens))
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int64()))
             yield pa.RecordBatch.from_arrays([_longs(line), _longs(leaf), lists], names=["line", "leaf", "tokens"])
 
-    return docs.mapInArrow(task, "line bigint, leaf bigint, tokens array<bigint>")
+    return docs.mapInArrow(tidy(task), "line bigint, leaf bigint, tokens array<bigint>")
 
 
 def _filter_of(leaves: DataFrame) -> np.ndarray:
@@ -235,7 +235,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=shape.names)
 
-    return told.mapInArrow(task, shape)
+    return told.mapInArrow(tidy(task), shape)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

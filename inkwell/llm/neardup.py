@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import durable, durable_count, stored
+from .common import durable, durable_count, stored, tidy
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
@@ -90,7 +90,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], names=shape.names)
 
-    return docs.mapInArrow(task, shape)
+    return docs.mapInArrow(tidy(task), shape)
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(other is not None and 100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return durable(rows.mapInArrow(task, "a binary, b binary"))
+    return durable(rows.mapInArrow(tidy(task), "a binary, b binary"))
 
 
 def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots])], names=["slot", "n"])
 
     # As steps of a quarter of a doubling, which fit in a byte.
-    rows = texts.select("raw").mapInArrow(task, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
+    rows = texts.select("raw").mapInArrow(tidy(task), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1")
     rows = rows.select(F.col("slot").cast("int"), F.round(F.log2("n") * 4).cast("int").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.uint8)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
@@ -195,7 +195,7 @@ def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), *(pa.array(np.concatenate(c)) for c in (hashes, sizes, places))], names=["node", "h", "n", "at"])
 
-    rows = texts.select("cls", "raw").mapInArrow(task, "node binary, h bigint, n bigint, at bigint")
+    rows = texts.select("cls", "raw").mapInArrow(tidy(task), "node binary, h bigint, n bigint, at bigint")
     rows = rows.join(labels, "node", "left").select("node", "h", "n", "at", F.coalesce("root", "node").alias("root"))
     rows = stored(rows, "neardup-prefixes")
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")

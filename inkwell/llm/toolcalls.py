@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable_count
 
 #: Tools by name: their parameters with JSON type, whether required, and least and greatest value or length.
 TOOLS: dict[str, dict[str, tuple[str, bool, int | None, int | None]]] = {
@@ -50,14 +50,14 @@ def call_levels(calls: DataFrame) -> DataFrame:
     a first one.
     """
     known = calls.select(F.col("call_id").alias("there"))
-    state = calls.join(known, F.col("after") == F.col("there"), "left").select("call_id", F.col("there").alias("up"))
-    state = durable(state.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
-    waiting = state.filter(F.col("up").isNotNull()).count()
+    # Calls without a pointer take no part in the joins: under one null key they would all meet in one task.
+    links = calls.filter("after is not null").join(known, F.col("after") == F.col("there"), "left").select("call_id", F.col("there").alias("up"))
+    state = calls.filter("after is null").select("call_id", F.lit(None).cast("string").alias("up")).unionByName(links)
+    state, waiting = durable_count(state.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), F.col("up").isNotNull())
     while waiting:
         further = state.toDF("up", "next", "more")
-        state = state.join(further, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-        state = durable(state)
-        still = state.filter(F.col("up").isNotNull()).count()
+        moved = state.filter("up is not null").join(further, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+        state, still = durable_count(state.filter("up is null").select("call_id", "up", "level").unionByName(moved), F.col("up").isNotNull())
         if still == waiting:
             break  # only cycles are left
         waiting = still
@@ -83,7 +83,10 @@ def linked_calls(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> D
     levels = call_levels(with_id.select("call_id", "after"))
     known = with_id.select(F.col("call_id").alias("before"))
     best = results.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    rows = with_id.join(levels, "call_id").join(known, F.col("after") == F.col("before"), "left").join(best, "call_id", "left")
+    named = with_id.join(levels, "call_id")
+    after = named.filter("after is not null").join(known, F.col("after") == F.col("before"), "left")
+    first = named.filter("after is null").withColumn("before", F.lit(None).cast("string"))
+    rows = after.unionByName(first).join(best, "call_id", "left")
     nameless = calls.filter(F.col("call_id").isNull()).select("call_id", *fields)
     rows = rows.unionByName(nameless.withColumn("level", F.lit(0).cast("long")), allowMissingColumns=True)
     n = F.coalesce("n_results", F.lit(0))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, worker_held
+from .common import durable, tidy, worker_held
 
 #: Hash buckets of the character n-grams, their lengths and the width of the embeddings.
 BUCKETS, GRAMS, DIM = 1 << 18, (4, 6, 8), 8
@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias])], names=["scores", "bias"])
 
-    got = ordered.mapInArrow(task, "scores binary, bias double").collect()
+    got = ordered.mapInArrow(tidy(task), "scores binary, bias double").collect()
     if got:
         return Model(np.frombuffer(got[0]["scores"], np.float32), got[0]["bias"])
     if told.select("toxic").distinct().count() > 1 and not docs.isEmpty():
@@ -349,7 +349,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
                 out = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*keep, score])
 
-    return docs.select(*keep).mapInArrow(task, shape)
+    return docs.select(*keep).mapInArrow(tidy(task), shape)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
