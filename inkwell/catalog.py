@@ -152,7 +152,29 @@ def ingest(spark, sf_dir):
     listing = docs.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact"))
     empty_docs = spark.createDataFrame([], DOCUMENTS)
     empty_chunks = spark.createDataFrame([], CHUNKS)
-    return ing.ingest(raw, listing, empty_docs, empty_chunks, _embed).run
+    return ing.ingest(raw, listing, empty_docs, empty_chunks, _embed).run.drop("run_id", "started_at", "finished_at")
+
+
+@_register(
+    "WITH n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS l FROM documents) SELECT 'a' AS project, n AS files_seen, n AS files_changed, CAST(0 AS BIGINT) AS files_deleted, 'ok' AS status, CAST(0 AS BIGINT) AS links FROM n "
+    "UNION ALL SELECT 'b', n - l, n - l, 0, 'ok', l FROM n"
+)
+def ingest_projects(spark, sf_dir):
+    """A run over two projects that name the same paths: every third is a link in the second."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    both = d.select("doc_id", F.concat(F.lit("# Title\n\n"), F.coalesce("text", F.lit(""))).alias("text"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("project"))
+    both = both.select("project", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text", ((F.col("project") == "b") & (F.col("doc_id") % 3 == 0)).alias("link"))
+    raw = both.filter("not link").select("project", "path", F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
+    listing = both.select("project", "path", F.when(F.col("link"), "link").otherwise("file").alias("kind"), F.lit(True).alias("exact"))
+    made = ing.ingest(raw, listing, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS))
+    links = made.skipped.filter("reason = 'symlink'").groupBy("project").agg(F.count(F.lit(1)).alias("links"))
+    return made.run.join(links, "project", "left").select("project", "files_seen", "files_changed", "files_deleted", "status", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@_register()
+def chunk_summary(spark, sf_dir):
+    parsed = ing.parse_documents(samples.markdown(spark, sf_dir))
+    return ing.chunk_summary(parsed.select(F.explode("chunks").alias("c")).select("c.*"))
 
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -496,13 +518,45 @@ def _submitted_lines(spark, sf_dir):
     return e.select(F.to_json(F.struct("project", "module", "kind", F.when(F.col("id") % 50 == 0, " ").otherwise(F.col("title")).alias("title"), "summary", "root_cause", "result", F.lit("2024-01-05T09:00:00Z").alias("occurred_at"))).alias("value"))
 
 
-@_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) FILTER (id % 50 <> 0) AS accepted, count(*) FILTER (id % 50 = 0) AS rejected FROM e GROUP BY project")
+@_register(f"WITH e AS ({EVENTS}) SELECT project, 2 * count(*) FILTER (id % 50 <> 0) AS accepted, 2 * count(*) FILTER (id % 50 <> 0) AS ids, 2 * count(*) FILTER (id % 50 = 0) AS rejected FROM e GROUP BY project")
 def stream_intake(spark, sf_dir):
     folder = shared_folder(spark)
     _submitted_lines(spark, sf_dir).write.text(f"{folder}/in")
     intake.intake(sinks.stream_events(spark, f"{folder}/in"), f"{folder}/accepted", f"{folder}/rejected", f"{folder}/state").awaitTermination()
-    n = lambda kind: spark.read.parquet(f"{folder}/{kind}").groupBy("project").agg(F.count(F.lit(1)).alias(kind))
-    return n("accepted").join(n("rejected"), "project", "full_outer").fillna(0)
+    _submitted_lines(spark, sf_dir).write.mode("append").text(f"{folder}/in")  # a second batch: equal submissions are events of their own
+    intake.intake(sinks.stream_events(spark, f"{folder}/in"), f"{folder}/accepted", f"{folder}/rejected", f"{folder}/state").awaitTermination()
+    good = spark.read.parquet(f"{folder}/accepted").groupBy("project").agg(F.count(F.lit(1)).alias("accepted"), F.count_distinct("id").alias("ids"))
+    bad = spark.read.parquet(f"{folder}/rejected").groupBy("project").agg(F.count(F.lit(1)).alias("rejected"))
+    return good.join(bad, "project", "full_outer").fillna(0)
+
+
+_MD_RIGHT = f"SELECT project, path, replace(text, 'doc_type: novel', 'doc_type: other') AS text, doc_id FROM ({MD})"
+
+
+@_register(f"WITH d AS ({_MD_RIGHT}) SELECT project, path, CASE WHEN doc_id % 4 = 0 THEN sha256(text || chr(10) || 'more' || chr(10)) ELSE sha256(text) END AS content_hash, CASE WHEN doc_id % 10 = 3 THEN 'Title ' || doc_id ELSE 'Doc ' || doc_id END AS title FROM d")
+def stream_ingest(spark, sf_dir):
+    """The index after two batches: all files, then new versions of every fourth beside files that haven't changed."""
+    folder = shared_folder(spark)
+    sinks.write_index(spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS), f"{folder}/index")
+    d = samples.markdown(spark, sf_dir).withColumn("text", F.regexp_replace("text", "doc_type: novel", "doc_type: other"))
+    newer = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\nmore\n"))).otherwise(F.col("text"))
+    for text, at in ((F.col("text"), "2024-01-01"), (newer, "2024-01-02")):
+        rows = d.select("project", "path", text.cast("binary").alias("content"), F.to_timestamp(F.lit(at)).alias("mtime"))
+        rows.write.mode("append").parquet(f"{folder}/files")
+        intake.incremental(spark.readStream.schema(rows.schema).parquet(f"{folder}/files"), f"{folder}/index", f"{folder}/state").awaitTermination()
+    documents, _ = sinks.read_index(spark, f"{folder}/index")
+    return documents.select("project", "path", "content_hash", "title")
+
+
+@_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) FILTER (kind = 'success') AS ok, count(*) FILTER (kind <> 'success') AS running FROM e GROUP BY project")
+def run_ledger(spark, sf_dir):
+    """A run for each event; those of successes have ended."""
+    e, path = samples.events(spark, sf_dir), f"{shared_folder(spark)}/runs"
+    runs = e.select("project", F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"), F.col("occurred_at").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"))
+    sinks.append_run(runs, path)
+    sinks.append_run(e.filter("kind = 'success'").select("project", F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"), F.col("occurred_at").alias("started_at"), F.timestamp_micros(F.unix_micros("occurred_at") + 1).alias("finished_at"), F.lit("ok").alias("status")), path)
+    count = lambda status: F.count(F.when(F.col("status") == status, 1)).alias(status)
+    return sinks.latest_runs(spark.read.parquet(path)).groupBy("project").agg(count("ok"), count("running"))
 
 
 @_register(f"{_REPEATS} SELECT * FROM n")

@@ -57,7 +57,10 @@ def keyword_matches(tokens: DataFrame, documents: DataFrame, queries: DataFrame)
     """query_id, KEY, ts_rank of the chunks that have all terms of a query and pass its filters."""
     terms = queries.select("query_id", F.col("project"), *[F.col(f).alias(f"q_{f}") for f in ("module", "doc_type", "status")], query_terms(F.col("query")).alias("terms"))
     terms = terms.withColumn("n_terms", F.size("terms")).select("*", F.explode("terms").alias("term")).drop("terms")
-    # Only tokens that some query asks for go on; documents' fields decide within the join, before any ranking.
+    # Only tokens that some query asks for go on; documents' fields decide within the join, before any ranking. The terms
+    # of a batch of bounded size go to the tokens, which then don't move; a larger batch meets them in a shuffle.
+    if queries.limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
+        terms = F.broadcast(terms)
     hit = tokens.join(terms, ["project", "term"])
     hit = hit.join(documents.select("project", "repo", "path", "module", "doc_type", "status"), ["project", "repo", "path"]).filter(filters_fit())
     hit = hit.groupBy("query_id", *KEY, "n_terms", "n_tokens").agg(F.collect_list(F.struct("term", "pos")).alias("hits"), F.count_distinct("term").alias("found"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.markdown import FRONT, chunks, first_h1
 from ..functions.text import content_hash, front_matter, normalize_text, search_text, text_error
@@ -28,15 +32,19 @@ def read_texts(raw: DataFrame) -> DataFrame:
 
 
 def parse_documents(texts: DataFrame) -> DataFrame:
-    """project, path, h1 (outside front matter), h1_whole and chunks of texts, in one pass over each."""
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            bodies = [t[m.end() :] if (m := FRONT.match(t)) else t for t in f["text"]]
+    """texts with h1 (outside front matter) and chunks, in one pass over each; other columns go along."""
+    chunk = StructType([StructField("chunk_idx", IntegerType()), StructField("heading_path", StringType()), StructField("content", StringType())])
+    shape = StructType([*texts.schema.fields, StructField("h1", StringType()), StructField("chunks", ArrayType(chunk))])
+    at = texts.columns.index("text")
+    kind = pa.list_(pa.struct([("chunk_idx", pa.int32()), ("heading_path", pa.string()), ("content", pa.string())]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [t[m.end() :] if (m := FRONT.match(t)) else t for t in batch.column(at).to_pylist()]
             made = [[{"chunk_idx": i, "heading_path": p, "content": c} for i, (p, c) in enumerate(chunks(b))] for b in bodies]
-            yield pd.DataFrame({"project": f["project"], "path": f["path"], "h1": [first_h1(b) for b in bodies], "chunks": made})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first_h1(b) for b in bodies], pa.string()), pa.array(made, kind)], names=shape.names)
 
-    return texts.select("project", "path", "text").mapInPandas(task, "project string, path string, h1 string, chunks array<struct<chunk_idx: int, heading_path: string, content: string>>")
+    return texts.mapInArrow(task, shape)
 
 
 def derive_meta(rows: DataFrame) -> DataFrame:
@@ -66,28 +74,32 @@ class IngestResult:
     skipped: DataFrame
 
 
-def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None) -> IngestResult:
+def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None, whole: bool = True) -> IngestResult:
     """The index after one run over raw files (project, path, content, mtime) and their listing (project, path, kind, exact).
 
     Only new, changed or rule-stale documents are parsed. A project whose listing has no Markdown, or a file that can't
-    be text or is outside the taxonomy, fails: paths below the first bad one are applied, nothing is deleted. The run
-    table has a row a project with counters, status and error.
+    be text or is outside the taxonomy, fails: paths below the first bad one are applied, nothing is deleted. A listing
+    that isn't the whole corpus (whole=False) deletes nothing and says nothing of projects that it doesn't name. The run
+    table has a row a project: run_id, started_at, finished_at, counters, status and error.
     """
-    outcome = classify_listing(listing.select("path", "kind", "exact").distinct()).select("path", "outcome", "exact").distinct()
-    named = listing.select("project", "path", "kind", "exact").join(outcome, ["path", "exact"]).select("project", "path", "outcome", "exact").distinct()
+    began = datetime.datetime.now(datetime.timezone.utc)
+    named = classify_listing(listing.select("project", "path", "kind", "exact")).distinct()
     skipped = named.filter("outcome <> 'indexed'").select("project", "path", F.col("outcome").alias("reason"), "exact")
 
     texts = read_texts(raw.join(named.filter("outcome = 'indexed'").select("project", "path"), ["project", "path"], "left_semi"))
     change = changes(texts, stored_docs)
+    if not whole:
+        change = change.filter("change <> 'deleted'")
     wanted = texts.filter("error is null").join(change.filter("change in ('new', 'changed', 'rules_stale')"), ["project", "path"])
-    parsed = derive_meta(wanted.join(parse_documents(wanted), ["project", "path"]))
+    parsed = derive_meta(parse_documents(wanted))
     bad_value = F.coalesce(closed_set_error(F.col("doc_type"), DOC_TYPES, "doc_type"), closed_set_error(F.col("status"), STATUSES, "status"))
     parsed = held(parsed.withColumn("bad", bad_value))
 
     problems = texts.filter("error is not null").select("project", "path", "error").unionByName(parsed.filter("bad is not null").select("project", "path", F.col("bad").alias("error")))
     # The failing path of a project is its first by bytes: a small aggregate.
     first = problems.groupBy("project").agg(F.min(F.struct("path", "error")).alias("p")).select("project", F.col("p.path").alias("bad_path"), F.concat_ws(": ", "p.path", "p.error").alias("error"))
-    empty = raw.select("project").unionByName(stored_docs.select("project")).unionByName(listing.select("project")).distinct()
+    known = raw.select("project").unionByName(listing.select("project"))
+    empty = (known.unionByName(stored_docs.select("project")) if whole else known).distinct()
     empty = empty.join(named.filter("outcome = 'indexed'").select("project").distinct(), "project", "left_anti").select("project", F.lit("").alias("bad_path"), F.lit("no Markdown was found").alias("error"))
     failed = held(first.join(empty.select("project"), "project", "left_anti").unionByName(empty))
 
@@ -103,7 +115,7 @@ def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_ch
     fresh = usable.select("project", F.lit("").alias("repo"), "path", F.explode("chunks").alias("c")).select("project", "repo", "path", "c.chunk_idx", "c.heading_path", "c.content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("token_count"))
 
     keep = named.filter("outcome = 'indexed' or exact").select("project", "path")
-    gone = held(deletable(stored_docs, keep, skipped.filter("reason = 'symlink'").select("project", "path")).join(failed.select("project"), "project", "left_anti").select(*KEY))
+    gone = held((deletable(stored_docs, keep, skipped.filter("reason = 'symlink'").select("project", "path")).join(failed.select("project"), "project", "left_anti")).filter(F.lit(whole)).select(*KEY))
     rebuilt = held(rebuilt)
     touched = held(rebuilt.select(*KEY).unionByName(gone))
     documents = held(stored_docs.join(touched, KEY, "left_anti").unionByName(rebuilt))
@@ -116,6 +128,7 @@ def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_ch
     if embedder is not None:
         out_chunks, missing = backfill_embeddings(out_chunks, embedder)
         run = run.join(missing, "project", "left").withColumn("status", F.when((F.col("status") == "ok") & (F.coalesce("missing", F.lit(0)) > 0), "partial").otherwise(F.col("status"))).drop("missing")
+    run = run.select("project", F.lit(uuid.uuid4().hex).alias("run_id"), F.lit(began).alias("started_at"), F.current_timestamp().alias("finished_at"), *[c for c in run.columns if c != "project"])
     return IngestResult(documents, out_chunks, run, skipped)
 
 
@@ -143,6 +156,14 @@ def backfill_embeddings(chunks_: DataFrame, embedder: Callable[[list[str]], list
     return filled, filled.filter("embedding is null").groupBy("project").agg(F.count(F.lit(1)).alias("missing"))
 
 
+def chunk_summary(chunks_: DataFrame) -> DataFrame:
+    """One row over all chunks: chunks, shortest, median, mean and longest length, and how many are under 200."""
+    n = F.length("content")
+    return chunks_.agg(
+        F.count(F.lit(1)).alias("chunks"), F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.max(n).alias("longest"), F.count(F.when(n < 200, 1)).alias("under_200")
+    )
+
+
 def chunk_profile(chunks_: DataFrame) -> DataFrame:
     """Per document: chunks, longest, over the soft limit, without heading."""
     n = F.length("content")

@@ -6,14 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clip, event_text, iso, search_text, strip
 from ..functions.tokens import length_norm, parse_web_query, term_weight, tokenize
 from ..functions.validation import closed_set_error, project_error, query_error
 from ..operators.ranking import KEY, fused, keyword_arm, token_table, vector_arm
-from ..schemas import DOC_TYPES, EXCERPT_MAX, EXCERPT_WORDS, KINDS, RRF_K, SCORE_DIGITS, STATUSES, TOP_K
+from ..schemas import DOC_TYPES, EXCERPT_MAX, EXCERPT_WORDS, KINDS, RRF_K, SCORE_DIGITS, STATUSES, TOP_K, TOP_K_MAX
 
 #: Event queries that one batch parses on the driver.
 MOST_QUERIES = 10_000
@@ -89,48 +89,58 @@ def checked_event_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error is null").drop("error"), rows.filter("error is not null")
 
 
-def _fitting(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """Events that pass the queries' filters: project, kind, module and the half-open period."""
-    q = queries.select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until", "top_k")
-    rows = events.join(q, "project")
+def _fits() -> Column:
+    """Whether an event passes a query's filters: kind, module and the half-open period."""
     fits = (F.col("q_kind").isNull() | (F.col("q_kind") == F.col("kind"))) & (F.col("q_module").isNull() | (F.col("q_module") == F.col("module")))
-    return rows.filter(fits & (F.col("since").isNull() | (F.col("occurred_at") >= F.col("since"))) & (F.col("until").isNull() | (F.col("occurred_at") < F.col("until"))))
+    return fits & (F.col("since").isNull() | (F.col("occurred_at") >= F.col("since"))) & (F.col("until").isNull() | (F.col("occurred_at") < F.col("until")))
+
+
+def _first_events(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each query by rank, time and id with their position, in two steps: no task sorts a whole query."""
+    order = [F.desc_nulls_last("ts_rank"), F.desc("occurred_at"), F.desc("id")]
+    part = F.pmod(F.xxhash64("id"), F.lit(32))
+    local = rows.withColumn("__part", part).withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(*order))).filter(F.col("__n") <= n)
+    return local.drop("__n", "__part").withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("position") <= n)
 
 
 def event_matches(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, ts_rank of web-style queries: OR groups of required and excluded terms and phrases.
+    """query_id, id, occurred_at, ts_rank of web-style queries: OR groups of required and excluded terms and phrases.
 
     Terms are looked up in a token table; a phrase holds where its tokens stand one after another. The rank is the
     mean of the query's terms' weights over their occurrences, normed by length.
     """
     spark = events.sparkSession
-    asked = queries.filter("query is not null").select("query_id", "query").limit(MOST_QUERIES + 1).collect()
+    asked = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
     if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} event queries in one batch")
+    asked = [q for q in asked if q["query"] is not None]
     parts = [(q["query_id"], g, k, kind == "none", i, term, len(phrase)) for q in asked for g, group in enumerate(parse_web_query(q["query"])) for kind in ("all", "none") for k, phrase in enumerate(group[kind]) for i, term in enumerate(phrase)]
     shape = "query_id bigint, grp int, part int, negative boolean, at int, term string, size int"
     words = spark.createDataFrame(parts, shape)
     needs = words.filter("not negative").groupBy("query_id", "grp").agg(F.count_distinct("part").alias("needed"))
-    fitting = _fitting(events, queries)
     text = tokenize(event_text(F.col("title"), F.col("summary"), F.col("root_cause"), F.col("resolution")))
-    tokens = fitting.select("query_id", "id", text.alias("t")).select("query_id", "id", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
-    hit = tokens.join(F.broadcast(words), ["query_id", "term"])  # at most MOST_QUERIES queries of bounded length
+    tokens = events.select("project", "id", "occurred_at", "kind", "module", text.alias("t")).select("project", "id", "occurred_at", "kind", "module", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
+    # Each event is tokenized once; only tokens that a query of its project asks for go on, if its filters fit. The
+    # words are those of at most MOST_QUERIES queries of bounded length.
+    facts = words.join(queries.select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until"), "query_id")
+    hit = tokens.join(F.broadcast(facts), ["project", "term"]).filter(_fits())
     # A phrase's tokens meet at the position where it starts.
-    spot = hit.groupBy("query_id", "id", "n_tokens", "grp", "part", "negative", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
-    spot = spot.filter(F.col("n") == F.col("size")).groupBy("query_id", "id", "n_tokens", "grp", "part", "negative").agg(F.count(F.lit(1)).alias("times"))
-    group = spot.groupBy("query_id", "id", "n_tokens", "grp").agg(F.count(F.when(~F.col("negative"), 1)).alias("found"), F.count(F.when(F.col("negative"), 1)).alias("banned"), F.sum(F.when(~F.col("negative"), term_weight(F.col("times")))).alias("weight"))
-    good = group.join(needs, ["query_id", "grp"]).filter("found = needed and banned = 0")
+    spot = hit.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
+    spot = spot.filter(F.col("n") == F.col("size")).groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative").agg(F.count(F.lit(1)).alias("times"))
+    group = spot.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp").agg(F.count(F.when(~F.col("negative"), 1)).alias("found"), F.count(F.when(F.col("negative"), 1)).alias("banned"), F.sum(F.when(~F.col("negative"), term_weight(F.col("times")))).alias("weight"))
+    good = group.join(F.broadcast(needs), ["query_id", "grp"]).filter("found = needed and banned = 0")
     rank = F.round(F.max(F.col("weight") / F.col("needed")) / length_norm(F.col("n_tokens")), 12)
-    return good.groupBy("query_id", "id", "n_tokens").agg(rank.alias("ts_rank")).drop("n_tokens")
+    return good.groupBy("query_id", "id", "occurred_at", "n_tokens").agg(rank.alias("ts_rank")).drop("n_tokens")
 
 
 def search_events(queries: DataFrame, events: DataFrame) -> DataFrame:
     """query_id, position, id, title, summary, kind, result, module, occurred_at (ISO), score: best first, newest first without a query."""
     accepted, _ = checked_event_queries(queries)
-    matched = event_matches(events, accepted)
-    plain = _fitting(events, accepted.filter("query is null")).select("query_id", "id", F.lit(None).cast("double").alias("ts_rank"))
-    rows = matched.unionByName(plain).join(events, "id").join(accepted.select("query_id", F.coalesce("top_k", F.lit(TOP_K)).alias("k")), "query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("ts_rank"), F.desc("occurred_at"), F.desc("id"))
-    rows = rows.withColumn("position", F.row_number().over(order)).filter("position <= k")
+    matched = event_matches(events, accepted)  # raises where there are more than MOST_QUERIES
+    blank = accepted.filter("query is null").limit(MOST_QUERIES).select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until")
+    plain = events.join(F.broadcast(blank), "project").filter(_fits()).select("query_id", "id", "occurred_at", F.lit(None).cast("double").alias("ts_rank"))
+    first = _first_events(matched.unionByName(plain), TOP_K_MAX).join(F.broadcast(accepted.select("query_id", F.coalesce("top_k", F.lit(TOP_K)).alias("k"))), "query_id").filter("position <= k")
+    # At most TOP_K_MAX rows a query: the events are read once more for their texts and don't move.
+    rows = events.join(F.broadcast(first.select("query_id", "id", "ts_rank", "position")), "id")
     score = F.when(F.col("ts_rank").isNotNull(), F.round(1.0 / (RRF_K + F.col("position")), SCORE_DIGITS))
     return rows.select("query_id", "position", "id", "title", clip(F.col("summary")).alias("summary"), "kind", "result", "module", iso(F.col("occurred_at")).alias("occurred_at"), score.alias("score"))

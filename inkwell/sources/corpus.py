@@ -26,11 +26,11 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def classify_listing(listing: DataFrame) -> DataFrame:
-    """path, outcome, exact: `indexed`, or why a path is skipped; paths outside the index are left out.
+    """listing with an outcome in place of its kind: `indexed`, or why a path is skipped; paths outside the index are left out.
 
     A link is judged first, as itself or as a directory, so that what stood below it is kept.
     """
     path, kind = F.col("path"), F.col("kind")
     link = (kind == "link") & (in_index_paths(path) | in_index_paths(F.concat(path, F.lit("/"))))
     outcome = F.when(link, "symlink").when(~in_index_paths(path) | (kind == "link"), None).when(~path.endswith(".md"), "not-md").when(kind != "file", "not-regular").otherwise("indexed")
-    return listing.filter(~in_skipped_dir(path)).select("path", outcome.alias("outcome"), "exact").filter("outcome is not null")
+    return listing.filter(~in_skipped_dir(path)).withColumn("outcome", outcome).drop("kind").filter("outcome is not null")

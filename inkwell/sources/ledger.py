@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import EVENT_KEYS
+from ..schemas import CHUNKS, DOCUMENTS, EVENT_KEYS
 
 
 def submissions(lines: DataFrame) -> DataFrame:
@@ -44,7 +44,25 @@ def write_index(documents: DataFrame, chunks: DataFrame, root: str) -> str:
 
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     name = spark.read.parquet(f"{root}/_current").head()["name"]
-    return spark.read.parquet(f"{root}/{name}/documents"), spark.read.parquet(f"{root}/{name}/chunks")
+    read = lambda table, schema: spark.read.schema(schema).parquet(f"{root}/{name}/{table}")
+    return read("documents", DOCUMENTS), read("chunks", CHUNKS)
+
+
+def start_runs(projects: DataFrame, run_id: str, path: str) -> None:
+    """A row `running` for each project; a run that dies leaves it as it is."""
+    rows = projects.select("project", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at"), F.lit("running").alias("status"))
+    append(rows, path)
+
+
+def append_run(run: DataFrame, path: str) -> None:
+    """The finished rows of a run beside those that started it."""
+    append(run, path)
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """One row a project and run: the finished one, else the one that says it is running."""
+    last = runs.withColumn("__n", F.row_number().over(Window.partitionBy("project", "run_id").orderBy(F.col("finished_at").desc_nulls_last())))
+    return last.filter("__n = 1").drop("__n")
 
 
 def backup_events(events: DataFrame, path: str) -> None:

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.ingest import ingest
 from ..plans.ledger import EVENT_FIELDS, validate_events
 from ..schemas import REPEAT_MIN
+from ..sources.ledger import read_index, write_index
+
+
+#: Bits of an event's number within its batch; the batch's number stands above them.
+ROW_BITS = 40
+
+
+def numbered(rows: DataFrame, batch: int) -> DataFrame:
+    """rows with an id that no other row of any batch has: the batch's number, then the row's place in the batch.
+
+    The places run on from partition to partition by the partitions' sizes, of which there are as many as partitions.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())
+    upto, starts = batch << ROW_BITS, []
+    for part, n in sizes:
+        starts.append((part, upto))
+        upto += n
+    offsets = spark.createDataFrame(starts, "__part int, __start bigint")
+    return rows.join(F.broadcast(offsets), "__part").withColumn("id", F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
 
 
 def intake(submitted: DataFrame, accepted: str, rejected: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """A stream of submissions into two tables. A batch that runs again overwrites its own folder, so no row comes twice;
-    equal submissions stay separate events. Ids are the batch's number and a number within it."""
+    equal submissions stay separate events with ids of their own (numbered)."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         good, bad = validate_events(batch)
-        good = good.withColumn("id", F.lit(number << 33) + F.monotonically_increasing_id()).select(*EVENT_FIELDS)
+        good = numbered(good, number).select(*EVENT_FIELDS)
         good.write.mode("overwrite").parquet(f"{accepted}/batch_id={number}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={number}")
         batch.unpersist()
@@ -42,6 +62,18 @@ def repeats_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return repeat_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental(files: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """New files handed to `apply` a batch at a time (an ingest that deletes nothing: a partial list can't tell what is gone)."""
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def incremental(files: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """New and changed files (project, path, content, mtime) into the index at root, a snapshot a batch.
+
+    The stored hashes are the state: a batch that runs again changes nothing, and files whose text is as stored aren't
+    parsed. Nothing is deleted, as a batch is a partial list. root must hold an index (write_index of an empty one).
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        # Of several versions of a file in one batch the latest counts.
+        latest = batch.groupBy("project", "path").agg(F.max(F.struct("mtime", "content")).alias("v")).select("project", "path", "v.content", "v.mtime")
+        listing = latest.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact"))
+        made = ingest(latest, listing, *read_index(batch.sparkSession, root), whole=False)
+        write_index(made.documents, made.chunks, root)
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

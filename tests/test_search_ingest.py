@@ -98,3 +98,36 @@ def test_scans_read_the_texts(spark, tmp_path):
     found = [tuple(r) for r in catalog.queries()["secret_scan"](spark, str(tmp_path)).collect()]
     assert found == [("docs/7.md", "key", "sk-abcdefghi")]
     assert sorted(r["path"] for r in catalog.queries()["orphans"](spark, str(tmp_path)).collect()) == ["docs/40.md", "docs/9.md"]
+
+
+def test_two_projects_with_one_path(spark):
+    raw = spark.createDataFrame([("a", "docs/x.md", bytearray(b"# X\n\nbody\n"), None)], "project string, path string, content binary, mtime timestamp")
+    listing = spark.createDataFrame([("a", "docs/x.md", "file", True), ("b", "docs/x.md", "link", True)], "project string, path string, kind string, exact boolean")
+    made = ing.ingest(raw, listing, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS))
+    runs = {r["project"]: (r["status"], r["error"]) for r in made.run.collect()}
+    assert runs == {"a": ("ok", None), "b": ("failed", "no Markdown was found")}
+    assert [(r["project"], r["reason"]) for r in made.skipped.collect()] == [("b", "symlink")]
+    assert all(r["run_id"] and r["started_at"] <= r["finished_at"] for r in made.run.collect())
+
+
+def test_event_ids_of_several_batches(spark):
+    from inkwell.streaming.intake import numbered
+
+    rows = spark.range(0, 1000, 1, 7).filter("id % 3 <> 0").withColumnRenamed("id", "value")
+    ids = [r["id"] for batch in range(3) for r in numbered(rows, batch).collect()]
+    assert len(ids) == len(set(ids)) == 3 * 666 and sorted(ids)[:3] == [0, 1, 2]
+
+
+def test_read_corpus_and_run_ledger(spark, tmp_path):
+    from inkwell.sources import corpus, ledger
+
+    for name in ("docs/a.md", "docs/sub/b.md", "docs/node_modules/c.md", "src/d.md", "README.md", "docs/e.txt"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(name)
+    found = {r["path"]: bytes(r["content"]).decode() for r in corpus.read_corpus(spark, f"file://{tmp_path}/tree").collect()}
+    assert found == {p: p for p in ("docs/a.md", "docs/sub/b.md", "README.md")}
+    ledger.start_runs(spark.createDataFrame([("a",), ("b",)], "project string"), "r1", f"{tmp_path}/runs")
+    done = spark.createDataFrame([("a", "r1", "ok")], "project string, run_id string, status string").selectExpr("*", "current_timestamp() AS started_at", "current_timestamp() AS finished_at")
+    ledger.append_run(done, f"{tmp_path}/runs")
+    runs = spark.read.option("mergeSchema", True).parquet(f"{tmp_path}/runs")
+    assert {r["project"]: r["status"] for r in ledger.latest_runs(runs).collect()} == {"a": "ok", "b": "running"}
