@@ -84,6 +84,45 @@ def test_main_text(page, text):
     assert html_text.main_text(html_text.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="main-with-sidebar"><article><p>whole</p></article></div>', "whole"), ('<div class="sidebar"><main>whole</main></div>', "whole"), ('<article><h1 class="post-header">T</h1><p class="share">s</p><p title="the hidden gem">g</p></article>', "T s g"),
+        ('<article><p>a</p><div class="share-buttons">x</div><p class="ad">y</p><p hidden>z</p><p data-hidden="1">b</p></article>', "a b"),
+        ("<article><p>main story</p></article><section id=comments><article><p>reader</p></article></section>", "main story"),
+        ("<div><p>The long story stands beside the card, in a plain block of its own.</p></div><article><p>card</p></article>", "The long story stands beside the card, in a plain block of its own. card"),
+    ],
+)
+def test_wrappers_names_and_attributes(page, text):
+    assert html_text.main_text(html_text.parse(page)) == text
+
+
+def test_counts_alone_find_page_parts(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3))
+    words = lambda n: " ".join(word() for _ in range(n))
+    stories = [[words(rnd.randint(3, 30)) for _ in range(rnd.randint(1, 6))] for _ in range(60)]
+    page = "<body><ul class=top>{}</ul><div class=x>{}</div><article><h1>{}</h1>{}</article><div class=y><b>&copy;</b> {}</div></body>"
+    rows = [(i, f"http://h/{i}", page.format("".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(3 + i % 4)), words(20), own[0], "".join(f"<p>{p}</p>" for p in own[1:]), words(9))) for i, own in enumerate(stories)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(pages, names=False).collect()}
+    assert got == {i: " ".join(own) for i, own in enumerate(stories)}
+    hosts = spark.createDataFrame([("h", i, r[2]) for i, r in enumerate(rows)], "host string, mark long, html string")
+    gone = {r["mark"]: {h & (1 << 64) - 1 for h in r["gone"]} for r in html_text.template_subtrees(hosts).collect()}
+    for i, r in enumerate(rows):  # all three parts beside the article are templates, by their form
+        tree = html_text.parse(r[2])
+        own = dict(html_text.candidates(tree))
+        parts = [k for k, up in enumerate(tree.parents) if tree.tags[up] == "body" and tree.tags[k] in ("ul", "div")]
+        assert len(parts) == 3 and all(gone[i] & set(own[k]) for k in parts)
+
+
+def test_long_page_and_clashing_columns(spark):
+    body = "<article>" + "<p>word &amp; more</p>" * 40000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h/1", body, "x", 5)], "page_id bigint, url string, html string, text string, n_chars int")
+    out = html_text.extracted(pages).collect()
+    assert out[0]["text"] == " ".join(["word & more"] * 40000) and out[0]["n_chars"] == 5
+
+
 def test_templates_of_a_host(spark):
     page = "<body><div class=x1><p>Our shop</p><p>Call us</p></div><div><p>Story {}</p></div><div class=x2>All rights {}</div></body>"
     rows = [(i, f"http://h/{i}", page.format(i, "reserved")) for i in range(20)] + [(20, "http://other/1", page.format("x", "reserved")), (21, None, None), (22, "http://h/22", ""), (0, "http://h/0", page.format(0, "reserved"))]
