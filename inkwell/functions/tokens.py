@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -29,7 +30,8 @@ def pair_miss(distance: Column) -> Column:
 
 def term_weight(count: Column) -> Column:
     """The rank of one term that occurs so often (at most 255 occurrences count)."""
-    squares = F.aggregate(F.sequence(F.lit(1), F.least(count.cast("int"), F.lit(255))), F.lit(0.0), lambda a, j: a + 1.0 / (j * j))
+    sums = list(itertools.accumulate(1.0 / (j * j) for j in range(1, 256)))
+    squares = F.when(count > 0, F.element_at(F.lit(sums), F.least(count.cast("int"), F.lit(255)))).otherwise(0.0)
     return 0.1 * squares / 1.64493406685
 
 

@@ -124,8 +124,8 @@ def event_matches(events: DataFrame, queries: DataFrame) -> DataFrame:
     # words are those of at most MOST_QUERIES queries of bounded length.
     facts = words.join(queries.select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until"), "query_id")
     hit = tokens.join(F.broadcast(facts), ["project", "term"]).filter(_fits())
-    # A phrase's tokens meet at the position where it starts.
-    spot = hit.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("n"))
+    # A phrase's tokens meet at the position where it starts, each once.
+    spot = hit.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
     spot = spot.filter(F.col("n") == F.col("size")).groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative").agg(F.count(F.lit(1)).alias("times"))
     group = spot.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp").agg(F.count(F.when(~F.col("negative"), 1)).alias("found"), F.count(F.when(F.col("negative"), 1)).alias("banned"), F.sum(F.when(~F.col("negative"), term_weight(F.col("times")))).alias("weight"))
     good = group.join(F.broadcast(needs), ["query_id", "grp"]).filter("found = needed and banned = 0")
