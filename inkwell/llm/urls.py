@@ -9,14 +9,17 @@ from .common import durable, salted_join
 
 #: (verdict, host, path), as the query applies them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Levels of the tree; the segments of deeper paths stay together in the last.
-DEPTH = 3
 #: Beyond so many children of a node, values with less than their even share are variable.
 CHILDREN = 8
-#: Labelled branches within so many standard errors of their parent's rate are merged.
-ERRORS = 1.96
-#: Weight of the even prior in a template's purity, and the share of bad labels at which it is rejected.
+#: Sibling branches whose shares of child kinds differ by at most this (half the sum of differences), and whose rates of
+#: bad labels by at most so many standard errors, are one.
+SHAPE, ERRORS = 0.25, 1.96
+#: Weight of the prior in a template's purity, and the share of bad labels at which it is rejected.
 PRIOR_WEIGHT, REJECT_AT = 4.0, 0.8
+#: Parts over which a hot host's rows are dealt.
+SALTS = 8
+#: Levels that the SQL spells out; the operator itself goes as deep as the deepest path.
+SQL_LEVELS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,64 +41,94 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column,
     return rule, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> list[Column]:
-    """The path's first segments, runs of digits as <n>, long hexadecimal runs as <h>; '' beyond its end.
+def segments(path: Column) -> Column:
+    """The path's segments, runs of digits as <n>, long hexadecimal runs as <h>; one empty one for a bare path."""
+    plain = F.regexp_replace(F.regexp_replace(path, "(?<![0-9A-Za-z-])[0-9a-fA-F-]{16,}(?![0-9A-Za-z-])", "<h>"), "[0-9]+", "<n>")
+    return F.split(F.regexp_replace(plain, "^/+|/+$", ""), "/+", -1)
 
-    What lies below the last level stays in it, joined by /.
-    """
-    plain = F.regexp_replace(F.regexp_replace(path, "(?<![0-9A-Za-z])[0-9a-fA-F-]{16,}(?![0-9A-Za-z])", "<h>"), "[0-9]+", "<n>")
-    parts = F.split(F.regexp_replace(plain, "^/+|/+$", ""), "/+", depth)
-    return [F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(depth)]
 
+def _purity(bad: Column, labelled: Column, prior: Column) -> Column:
+    return (bad + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
 
-def template_verdicts(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One row a (host, s1..sN): its template, labelled, bad, purity and verdict.
 
-    urls: host, s1..sN (from segments) and bad (true, false, or null where not labelled). Top down, for each node of a
-    host's tree: where it has many children, the rare ones become '*'; labelled children whose bad share can't be told
-    from the node's become '~', one branch. The purity of a template is its bad share smoothed towards one half; at
-    REJECT_AT it is blocked, so templates with few or no labels are allowed.
-    """
-    names = [f"s{i + 1}" for i in range(depth)]
-    sums = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
-    tree = urls.groupBy("host", *names).agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
-    tree = durable(tree)
-    made: list[str] = []
-    for i, s in enumerate(names):
-        above, g = ["host", *made], f"g{i + 1}"
-        child = tree.groupBy(*above, s).agg(*sums)
-        node = child.groupBy(*above).agg(F.count(F.lit(1)).alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
-        rate = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        close = F.abs(F.col("bad") / F.col("labelled") - F.col("all_bad") / F.col("all_labelled")) <= ERRORS * F.sqrt(rate * (1 - rate) / F.col("labelled"))
-        rare = (F.col("children") > CHILDREN) & (F.col("n") * F.col("children") < F.col("all_n"))
-        name = F.when(F.col(s) == "", "").when(rare, "*").when((F.col("labelled") > 0) & close, "~").otherwise(F.col(s))
-        child = child.join(node, above).select(*above, s, name.alias(g))
-        tree = tree.join(child, [*above, s])
-        made.append(g)
-    purity = (F.col("t_bad") + PRIOR_WEIGHT / 2) / (F.col("t_labelled") + PRIOR_WEIGHT)
-    total = tree.groupBy("host", *made).agg(F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad"))
-    out = tree.join(total, ["host", *made]).withColumn("purity", purity)
-    return out.select("host", *names, F.concat(*[x for g in made for x in (F.lit("/"), g)]).alias("template"), F.col("t_labelled").alias("labelled"), F.col("t_bad").alias("bad"), "purity", F.when(F.col("purity") >= REJECT_AT, "block").otherwise("allow").alias("verdict"))
+def template_verdicts(urls: DataFrame) -> DataFrame:
+    """One row a (host, segments): its template, labelled, bad, purity and verdict.
 
+    urls: host, segments and bad (true, false, or null where not labelled). Level by level, for each node of a host's
+    tree: where it has many children, the rare ones become '*'; of the others those are merged into '~' that resemble
+    the node's largest child in shape (which kinds of children they have in turn, in which shares) and in the rate of
+    bad labels. A branch without labels of its own has the rate of the same branch over all hosts, so labels reach it;
+    a branch without either counts as alike. A template's purity is its bad share smoothed towards that of the paths it
+    covers over all hosts, which is smoothed towards the share of all labels; at REJECT_AT it is blocked.
 
-def judged(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url", label: str | None = None, depth: int = DEPTH) -> DataFrame:
+    All sums combine before the shuffle. Node facts are joined to children with a salt, so a host of any size is dealt
+    out. A level takes three small jobs; there are as many levels as the deepest path has segments.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
+    tree = urls.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
+    tree = durable(tree.withColumn("template", F.lit("")))
+    depth = tree.agg(F.max(F.size("segments"))).head()[0] or 0
+    for i in range(depth):
+        s = F.when(F.size("segments") > i, F.get("segments", F.lit(i)))
+        below = F.coalesce(F.get("segments", F.lit(i + 1)), F.lit(""))
+        own = tree.filter(F.size("segments") > i).select("host", "template", s.alias("s"), below.alias("kind"), "n", "labelled", "bad")
+        child = durable(own.groupBy("host", "template", "s").agg(*sums))
+        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.max(F.struct("n", "s")).alias("top"))
+        node = node.select("host", "template", "children", "all_n", F.col("top.s").alias("top"))
+        over = child.groupBy("template", "s").agg(F.sum("labelled").alias("o_labelled"), F.sum("bad").alias("o_bad"))
+        facts = salted_join(salted_join(child, over, ["template", "s"], F.xxhash64("host"), SALTS), node, ["host", "template"], F.xxhash64("s"), SALTS)
+        facts = durable(facts)
+        # Shares of child kinds, of every child and of its node's largest one.
+        shape = own.groupBy("host", "template", "s", "kind").agg(F.sum("n").alias("k"))
+        of = facts.select("host", "template", "s", "top", F.col("n").alias("of"))
+        shape = salted_join(shape, of, ["host", "template", "s"], F.xxhash64("kind"), SALTS).select("host", "template", "s", "kind", "top", (F.col("k") / F.col("of")).alias("share"))
+        shape = durable(shape)
+        largest = shape.filter(F.col("s") == F.col("top")).select("host", "template", "kind", F.col("share").alias("top_share"))
+        # Two distributions overlap by the sum of their lesser shares.
+        alike = salted_join(shape, largest, ["host", "template", "kind"], F.xxhash64("s"), SALTS).groupBy("host", "template", "s").agg(F.sum(F.least("share", F.coalesce("top_share", F.lit(0.0)))).alias("overlap"))
+        facts = facts.join(alike, ["host", "template", "s"])  # a row each
+        own_rate = F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled")).when(F.col("o_labelled") > 0, F.col("o_bad") / F.col("o_labelled"))
+        facts = facts.select("host", "template", "s", "n", "children", "all_n", "top", "overlap", own_rate.alias("rate"), F.when(F.col("labelled") > 0, F.col("labelled")).otherwise(F.col("o_labelled")).alias("seen"))
+        facts = durable(facts)
+        best = facts.filter(F.col("s") == F.col("top")).select("host", "template", F.col("rate").alias("t_rate"), F.col("seen").alias("t_seen"))
+        facts = salted_join(facts, best, ["host", "template"], F.xxhash64("s"), SALTS)
+        mean = (F.col("rate") * F.col("seen") + F.col("t_rate") * F.col("t_seen") + 1) / (F.col("seen") + F.col("t_seen") + 2)
+        error = F.sqrt(mean * (1 - mean) * (1 / F.col("seen") + 1 / F.col("t_seen")))
+        rates = F.coalesce(F.abs(F.col("rate") - F.col("t_rate")) <= ERRORS * error, F.lit(True))
+        rare = (F.col("children") > CHILDREN) & (F.col("n") * F.col("children") < F.col("all_n"))
+        merged = (F.col("children") > 1) & (F.round("overlap", 9) >= 1 - SHAPE) & rates
+        name = F.when(F.col("s") == "", "").when(rare, "*").when(merged, "~").otherwise(F.col("s"))
+        named = facts.select("host", "template", "s", F.concat("template", F.lit("/"), name).alias("__next"))
+        rows = salted_join(tree.withColumn("s", s), named, ["host", "template", "s"], F.xxhash64("segments"), SALTS)
+        tree = durable(rows.withColumn("template", F.coalesce("__next", "template")).drop("s", "__next"))
+    over = tree.groupBy("segments").agg(F.sum("labelled").alias("o_labelled"), F.sum("bad").alias("o_bad"))
+    total = salted_join(tree, over, ["segments"], F.xxhash64("host"), SALTS).groupBy("host", "template")
+    total = total.agg(F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad"), F.sum("o_labelled").alias("o_labelled"), F.sum("o_bad").alias("o_bad"))
+    labelled, bad = tree.agg(F.sum("labelled"), F.sum("bad")).head()
+    out = salted_join(tree, total, ["host", "template"], F.xxhash64("segments"), SALTS)
+    whole = F.lit(((bad or 0) + PRIOR_WEIGHT * 0.5) / ((labelled or 0) + PRIOR_WEIGHT))
+    purity = F.round(_purity(F.col("t_bad"), F.col("t_labelled"), _purity(F.col("o_bad"), F.col("o_labelled"), whole)), 9)
+    out = out.withColumn("purity", purity)
+    return out.select("host", "segments", "template", F.col("t_labelled").alias("labelled"), F.col("t_bad").alias("bad"), "purity", F.when(F.col("purity") >= REJECT_AT, "block").otherwise("allow").alias("verdict"))
+
+
+def judged(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:
     """key, host, path, rule, verdict and template of every row.
 
     A rule's verdict stands; other urls get their template's. The labels from which templates are judged are the
     column `label` (true: bad) where it is named and set, else the rules' own verdicts on urls of the same tree. Null
     urls and urls without :// have an empty host and path, which are judged like any other; repeated rows are repeated
-    in the result; an empty table gives an empty result.
+    in the result; an empty table gives an empty result. Other columns, also ones named like those of the result, are
+    not looked at.
     """
     host, path = host_and_path(F.col(url))
     told = F.col(label).cast("boolean") if label else F.lit(None).cast("boolean")
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), told.alias("told"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "says": says})
-    rows = rows.withColumns({f"s{i + 1}": s for i, s in enumerate(segments(F.col("path"), depth))} | {"bad": F.coalesce("told", F.col("says") == "block")})
-    names = ["host", *[f"s{i + 1}" for i in range(depth)]]
-    facts = template_verdicts(rows.select(*names, "bad"), depth).select(*names, "template", "verdict")
-    out = salted_join(rows, facts, names, F.xxhash64("key", "path"))
-    return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("says", "verdict").alias("verdict"), "template")
+    rows = rows.withColumns({"rule": rule, "says": says}).withColumns({"segments": segments(F.col("path")), "bad": F.coalesce("told", F.col("says") == "block")})
+    facts = template_verdicts(rows.select("host", "segments", "bad")).select("host", "segments", "template", F.col("verdict").alias("judged"))
+    out = salted_join(rows, facts, ["host", "segments"], F.xxhash64("key", "path"))
+    return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("says", "judged").alias("verdict"), "template")
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -105,15 +138,21 @@ def op2_url_filters(spark, sf_dir: str) -> DataFrame:
 
 def _level(i: int) -> str:
     """The SQL of one level of the tree."""
-    above = ", ".join(["host", *[f"g{k + 1}" for k in range(i)]])
-    s, g, last = f"s{i + 1}", f"g{i + 1}", f"tree{i}"
+    last, s = f"tree{i}", f"a[{i + 1}]"
     return f"""
-, child{i} AS (SELECT {above}, {s}, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM {last} GROUP BY ALL)
-, named{i} AS (SELECT {above}, {s}, CASE WHEN {s} = '' THEN '' WHEN count(*) OVER w > {CHILDREN} AND n * count(*) OVER w < sum(n) OVER w THEN '*'
-    WHEN labelled > 0 AND abs(bad / labelled - sum(bad) OVER w / sum(labelled) OVER w)
-      <= {ERRORS}::DOUBLE * sqrt(((sum(bad) OVER w + 1) / (sum(labelled) OVER w + 2)) * (1 - (sum(bad) OVER w + 1) / (sum(labelled) OVER w + 2)) / labelled) THEN '~' ELSE {s} END AS {g}
-  FROM child{i} WINDOW w AS (PARTITION BY {above}))
-, tree{i + 1} AS (SELECT * FROM {last} JOIN named{i} USING ({above}, {s}))"""
+, own{i} AS (SELECT host, template, {s} AS s, coalesce(a[{i + 2}], '') AS kind, n, labelled, bad FROM {last} WHERE len(a) > {i})
+, child{i} AS (SELECT host, template, s, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM own{i} GROUP BY ALL)
+, node{i} AS (SELECT host, template, count(*) AS children, sum(n) AS all_n, first(s ORDER BY n DESC, s DESC) AS top FROM child{i} GROUP BY ALL)
+, over{i} AS (SELECT template, s, sum(labelled) AS o_labelled, sum(bad) AS o_bad FROM child{i} GROUP BY ALL)
+, share{i} AS (SELECT host, template, s, kind, sum(o.n) / c.n AS share FROM own{i} o JOIN child{i} c USING (host, template, s) GROUP BY host, template, s, kind, c.n)
+, alike{i} AS (SELECT x.host, x.template, x.s, sum(least(x.share, coalesce(t.share, 0))) AS overlap FROM share{i} x JOIN node{i} USING (host, template)
+    LEFT JOIN share{i} t ON t.host = x.host AND t.template = x.template AND t.s = top AND t.kind = x.kind GROUP BY ALL)
+, facts{i} AS (SELECT host, template, s, n, children, all_n, top, overlap, CASE WHEN labelled > 0 THEN bad / labelled WHEN o_labelled > 0 THEN o_bad / o_labelled END AS rate,
+    CASE WHEN labelled > 0 THEN labelled ELSE o_labelled END AS seen FROM child{i} JOIN over{i} USING (template, s) JOIN node{i} USING (host, template) JOIN alike{i} USING (host, template, s))
+, pairs{i} AS (SELECT f.*, t.rate AS t_rate, t.seen AS t_seen, (f.rate * f.seen + t.rate * t.seen + 1) / (f.seen + t.seen + 2) AS mean FROM facts{i} f JOIN facts{i} t ON f.host = t.host AND f.template = t.template AND t.s = f.top)
+, named{i} AS (SELECT host, template, s, template || '/' || CASE WHEN s = '' THEN '' WHEN children > {CHILDREN} AND n * children < all_n THEN '*'
+    WHEN children > 1 AND round(overlap, 9) >= 1 - {SHAPE}::DOUBLE AND (rate IS NULL OR t_rate IS NULL OR abs(rate - t_rate) <= {ERRORS}::DOUBLE * sqrt(mean * (1 - mean) * (1 / seen + 1 / t_seen))) THEN '~' ELSE s END AS further FROM pairs{i})
+, tree{i + 1} AS (SELECT t.host, t.a, coalesce(further, t.template) AS template, n, labelled, bad FROM {last} t LEFT JOIN named{i} m ON m.host = t.host AND m.template = t.template AND m.s = t.{s})"""
 
 
 SQL = (
@@ -126,16 +165,18 @@ WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url,
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM split)
-, plain AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(path, '(^|[^0-9A-Za-z])[0-9a-fA-F-]{16,}($|[^0-9A-Za-z])', '\1<h>\2', 'g'), '[0-9]+', '<n>', 'g'), '^/+|/+$', '', 'g') AS p,
+, tokens AS (SELECT *, list_transform(regexp_extract_all(path, '[0-9A-Za-z-]+|[^0-9A-Za-z-]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9a-fA-F-]{16,}') THEN '<h>' ELSE x END) AS w,
     CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS bad FROM ruled)
-, parts AS (SELECT *, regexp_split_to_array(p, '/+') AS a FROM plain)
-, rows AS (SELECT page_id, host, path, rule, bad, coalesce(a[1], '') AS s1, coalesce(a[2], '') AS s2, coalesce(array_to_string(a[3:], '/'), '') AS s3 FROM parts)
-, tree0 AS (SELECT host, s1, s2, s3, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM rows GROUP BY ALL)"""
-    + "".join(_level(i) for i in range(DEPTH))
+, rows AS (SELECT page_id, host, path, rule, bad, regexp_split_to_array(regexp_replace(regexp_replace(array_to_string(w, ''), '[0-9]+', '<n>', 'g'), '^/+|/+$', '', 'g'), '/+') AS a FROM tokens)
+, tree0 AS (SELECT host, a, '' AS template, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM rows GROUP BY ALL)"""
+    + "".join(_level(i) for i in range(SQL_LEVELS))
     + f"""
-, total AS (SELECT host, s1, s2, s3, '/' || g1 || '/' || g2 || '/' || g3 AS template,
-    CASE WHEN (sum(bad) OVER w + {PRIOR_WEIGHT} / 2) / (sum(labelled) OVER w + {PRIOR_WEIGHT}) >= {REJECT_AT} THEN 'block' ELSE 'allow' END AS verdict FROM tree{DEPTH} WINDOW w AS (PARTITION BY host, g1, g2, g3))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE verdict END AS verdict, template
-FROM rows JOIN total USING (host, s1, s2, s3)
+, overall AS (SELECT a, sum(labelled) AS o_labelled, sum(bad) AS o_bad FROM tree{SQL_LEVELS} GROUP BY ALL)
+, total AS (SELECT host, template, sum(labelled) AS t_labelled, sum(bad) AS t_bad, sum(o_labelled) AS o_labelled, sum(o_bad) AS o_bad FROM tree{SQL_LEVELS} JOIN overall USING (a) GROUP BY ALL)
+, prior AS (SELECT (sum(t_bad) + {PRIOR_WEIGHT} * 0.5::DOUBLE) / (sum(t_labelled) + {PRIOR_WEIGHT}) AS p FROM total)
+, verdicts AS (SELECT host, template, CASE WHEN round((t_bad + {PRIOR_WEIGHT}::DOUBLE * ((o_bad + {PRIOR_WEIGHT}::DOUBLE * p) / (o_labelled + {PRIOR_WEIGHT}))) / (t_labelled + {PRIOR_WEIGHT}), 9) >= {REJECT_AT}::DOUBLE
+    THEN 'block' ELSE 'allow' END AS judged FROM total CROSS JOIN prior)
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE judged END AS verdict, t.template
+FROM rows r JOIN tree{SQL_LEVELS} t ON r.host = t.host AND r.a = t.a JOIN verdicts v ON v.host = t.host AND v.template = t.template
 """
 )

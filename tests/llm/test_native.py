@@ -44,6 +44,20 @@ def test_url_templates(spark):
     assert out["/wiki/new"]["verdict"] == "allow" and out["/other"]["verdict"] == "allow" and out["/wiki/Page3"]["verdict"] == "allow"
 
 
+def test_labels_reach_urls_without_a_rule(spark):
+    rows = [(f"h{h}.example.{top}", f"/{lang}/{n}") for h in range(6) for top in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(100, 110)]
+    rows += [("deep.example.org", "/de/" + "/".join(f"x{i}" for i in range(2)) + f"/{n}") for n in range(40)] + [("other.test", "/news/1")]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", "x", "y", "z") for i, (h, p) in enumerate(rows)], "page_id bigint, url string, path string, rule string, template string")
+    out = urls.judged(pages).collect()
+    plain = {(r["host"][-3:], r["path"].split("/")[1], r["verdict"]) for r in out if r["rule"] is None and r["host"].startswith("h")}
+    # de and es are bad wherever a rule speaks of them, en is not; fr is bad on net and good on org.
+    assert {("com", "en", "allow"), ("org", "en", "allow"), ("org", "de", "block"), ("org", "es", "block"), ("com", "es", "block")} <= plain
+    assert not {("com", "en", "block"), ("org", "en", "block"), ("org", "de", "allow"), ("org", "es", "allow"), ("com", "es", "allow")} & plain
+    deep = {r["template"] for r in out if r["host"] == "deep.example.org"}
+    assert len(deep) == 1 and deep.pop().endswith("/<n>")
+    assert [r["verdict"] for r in out if r["host"] == "other.test"] == ["allow"]
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 
