@@ -18,7 +18,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Toxicity scores and token ids can't be had in SQL; the stages are tested one by one and together.
+#: Toxicity scores and token ids can't be had in SQL; a test runs the pipeline over a small corpus with known groups.
 ORACLE_SQL = None
 
 
