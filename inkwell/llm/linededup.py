@@ -19,8 +19,8 @@ CONSTANT = 75
 #: A sentence within a line is looked at by itself from so many tokens on; shorter ones recur by chance. Lines of any
 #: length are.
 SENTENCE = 8
-#: Bits of the filter that spares most lines outside shared leaves from being handed on token by token (2 MB, whatever
-#: the input; the join behind it is exact).
+#: Bits of the filters that spare most lines outside shared leaves, and most that don't recur, from being handed on (2 MB
+#: each, whatever the input; the joins behind them are exact).
 FILTER = 1 << 24
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
 _PIECE = re.compile(rb".*?[.!?]+[\x20\t\x0b-\r]+|.+")
@@ -74,9 +74,10 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _lines(docs: DataFrame, leaves: bool) -> DataFrame:
-    """doc, key, no, line and, if asked for, leaf of every unit of docs (doc, key, raw)."""
+def _lines(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """doc, key, no, line and leaf of every unit of docs (doc, key, raw); with bits, no leaf, and units whose bit is set."""
     shape = docs.select("doc", "key").schema.add("no", "integer").add("line", "long")
+    leaves = bits is None
     if leaves:
         shape = shape.add("leaf", "long")
 
@@ -85,9 +86,12 @@ def _lines(docs: DataFrame, leaves: bool) -> DataFrame:
             row, no, line, leaf = [], [], [], []
             for r, raw in enumerate(batch.column(2).to_pylist()):
                 for i, own in units(raw or b""):
+                    name = xxhash.xxh64_intdigest(own)
+                    if bits is not None and not bits[name % FILTER >> 3] >> (name & 7) & 1:
+                        continue
                     row.append(r)
                     no.append(i)
-                    line.append(xxhash.xxh64_intdigest(own))
+                    line.append(name)
                     if leaves:
                         leaf.append(leaf_of(own))
             take = pa.array(row, pa.int64())
@@ -121,16 +125,28 @@ def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(tidy(task), "line bigint, leaf bigint, tokens array<bigint>")
 
 
-def _filter_of(leaves: DataFrame) -> np.ndarray:
-    """A bit for each leaf, as bytes; at most FILTER / 64 rows come to the driver."""
-    slot = F.pmod("leaf", F.lit(FILTER))  # what the leaf, unsigned, leaves modulo a power of two
-    words = leaves.select(F.shiftright(slot, 6).cast("int").alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+def _filter_of(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash in the column, as bytes; at most FILTER / 64 rows come to the driver."""
+    slot = F.pmod(column, F.lit(FILTER))  # what the hash, unsigned, leaves modulo a power of two
+    words = rows.select(F.shiftright(slot, 6).cast("int").alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bits = np.zeros(FILTER >> 6, np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     return bits.view(np.uint8)
 
 
+def _where_set(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose hash in the column has its bit set: all that an exact join with the filter's hashes keeps, and few others."""
+    at = rows.columns.index(column)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER)
+            yield batch.filter(pa.array((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.mapInArrow(tidy(task), rows.schema)
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """line, first: for each unit of a template that recurs across documents the first document that has it.
 
@@ -142,18 +158,23 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """
     several = F.col("lo") != F.col("hi")
     span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    distinct = _lines(docs, True).groupBy("line", "leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    distinct = _lines(docs).groupBy("line", "leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     distinct = stored(distinct, "lines-distinct")
     leaves = stored(distinct.groupBy("leaf").agg(*span, F.count(F.lit(1)).alias("n")).filter(several & (F.col("n") > 1)).select("leaf"), "lines-leaves")
-    tokens = _tokens_in(docs.select("raw"), _filter_of(leaves)).dropDuplicates(["line"])
-    rows = distinct.join(leaves, "leaf", "left_semi").select("line", "lo", "hi").join(tokens, "line")
-    at = stored(rows.select("line", "leaf", "lo", "hi", F.posexplode("tokens").alias("at", "token")).withColumn("value", F.when(F.col("token").isNotNull(), F.xxhash64("leaf", "at", "token"))).drop("token"), "lines-positions")
+    bits = _filter_of(leaves, "leaf")
+    tokens = _tokens_in(docs.select("raw"), bits).drop("leaf").dropDuplicates(["line"])
+    shared = _where_set(distinct, "leaf", bits).join(leaves, "leaf", "left_semi")
+    rows = stored(shared.join(tokens, "line"), "lines-shared")
+    at = rows.select("line", "lo", "hi", F.posexplode("tokens").alias("at", "token"), "leaf").withColumn("value", F.when(F.col("token").isNotNull(), F.xxhash64("leaf", "at", "token")))
     constant = at.filter("value is not null").groupBy("value").agg(*span).filter(several).select("value", F.lit(1).alias("constant"))
-    marked = at.filter("value is not null").join(constant, "value", "left").unionByName(at.filter("value is null").withColumn("constant", F.lit(None).cast("int")))
+    # Where a unit stands comes back once it is one row again; its tokens move without.
+    placed = at.select("line", "at", "value")
+    marked = placed.filter("value is not null").join(constant, "value", "left").unionByName(placed.filter("value is null").withColumn("constant", F.lit(None).cast("int")))
     held = F.when(F.col("constant").isNotNull(), F.col("value")).otherwise(F.xxhash64("at"))
     # Hashes of positions are combined by xor, which needs no order.
-    named = marked.groupBy("line", "leaf").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count("value").alias("positions"), *span)
-    named = stored(named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT).drop("constants", "positions"), "lines-named")
+    named = marked.groupBy("line").agg(F.bit_xor(held).alias("template"), F.count("constant").alias("constants"), F.count("value").alias("positions"))
+    named = named.filter(F.col("constants") * 100 >= F.col("positions") * CONSTANT).select("line", "template")
+    named = stored(named.join(rows.select("line", "leaf", "lo", "hi"), "line"), "lines-named")
     first = named.groupBy("leaf", "template").agg(*span).filter(several).select("leaf", "template", F.col("lo").alias("first"))
     alike = named.join(first, ["leaf", "template"]).select("line", "first")
     # A unit that recurs as it is needs no look at its tokens; what resembles it may have come before it.
@@ -213,7 +234,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.xxhash64(ident, F.col(text)).alias("doc"), ident.alias("key"), F.col(text).cast("binary").alias("raw"))
     # Reading the texts again costs less than holding every line between.
     found = recurring_lines(rows)
-    gone = _lines(rows, False).join(found, "line").filter(F.col("key") != F.col("first"))
+    gone = _lines(rows, _filter_of(found, "line")).join(found, "line").filter(F.col("key") != F.col("first"))
     # The same lines of one document, or of rows repeated, come once.
     gone = gone.groupBy("doc").agg(F.collect_set("no").alias("__gone"))
     told = docs.select(*keep).withColumn("__doc", F.xxhash64(ident, F.col(text)))
