@@ -345,9 +345,22 @@ def promotion_candidates(spark, sf_dir):
     return stats.repeat_causes(samples.events(spark, sf_dir), limit=None)
 
 
-@_register()
+_STATS = """,
+h AS (SELECT project, count(*) AS total, CAST(round(avg(seconds)) AS BIGINT) AS avg_resolution_seconds FROM e GROUP BY project),
+k AS (SELECT project, '{' || string_agg('"' || kind || '":' || c, ',' ORDER BY kind) || '}' AS by_kind FROM (SELECT project, kind, count(*) AS c FROM e GROUP BY ALL) GROUP BY project),
+r AS (SELECT project, '{' || string_agg('"' || result || '":' || c, ',' ORDER BY result) || '}' AS by_result FROM (SELECT project, result, count(*) AS c FROM e GROUP BY ALL) GROUP BY project),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY c DESC, module) AS place FROM (SELECT project, module, count(*) AS c FROM e WHERE module IS NOT NULL GROUP BY ALL)),
+m AS (SELECT project, '[' || string_agg('{"position":' || place || ',"value":"' || module || '","n":' || c || '}', ',' ORDER BY place) FILTER (place <= 12) || ']' AS by_module, greatest(count(*) - 12, 0) AS omitted FROM m1 GROUP BY project),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, root_cause, module NULLS LAST) AS place FROM n),
+c AS (SELECT project, '[' || string_agg('{"position":' || place || ',"root_cause":' || CAST(to_json(root_cause) AS VARCHAR) || coalesce(',"module":"' || module || '"', '') || ',"n":' || n || '}', ',' ORDER BY place) FILTER (place <= 12) || ']' AS repeat_causes FROM c1 GROUP BY project)
+SELECT h.*, by_kind, by_result, by_module, coalesce(omitted, 0) AS by_module_omitted, repeat_causes FROM h LEFT JOIN k USING (project) LEFT JOIN r USING (project) LEFT JOIN m USING (project) LEFT JOIN c USING (project)"""
+
+
+@_register(_REPEATS + _STATS)
 def event_stats(spark, sf_dir):
-    return stats.event_stats(samples.events(spark, sf_dir))
+    """The statistics of each project, nested columns as JSON."""
+    out = stats.event_stats(samples.events(spark, sf_dir))
+    return out.withColumns({c: F.to_json(c) for c in ("by_kind", "by_result", "by_module", "repeat_causes")})
 
 
 @_register(
@@ -417,11 +430,14 @@ def backfill(spark, sf_dir):
 
 
 @_register(
-    "SELECT event_id, 'dsn postgres://app:***@db/x and password=*** key sk-***' AS redacted, CASE WHEN event_id % 2 = 0 THEN 'failed: ' ELSE 'failed' END AS clipped FROM events"
+    r"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(props || ' dsn postgres://app:p@ss' || user_id || '@db/x and password=top' || event_id || ' key sk-abcdefgh' || event_id,
+    '([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*):[^\s]*@', '\1:***@', 'g'), '(?i)\b((?:ssl)?password\s*=\s*)(''(?:[^''\\]|\\.)*''|[^\s&''][^\s&]*)', '\1***', 'g'), '\bsk-[A-Za-z0-9_-]{8,}', 'sk-***', 'g') AS redacted,
+    CASE WHEN event_id % 2 = 0 THEN 'failed: ' ELSE 'failed' END AS clipped FROM events"""
 )
 def redaction(spark, sf_dir):
+    """The events' own texts with a sample secret of each kind at their ends."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    line = F.concat(F.lit("dsn postgres://app:p@ss"), F.col("user_id").cast("string"), F.lit("@db/x and password=top"), F.col("event_id").cast("string"), F.lit(" key sk-abcdefgh"), F.col("event_id").cast("string"))
+    line = F.concat(F.col("props"), F.lit(" dsn postgres://app:p@ss"), F.col("user_id").cast("string"), F.lit("@db/x and password=top"), F.col("event_id").cast("string"), F.lit(" key sk-abcdefgh"), F.col("event_id").cast("string"))
     error = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("failed: "), F.lit('{"'), "props")).otherwise(F.concat(F.lit("failed\n"), "props"))
     return e.select("event_id", T.redact(line).alias("redacted"), T.clip_error(error).alias("clipped"))
 
