@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, linededup, media, mixing, neardup, packing, quality, toolcalls, toxicity, urls
+from . import decontamination, html_text, linededup, media, mixing, neardup, packing, quality, resampling, reversed_search, toolcalls, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_media_columns": media.op8_media_columns,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_tool_calls": toolcalls.op10_tool_calls,
+        "op11_reversed_search": reversed_search.op11_reversed_search,
+        "op12_decontamination": decontamination.op12_decontamination,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.SQL, "op2_url_filters": urls.SQL, "op4_mixing": mixing.SQL, "op10_tool_calls": toolcalls.SQL}
+    return {
+        "op1_line_dedup": linededup.SQL,
+        "op2_url_filters": urls.SQL,
+        "op4_mixing": mixing.SQL,
+        "op10_tool_calls": toolcalls.SQL,
+        "op11_reversed_search": reversed_search.SQL,
+        "op12_decontamination": decontamination.SQL,
+        "op13_resampling": resampling.SQL,
+    }
