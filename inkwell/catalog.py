@@ -13,7 +13,7 @@ from .operators import audit, changes, ranking, stats
 from .plans import ingest as ing
 from .plans import ledger, search
 from .schemas import CHUNKS, DOCUMENTS, POOL
-from .sources import corpus, samples
+from .sources import corpus, index, samples
 from .sources import ledger as sinks
 from .sources.shared import shared_folder
 from .streaming import intake
@@ -209,8 +209,10 @@ picked AS (SELECT capped.*, CAST(row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _arms(spark, sf_dir):
-    chunks = samples.line_chunks(spark, sf_dir)
-    return samples.documents(spark, sf_dir), chunks, samples.doc_queries(spark, sf_dir)
+    """Documents, chunks, queries and the queries' postings of the stored index."""
+    root, asked = samples.line_index(spark, sf_dir), samples.doc_queries(spark, sf_dir)
+    documents, chunks = index.read_index(spark, root)
+    return documents, chunks, asked, index.read_postings(spark, root, ranking.asked_terms(asked))
 
 
 @_register(f"WITH {_LINES}, t AS (SELECT project, {_TOKENS.format("heading_path || ' ' || content")} AS t FROM c), w AS (SELECT project, unnest(t) AS term FROM t) SELECT project, term, count(*) AS n FROM w GROUP BY ALL")
@@ -218,32 +220,35 @@ def token_stats(spark, sf_dir):
     return ranking.token_table(samples.line_chunks(spark, sf_dir)).groupBy("project", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _described(docs, chunks):
+    return chunks.join(docs.select("project", "repo", "path", "module", "doc_type", "status"), ["project", "repo", "path"])
+
+
 @_register(f"WITH {_LINES}, {_Q}, {_KEYWORD} SELECT * FROM kw")
 def keyword_arm(spark, sf_dir):
-    docs, chunks, asked = _arms(spark, sf_dir)
-    return ranking.keyword_arm(ranking.token_table(chunks), docs, asked)
+    docs, _, asked, found = _arms(spark, sf_dir)
+    return ranking.keyword_arm(found, docs, asked)
 
 
 @_register(f"WITH {_LINES}, {_Q}, {_VECTOR} SELECT * FROM vec")
 def vector_arm(spark, sf_dir):
-    _, chunks, asked = _arms(spark, sf_dir)
-    return ranking.vector_arm(chunks, asked)
+    docs, chunks, asked, _ = _arms(spark, sf_dir)
+    return ranking.vector_arm(_described(docs, chunks), asked)
 
 
 @_register(
     f"WITH {_LINES}, {_Q}, {_KEYWORD}, {_VECTOR}, {_FUSED} SELECT query_id, position, repo, path, chunk_idx, round(score, 6) AS score FROM picked JOIN (SELECT query_id, coalesce(top_k, 8) AS k FROM q) USING (query_id) WHERE position <= k"
 )
 def hybrid_search(spark, sf_dir):
-    docs, chunks, asked = _arms(spark, sf_dir)
+    docs, chunks, asked, found = _arms(spark, sf_dir)
     accepted, _ = search.checked_doc_queries(asked)
-    picked = ranking.fused(ranking.keyword_arm(ranking.token_table(chunks), docs, accepted), ranking.vector_arm(chunks, accepted), accepted)
+    picked = ranking.fused(ranking.keyword_arm(found, docs, accepted), ranking.vector_arm(_described(docs, chunks), accepted), accepted)
     return picked.select("query_id", "position", *ranking.KEY, F.round("score", 6).alias("score"))
 
 
 @_register()
 def search_excerpts(spark, sf_dir):
-    docs, chunks, asked = _arms(spark, sf_dir)
-    return search.search_docs(asked, docs, chunks.drop("module", "doc_type", "status"))
+    return search.search_index(samples.doc_queries(spark, sf_dir), samples.line_index(spark, sf_dir))
 
 
 _EQ = f"""q AS (SELECT *, CASE WHEN query_id % 2 = 1 THEN TIMESTAMP '2024-01-02' END AS since, CASE WHEN query_id % 10 = 3 THEN TIMESTAMP '2024-01-20' END AS until FROM ({samples.sql(samples.EVENT_QUERIES, "benchmark")})),
@@ -263,7 +268,7 @@ m AS (SELECT query_id, id, round(CASE query_id % 4 WHEN 0 THEN CASE WHEN a > 0 T
     f"SELECT query_id, position, id, title, summary, kind, result, module, {_EOUT} AS occurred_at, round(1.0::DOUBLE / (60 + position), 6) AS score FROM r WHERE position <= 8"
 )
 def event_search(spark, sf_dir):
-    return search.search_events(samples.event_queries(spark, sf_dir).filter("query is not null"), samples.events(spark, sf_dir))
+    return search.search_events(samples.event_queries(spark, sf_dir).filter("query is not null"), root=samples.event_store(spark, sf_dir))
 
 
 @_register(
@@ -271,7 +276,7 @@ def event_search(spark, sf_dir):
     f"SELECT query_id, position, id, title, summary, kind, result, module, {_EOUT} AS occurred_at, CAST(NULL AS DOUBLE) AS score FROM r WHERE position <= 8"
 )
 def event_search_filters(spark, sf_dir):
-    return search.search_events(samples.event_queries(spark, sf_dir).filter("query is null"), samples.events(spark, sf_dir))
+    return search.search_events(samples.event_queries(spark, sf_dir).filter("query is null"), root=samples.event_store(spark, sf_dir))
 
 
 @_register(
@@ -382,8 +387,8 @@ def kb_status(spark, sf_dir):
     "'{' || array_to_string([x FOR x IN ['\"doc_type\":\"' || doc_type || '\"', '\"module\":\"' || module || '\"', '\"status\":\"' || status || '\"'] IF x IS NOT NULL], ',') || '}' AS filters, array_to_string(coalesce(paths, []), ' ') AS hit_paths, coalesce(len(paths), 0) AS hit_count FROM q LEFT JOIN h USING (query_id)"
 )
 def query_log(spark, sf_dir):
-    docs, chunks, asked = _arms(spark, sf_dir)
-    hits = ranking.keyword_arm(ranking.token_table(chunks), docs, asked)
+    docs, _, asked, found = _arms(spark, sf_dir)
+    hits = ranking.keyword_arm(found, docs, asked)
     from pyspark.sql import Window
 
     hits = hits.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ts_rank"), *ranking.KEY)))
@@ -553,17 +558,42 @@ _MD_RIGHT = f"SELECT project, path, replace(text, 'doc_type: novel', 'doc_type:
 def stream_ingest(spark, sf_dir):
     """The index after two batches: all files, then new versions of every fourth beside files that haven't changed."""
     folder = shared_folder(spark)
-    sinks.write_index(spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS), f"{folder}/index")
     d = samples.markdown(spark, sf_dir).withColumn("text", F.regexp_replace("text", "doc_type: novel", "doc_type: other"))
     newer = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\nmore\n"))).otherwise(F.col("text"))
     for text, at in ((F.col("text"), "2024-01-01"), (newer, "2024-01-02")):
         rows = d.select("project", "path", text.cast("binary").alias("content"), F.to_timestamp(F.lit(at)).alias("mtime"))
         rows.write.mode("append").parquet(f"{folder}/files")
         intake.incremental(spark.readStream.schema(rows.schema).parquet(f"{folder}/files"), f"{folder}/index", f"{folder}/state").awaitTermination()
-    documents, _ = sinks.read_index(spark, f"{folder}/index")
+    documents, _ = index.read_index(spark, f"{folder}/index")
     return documents.select("project", "path", "content_hash", "title")
 
 
+@_register(
+    f"WITH d AS ({_MD_RIGHT}), n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS five, count(*) FILTER (doc_id % 7 = 0) AS seven, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 7 <> 0) AS changed FROM d) "
+    "SELECT 1 AS version, 1 AS segments, n AS written, n AS touched, n AS documents FROM n UNION ALL SELECT 2, 2, changed, changed + seven, n - seven FROM n "
+    "UNION ALL SELECT 3, 1, n - seven, 0, n - seven FROM n UNION ALL SELECT 4, 2, seven, seven, n FROM n"
+)
+def index_versions(spark, sf_dir):
+    """What each version of a stored index holds and wrote: a first run, one that changes and deletes, a compaction, a partial run."""
+    root = f"{shared_folder(spark)}/index"
+    d = samples.markdown(spark, sf_dir).withColumn("text", F.regexp_replace("text", "doc_type: novel", "doc_type: other"))
+    five, seven = F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0
+
+    def run(rows, whole):
+        raw = rows.select("project", "path", F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
+        ing.ingest_into(root, raw, rows.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact")), f"{root}/runs", whole=whole)
+
+    run(d, True)
+    run(d.filter(~seven).withColumn("text", F.when(five, F.concat("text", F.lit("\nmore\n"))).otherwise(F.col("text"))), True)
+    index.compact(spark, root)
+    run(d.filter(seven), False)
+    told = []
+    for version in index.versions(spark, root):
+        head = index.manifest(spark, root, version)
+        told.append((version, len(head["segments"]), head["segments"][-1]["documents"], head["segments"][-1]["touched"], index.read_index(spark, root, version)[0].count()))
+    return spark.createDataFrame(told, "version int, segments int, written bigint, touched bigint, documents bigint")
+
+
 @_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) FILTER (kind = 'success') AS ok, count(*) FILTER (kind <> 'success') AS running FROM e GROUP BY project")
 def run_ledger(spark, sf_dir):
     """A run for each event; those of successes have ended."""

@@ -22,12 +22,6 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(tokenize(query))
 
 
-def pair_miss(distance: Column) -> Column:
-    """1 less the weight of two different terms at a distance: the factor of a chunk's proximity rank."""
-    near = 1 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))
-    return 1 - F.sqrt(0.1 * 0.1 * F.when(distance > 100, F.lit(1e-30)).otherwise(near))
-
-
 def term_weight(count: Column) -> Column:
     """The rank of one term that occurs so often (at most 255 occurrences count)."""
     sums = list(itertools.accumulate(1.0 / (j * j) for j in range(1, 256)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_text
-from ..functions.tokens import length_norm, pair_miss, query_terms, term_weight, tokenize
+from ..functions.tokens import length_norm, query_terms, term_weight, tokenize
 from ..schemas import PER_DOCUMENT, POOL, RRF_K, TOP_K
+from .postings import postings
 
 KEY = ["repo", "path", "chunk_idx"]
-#: Query vectors that one scan compares; more are to be asked in several batches.
-MOST_VECTORS = 4096
+#: Rows, and numbers of query vectors, that are sent to all tasks of a join (some 10 and 64 MB); more rows move both sides.
+SENT, SENT_NUMBERS = 100_000, 1 << 24
+#: Vectors of a tile, tiles of a project that a task gathers, queries of a block, parts of a project in a shuffle.
+TILE, GATHERED, BLOCK, SALTS = 2048, 8, 512, 16
+#: Found rows that a task holds.
+HELD_ROWS = 1 << 21
+#: Positions beyond which the distance of two terms counts the same.
+NEAR = 100
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
-    """project, KEY, n_tokens, pos, term: every token of every chunk; worth storing, bucketed by project and term."""
+    """project, KEY, n_tokens, pos, term: every token of every chunk."""
     t = tokenize(search_text(F.col("heading_path"), F.col("content")))
     rows = chunks.select("project", *KEY, t.alias("t"))
     return rows.select("project", *KEY, F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
@@ -43,89 +51,183 @@ def top_per_query(rows: DataFrame, order: list[Column], n: int = POOL, group: st
 
 
 def proximity(hits: Column) -> Column:
-    """1 less the product of all pairs' misses over (term, pos) structs; 1e-20 without a pair."""
+    """1 less the product of all pairs' misses over (term, positions) structs; 1e-20 without a pair.
+
+    Pairs of terms further apart than NEAR positions all have one factor, a hair below 1, so they are only counted. The
+    others stand, in the merged order of positions, among the NEAR places that follow: the work grows with the hits.
+    """
+    own = F.transform(hits, lambda h: F.filter(h["positions"], lambda p: p <= 16383))
+    merged = F.array_sort(F.flatten(F.transform(own, lambda ps, t: F.transform(ps, lambda p: F.struct(p.alias("p"), t.alias("t"))))))
+    miss = F.lit([1 - math.sqrt(0.1 * 0.1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in range(1, NEAR + 1)])
+    start = F.struct(F.lit(1.0).alias("miss"), F.lit(0).cast("long").alias("n"))
+
+    def ahead(a: Column, i: Column) -> Column:
+        near = F.filter(F.slice(merged, i + 2, NEAR), lambda b: (b["t"] != a["t"]) & (b["p"] - a["p"] <= NEAR))
+        return F.aggregate(near, start, lambda acc, b: F.struct((acc["miss"] * F.element_at(miss, b["p"] - a["p"])).alias("miss"), (acc["n"] + 1).alias("n")))
+
+    near = F.aggregate(F.transform(merged, ahead), start, lambda acc, x: F.struct((acc["miss"] * x["miss"]).alias("miss"), (acc["n"] + x["n"]).alias("n")))
+    size = lambda ps: F.size(ps).cast("long")
+    all_, same = F.size(merged).cast("long"), F.aggregate(own, F.lit(0).cast("long"), lambda acc, ps: acc + size(ps) * size(ps))
+    far = F.pow(F.lit(1 - 0.1 * 1e-15), ((all_ * all_ - same) / 2 - near["n"]).cast("double"))
+    return F.greatest(1 - near["miss"] * far, F.lit(1e-20))
+
+
+def sent(rows: DataFrame, most: int = SENT) -> DataFrame:
+    """rows to be sent to every task of a join where they are at most `most` (counted first), else to meet it in a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
-    def row(a: Column) -> Column:
-        others = F.filter(hits, lambda b: (b["term"] > a["term"]) & (b["pos"] != a["pos"]))
-        return F.aggregate(others, F.lit(1.0), lambda acc, b: acc * pair_miss(F.abs(a["pos"] - b["pos"]).cast("double")))
 
-    miss = F.aggregate(F.transform(hits, row), F.lit(1.0), lambda acc, x: acc * x)
-    return F.greatest(1 - miss, F.lit(1e-20))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, project, q_module, q_doc_type, q_status, n_terms, term: a row for each distinct term of a query."""
+    terms = queries.select("query_id", "project", *[F.col(f).alias(f"q_{f}") for f in ("module", "doc_type", "status")], query_terms(F.col("query")).alias("terms"))
+    return terms.withColumn("n_terms", F.size("terms")).select("*", F.explode("terms").alias("term")).drop("terms")
 
 
-def keyword_matches(tokens: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, KEY, ts_rank of the chunks that have all terms of a query and pass its filters."""
-    terms = queries.select("query_id", F.col("project"), *[F.col(f).alias(f"q_{f}") for f in ("module", "doc_type", "status")], query_terms(F.col("query")).alias("terms"))
-    terms = terms.withColumn("n_terms", F.size("terms")).select("*", F.explode("terms").alias("term")).drop("terms")
-    # Only tokens that some query asks for go on; documents' fields decide within the join, before any ranking. The terms
-    # of a batch of bounded size go to the tokens, which then don't move; a larger batch meets them in a shuffle.
-    if queries.limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
-        terms = F.broadcast(terms)
-    hit = tokens.join(terms, ["project", "term"])
+def keyword_matches(found: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, KEY, ts_rank of the chunks that have all terms of a query and pass its filters; found: postings of chunks.
+
+    Only postings that some query asks for go on; documents' fields decide before any ranking. A chunk meets a query in
+    one row, of one list of positions a term.
+    """
+    hit = found.join(sent(asked_terms(queries)), ["project", "term"])
     hit = hit.join(documents.select("project", "repo", "path", "module", "doc_type", "status"), ["project", "repo", "path"]).filter(filters_fit())
-    hit = hit.groupBy("query_id", *KEY, "n_terms", "n_tokens").agg(F.collect_list(F.struct("term", "pos")).alias("hits"), F.count_distinct("term").alias("found"))
-    hit = hit.filter(F.col("found") == F.col("n_terms"))
-    capped = F.filter("hits", lambda h: h["pos"] <= 16383)
-    raw = F.when(F.col("n_terms") == 1, term_weight(F.size("hits"))).otherwise(proximity(F.array_sort(capped)))
+    hit = hit.groupBy("query_id", *KEY, "n_terms", "n_tokens").agg(F.collect_list(F.struct("term", "positions")).alias("hits"))
+    hit = hit.filter(F.size("hits") == F.col("n_terms"))
+    raw = F.when(F.col("n_terms") == 1, term_weight(F.size(F.col("hits")[0]["positions"]))).otherwise(proximity(F.col("hits")))
     return hit.select("query_id", *KEY, F.round(raw / length_norm(F.col("n_tokens")), 12).alias("ts_rank"))
 
 
-def keyword_arm(tokens: DataFrame, documents: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    """The postings of chunks that aren't stored (see sources.index.read_postings for those that are)."""
+    return postings(chunks, search_text(F.col("heading_path"), F.col("content")), ["project", *KEY])
+
+
+def keyword_arm(found: DataFrame, documents: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
     """query_id, KEY, rank, ts_rank: the pool's rows; the pool is a prefix of the total order, so its ranks are the global ones."""
-    rows = top_per_query(keyword_matches(tokens, documents, queries), [F.desc("ts_rank"), *[F.asc(k) for k in KEY]], pool)
+    rows = top_per_query(keyword_matches(found, documents, queries), [F.desc("ts_rank"), *[F.asc(k) for k in KEY]], pool)
     return rows.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("ts_rank"))))
 
 
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norms = np.linalg.norm(vectors, axis=1)
+    norms[norms == 0] = 1.0
+    return vectors / norms[:, None], norms
+
+
+def tiles(chunks: DataFrame) -> DataFrame:
+    """Chunks with a vector, TILE of one project in a row: their keys and filter fields as lists, their vectors as bytes.
+
+    Each task gathers a project's rows, puts them in the order of the nearest of some spread pivots, and cuts them, so that
+    vectors of a tile lie close together and far tiles can be passed over. Vectors of a project have one length.
+    """
+    fields = [*KEY, "module", "doc_type", "status"]
+    lists = [chunks.schema[f].dataType.simpleString() for f in fields]
+    shape = "project string, " + ", ".join(f"{f} array<{t}>" for f, t in zip(fields, lists, strict=True)) + ", dims int, vectors binary"
+
+    def cut(project: str, rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+        vectors = np.array([r[-1] for r in rows], np.float32)
+        unit, _ = _unit(vectors.astype(np.float64))
+        pivots = unit[:: max(1, len(unit) // GATHERED)][:GATHERED]
+        order = np.argsort((unit @ pivots.T).argmax(axis=1), kind="stable")
+        for k in range(0, len(rows), TILE):
+            own = order[k : k + TILE]
+            columns = [[[rows[i][c] for i in own]] for c in range(len(fields))]
+            yield pa.RecordBatch.from_pylist([{"project": project, **{f: c[0] for f, c in zip(fields, columns, strict=True)}, "dims": vectors.shape[1], "vectors": vectors[own].tobytes()}], schema=names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        schema = None
+        for batch in batches:
+            if schema is None:
+                kinds = [batch.schema.field(f).type for f in fields]
+                schema = pa.schema([("project", pa.string()), *[(f, pa.list_(k)) for f, k in zip(fields, kinds, strict=True)], ("dims", pa.int32()), ("vectors", pa.binary())])
+            columns = [batch.column(i).to_pylist() for i in range(len(fields) + 2)]
+            for project, *row in zip(*columns, strict=True):
+                rows = held.setdefault(project, [])
+                rows.append(tuple(row))
+                if len(rows) >= GATHERED * TILE:
+                    yield from cut(project, held.pop(project), schema)
+        for project, rows in held.items():
+            yield from cut(project, rows, schema)
+
+    return chunks.filter("embedding is not null").select("project", *fields, "embedding").mapInArrow(task, shape)
+
+
+def _query_blocks(queries: DataFrame) -> DataFrame:
+    """Queries with a vector, BLOCK of one project in a row, as `tiles` has chunks."""
+    one = queries.filter("embedding is not null").withColumns({"n": F.row_number().over(Window.partitionBy("project", F.pmod(F.xxhash64("query_id"), F.lit(8))).orderBy("query_id")), "part": F.pmod(F.xxhash64("query_id"), F.lit(8))})
+    asked = F.collect_list(F.struct("query_id", "module", "doc_type", "status", "embedding"))  # at most BLOCK
+    return one.groupBy("project", "part", F.floor(F.col("n") / BLOCK).alias("block")).agg(asked.alias("asked")).select("project", "asked")
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
-    """query_id, KEY, distance: the pool nearest chunks of each query, exact, by blocks of a matrix product.
+    """query_id, KEY, distance: the pool nearest chunks of each query, exact, for any number of queries.
 
-    chunks: project, KEY, module, doc_type, status, embedding (rows without one are absent). The query vectors are a
-    stated set of at most MOST_VECTORS; each partition returns at most pool rows a query.
+    chunks: project, KEY, module, doc_type, status, embedding (rows without one are absent). Tiles of chunks meet blocks of
+    queries of their project; each pair is one matrix product, unless by the triangle inequality nothing in the tile can be
+    among a query's nearest. A task keeps the pool nearest so far of each query; the pools are merged in two steps. Few
+    queries are sent to all tasks; many meet the tiles in a shuffle, a project's tiles dealt over SALTS parts.
     """
-    asked = queries.filter("embedding is not null").select("query_id", "project", "module", "doc_type", "status", "embedding").limit(MOST_VECTORS + 1).collect()
-    if len(asked) > MOST_VECTORS:
-        raise ValueError(f"more than {MOST_VECTORS} query vectors in one batch")
-    unit = [np.asarray(q["embedding"], np.float64) for q in asked]
-    unit = [v / (np.linalg.norm(v) or 1.0) for v in unit]
+    left, right = tiles(chunks), _query_blocks(queries)
+    if (queries.agg(F.sum(F.size("embedding"))).head()[0] or 0) <= SENT_NUMBERS:
+        pairs = left.join(F.broadcast(right), "project")
+    else:
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("vectors"), F.lit(SALTS)).cast("int"))
+        pairs = salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["project", "salt"]).drop("salt")
     names = ["query_id", *KEY, "distance"]
+    fields = ("module", "doc_type", "status")
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64())
 
-    def best(found: dict[int, list[tuple]]) -> None:
-        for q, rows in found.items():
-            rows.sort()
-            found[q] = rows[:pool]
+    def batch_of(best: dict[int, list[tuple]]) -> pa.RecordBatch:
+        rows = [(q, *r[1:], r[0]) for q, own in best.items() for r in own]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple]] = {}
+        best: dict[int, list[tuple]] = {}
+        edge: dict[int, float] = {}
         for batch in batches:
-            if not len(batch) or not asked:
-                continue
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            vectors = np.stack([np.asarray(v, np.float64) for v in cols["embedding"].to_pylist()])
-            norms = np.linalg.norm(vectors, axis=1)
-            facts = {f: np.array(cols[f].to_pylist(), object) for f in ("project", "module", "doc_type", "status", *KEY)}
-            for i, q in enumerate(asked):
-                fits = facts["project"] == q["project"]
-                for f in ("module", "doc_type", "status"):
-                    if q[f] is not None:
-                        fits &= facts[f] == q[f]
-                at = np.flatnonzero(fits)
-                if not len(at):
-                    continue
-                distance = np.round(1 - (vectors[at] * unit[i]).sum(axis=1) / np.where(norms[at] == 0, 1, norms[at]), 9) + 0.0
-                if len(at) > pool:  # ties at the edge stay until the keys decide
-                    edge = np.partition(distance, pool - 1)[pool - 1]
-                    at, distance = at[distance <= edge], distance[distance <= edge]
-                found.setdefault(i, []).extend((d, *(facts[k][r] for k in KEY)) for d, r in zip(distance.tolist(), at, strict=True))
-            best(found)
-        rows = [(asked[i]["query_id"], *row[1:], row[0]) for i, own in found.items() for row in own]
-        if rows:
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=names)
-
-    rows = chunks.filter("embedding is not null").select("project", *KEY, "module", "doc_type", "status", "embedding")
-    local = rows.mapInArrow(task, "query_id bigint, repo string, path string, chunk_idx int, distance double")
-    last = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", *KEY))
-    return local.withColumn("__n", last).filter(F.col("__n") <= pool).drop("__n")
+            for r in range(len(batch)):
+                row = {n: batch.column(n)[r] for n in batch.schema.names}
+                asked = row["asked"].as_py()
+                vectors = np.frombuffer(row["vectors"].as_buffer(), np.float32).reshape(-1, row["dims"].as_py()).astype(np.float64)
+                unit, norms = _unit(vectors)
+                wanted, _ = _unit(np.array([q["embedding"] for q in asked], np.float64))
+                centre = unit.mean(axis=0)
+                reach = np.inf if not vectors.any(axis=1).all() else np.sqrt(((unit - centre) ** 2).sum(axis=1).max())
+                # Of unit vectors, half the squared distance is the cosine distance.
+                least = np.maximum(0, np.sqrt(((wanted - centre) ** 2).sum(axis=1)) - reach) ** 2 / 2
+                near = [i for i, q in enumerate(asked) if least[i] <= edge.get(q["query_id"], np.inf) + 1e-8]
+                about = 1 - wanted[near] @ unit.T
+                codes = {f: row[f].values.dictionary_encode() for f in fields}
+                numbers = {f: {v: k for k, v in enumerate(c.dictionary.to_pylist())} for f, c in codes.items()}
+                codes = {f: c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for f, c in codes.items()}
+                keys = {k: row[k].values for k in KEY}
+                for i, guess in zip(near, about, strict=True):
+                    q = asked[i]
+                    fits = np.ones(len(unit), bool)
+                    for f in fields:
+                        if q[f] is not None:
+                            fits &= codes[f] == numbers[f].get(q[f], -2)
+                    at = np.flatnonzero(fits & (guess <= edge.get(q["query_id"], np.inf) + 1e-8))
+                    if len(at) > pool:  # ties at the edge stay until the keys decide
+                        at = at[guess[at] <= np.partition(guess[at], pool - 1)[pool - 1] + 1e-8]
+                    if not len(at):
+                        continue
+                    distance = np.round(1 - (vectors[at] * wanted[i]).sum(axis=1) / norms[at], 9) + 0.0
+                    take = pa.array(at)
+                    new = list(zip(distance.tolist(), *(keys[k].take(take).to_pylist() for k in KEY), strict=True))
+                    own = sorted(best.get(q["query_id"], []) + new)[:pool]
+                    best[q["query_id"]] = own
+                    if len(own) == pool:
+                        edge[q["query_id"]] = own[-1][0]
+                if len(best) * pool > HELD_ROWS:  # a task with very many queries hands on what it has
+                    yield batch_of(best)
+                    best, edge = {}, {}
+        if best:
+            yield batch_of(best)
+
+    local = pairs.mapInArrow(task, "query_id bigint, repo string, path string, chunk_idx int, distance double")
+    return top_per_query(local, [F.asc("distance"), *[F.asc(k) for k in KEY]], pool)
 
 
 def vector_arm(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
@@ -133,9 +235,9 @@ def vector_arm(chunks: DataFrame, queries: DataFrame, pool: int = POOL) -> DataF
 
 
 def fused(keyword: DataFrame, vector: DataFrame, queries: DataFrame, per_document: int = PER_DOCUMENT) -> DataFrame:
-    """query_id, position, KEY, score: reciprocal rank fusion, the cap per document, then top_k; dropped rows aren't refilled."""
-    both = keyword.select("query_id", *KEY, "rank").unionByName(vector.select("query_id", *KEY, "rank"))
-    scores = both.groupBy("query_id", *KEY).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
+    """query_id, position, KEY, score, by_keyword: reciprocal rank fusion, the cap per document, then top_k; dropped rows aren't refilled."""
+    both = keyword.select("query_id", *KEY, "rank", F.lit(True).alias("k")).unionByName(vector.select("query_id", *KEY, "rank", F.lit(False).alias("k")))
+    scores = both.groupBy("query_id", *KEY).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.max("k").alias("by_keyword"))
     in_document = F.row_number().over(Window.partitionBy("query_id", "repo", "path").orderBy(F.desc("score"), "chunk_idx"))
     kept = scores.withColumn("__n", in_document).filter(F.col("__n") <= per_document).drop("__n")
     position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY))

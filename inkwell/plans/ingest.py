@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.markdown import FRONT, chunks, first_h1
-from ..functions.text import content_hash, front_matter, normalize_text, search_text, text_error
+from ..functions.text import clip_error, content_hash, front_matter, normalize_text, search_text, text_error
 from ..functions.validation import closed_set_error
 from ..operators.changes import changes, deletable, run_counters
 from ..schemas import DOC_TYPES, RULES_VERSION, STATUSES
 from ..sources.corpus import classify_listing
+from ..sources.index import append_changes, read_index
+from ..sources.ledger import append_run, start_runs
 from ..sources.shared import held
 
 KEY = ["project", "repo", "path"]
@@ -68,34 +70,44 @@ def derive_meta(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class IngestResult:
+    """The whole index after a run (documents, chunks: not computed unless asked for), and what the run changes in it."""
+
     documents: DataFrame
     chunks: DataFrame
+    rebuilt: DataFrame
+    fresh: DataFrame
+    gone: DataFrame
     run: DataFrame
     skipped: DataFrame
 
 
-def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None, whole: bool = True) -> IngestResult:
+def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None, whole: bool = True, run_id: str | None = None) -> IngestResult:
     """The index after one run over raw files (project, path, content, mtime) and their listing (project, path, kind, exact).
 
     Only new, changed or rule-stale documents are parsed. A project whose listing has no Markdown, or a file that can't
     be text or is outside the taxonomy, fails: paths below the first bad one are applied, nothing is deleted. A listing
     that isn't the whole corpus (whole=False) deletes nothing and says nothing of projects that it doesn't name. The run
-    table has a row a project: run_id, started_at, finished_at, counters, status and error.
+    table has a row a project: run_id, started_at, finished_at, counters, status and error. With an embedder, documents that
+    have chunks without a vector are rebuilt with the vectors that they lack.
     """
     began = datetime.datetime.now(datetime.timezone.utc)
     named = classify_listing(listing.select("project", "path", "kind", "exact")).distinct()
     skipped = named.filter("outcome <> 'indexed'").select("project", "path", F.col("outcome").alias("reason"), "exact")
 
-    texts = read_texts(raw.join(named.filter("outcome = 'indexed'").select("project", "path"), ["project", "path"], "left_semi"))
-    change = changes(texts, stored_docs)
+    # The files are read once for their hashes, and those that changed once more for their texts.
+    listed = raw.join(named.filter("outcome = 'indexed'").select("project", "path"), ["project", "path"], "left_semi")
+    scan = held(read_texts(listed).select("project", "path", "content_hash", "error"))
+    change = changes(scan, stored_docs)
     if not whole:
         change = change.filter("change <> 'deleted'")
-    wanted = texts.filter("error is null").join(change.filter("change in ('new', 'changed', 'rules_stale')"), ["project", "path"])
-    parsed = derive_meta(parse_documents(wanted))
+    change = held(change)
+    wanted = listed.join(scan.filter("error is not null").select("project", "path"), ["project", "path"], "left_anti")
+    wanted = read_texts(wanted.join(change.filter("change in ('new', 'changed', 'rules_stale')").select("project", "path"), ["project", "path"], "left_semi")).drop("error")
+    parsed = derive_meta(parse_documents(wanted)).drop("text")
     bad_value = F.coalesce(closed_set_error(F.col("doc_type"), DOC_TYPES, "doc_type"), closed_set_error(F.col("status"), STATUSES, "status"))
-    parsed = held(parsed.withColumn("bad", bad_value))
+    parsed = held(parsed.withColumn("bad", bad_value)).join(change, ["project", "path"])
 
-    problems = texts.filter("error is not null").select("project", "path", "error").unionByName(parsed.filter("bad is not null").select("project", "path", F.col("bad").alias("error")))
+    problems = scan.filter("error is not null").select("project", "path", "error").unionByName(parsed.filter("bad is not null").select("project", "path", F.col("bad").alias("error")))
     # The failing path of a project is its first by bytes: a small aggregate.
     first = problems.groupBy("project").agg(F.min(F.struct("path", "error")).alias("p")).select("project", F.col("p.path").alias("bad_path"), F.concat_ws(": ", "p.path", "p.error").alias("error"))
     known = raw.select("project").unionByName(listing.select("project"))
@@ -116,20 +128,51 @@ def ingest(raw: DataFrame, listing: DataFrame, stored_docs: DataFrame, stored_ch
 
     keep = named.filter("outcome = 'indexed' or exact").select("project", "path")
     gone = held((deletable(stored_docs, keep, skipped.filter("reason = 'symlink'").select("project", "path")).join(failed.select("project"), "project", "left_anti")).filter(F.lit(whole)).select(*KEY))
-    rebuilt = held(rebuilt)
-    touched = held(rebuilt.select(*KEY).unionByName(gone))
-    documents = held(stored_docs.join(touched, KEY, "left_anti").unionByName(rebuilt))
-    out_chunks = held(stored_chunks.join(touched, KEY, "left_anti").unionByName(fresh))
+    rebuilt, made = held(rebuilt), fresh
 
     applied = change.filter("change <> 'deleted'").join(failed.select("project", "bad_path"), "project", "left").filter(F.col("bad_path").isNull() | (F.col("path") < F.col("bad_path"))).select("project", "path", "change")
     counted = applied.unionByName(gone.select("project", "path", F.lit("deleted").alias("change")))
-    run = run_counters(counted, fresh).join(failed.select("project", "error"), "project", "full_outer").fillna(0, ["files_seen", "files_changed", "files_deleted", "chunks_upserted"])
+    run = run_counters(counted, made).join(failed.select("project", "error"), "project", "full_outer").fillna(0, ["files_seen", "files_changed", "files_deleted", "chunks_upserted"])
     run = run.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
     if embedder is not None:
-        out_chunks, missing = backfill_embeddings(out_chunks, embedder)
+        touched = rebuilt.select(*KEY).unionByName(gone)
+        lacking = stored_chunks.filter("embedding is null").select(*KEY).distinct().join(touched, KEY, "left_anti")
+        lacking = held(lacking)
+        rebuilt = rebuilt.unionByName(stored_docs.join(lacking, KEY, "left_semi"))
+        fresh, missing = backfill_embeddings(fresh.unionByName(stored_chunks.join(lacking, KEY, "left_semi")), embedder)
         run = run.join(missing, "project", "left").withColumn("status", F.when((F.col("status") == "ok") & (F.coalesce("missing", F.lit(0)) > 0), "partial").otherwise(F.col("status"))).drop("missing")
-    run = run.select("project", F.lit(uuid.uuid4().hex).alias("run_id"), F.lit(began).alias("started_at"), F.current_timestamp().alias("finished_at"), *[c for c in run.columns if c != "project"])
-    return IngestResult(documents, out_chunks, run, skipped)
+    run = run.select("project", F.lit(run_id or uuid.uuid4().hex).alias("run_id"), F.lit(began).alias("started_at"), F.current_timestamp().alias("finished_at"), *[c for c in run.columns if c != "project"])
+    touched = rebuilt.select(*KEY).unionByName(gone)
+    documents = stored_docs.join(touched, KEY, "left_anti").unionByName(rebuilt)
+    chunks_ = stored_chunks.join(touched, KEY, "left_anti").unionByName(fresh)
+    return IngestResult(documents, chunks_, rebuilt, fresh, gone, run, skipped)
+
+
+def ingest_into(root: str, raw: DataFrame, listing: DataFrame, runs: str | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, whole: bool = True) -> tuple[dict, IngestResult]:
+    """One run into the index stored at root: the manifest after it, and the result.
+
+    What the run writes grows with its changes, not with the index. With a folder for runs, each project has a row
+    `running` before anything is read, and its finished row after the commit; a run that dies leaves `running`, one that
+    raises is logged as failed for all its projects.
+    """
+    spark = raw.sparkSession
+    run_id = uuid.uuid4().hex
+    stored_docs, stored_chunks = read_index(spark, root)
+    projects = raw.select("project").unionByName(listing.select("project"))
+    projects = (projects.unionByName(stored_docs.select("project")) if whole else projects).distinct()
+    if runs:
+        start_runs(projects, run_id, runs)
+    try:
+        made = ingest(raw, listing, stored_docs, stored_chunks, embedder, whole, run_id)
+        head = append_changes(made.rebuilt, made.fresh, made.gone, root)
+    except Exception as e:
+        if runs:
+            error = clip_error(F.lit(str(e)))
+            append_run(projects.select("project", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("finished_at"), error.alias("error"), F.lit("failed").alias("status")), runs)
+        raise
+    if runs:
+        append_run(made.run, runs)
+    return head, made
 
 
 def backfill_embeddings(chunks_: DataFrame, embedder: Callable[[list[str]], list[list[float]]], batch: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -6,17 +6,23 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clip, event_text, iso, search_text, strip
 from ..functions.tokens import length_norm, parse_web_query, term_weight, tokenize
 from ..functions.validation import closed_set_error, project_error, query_error
-from ..operators.ranking import KEY, fused, keyword_arm, token_table, vector_arm
+from ..operators.ranking import KEY, asked_terms, chunk_postings, fused, keyword_arm, sent, vector_arm
 from ..schemas import DOC_TYPES, EXCERPT_MAX, EXCERPT_WORDS, KINDS, RRF_K, SCORE_DIGITS, STATUSES, TOP_K, TOP_K_MAX
+from ..sources import events as stored_events
+from ..sources.index import manifest, read_index, read_postings
+from ..sources.ledger import append
+from ..sources.shared import held, shared_folder
+from .ledger import query_log
 
-#: Event queries that one batch parses on the driver.
-MOST_QUERIES = 10_000
+#: Segments of stored events that a scan is told by name.
+MOST_NAMED = 1000
 
 
 def checked_doc_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,34 +57,59 @@ def fragment(text: str, terms: set[str]) -> str:
 
 
 def excerpts(picked: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """picked rows with heading_path and excerpt: a fragment where keywords match, else the chunk's head; clipped."""
-    rows = picked.join(queries.select("query_id", "project", "query"), "query_id").join(chunks.select("project", *KEY, "heading_path", "content"), ["project", *KEY])
-    wanted = rows.withColumn("terms", tokenize(F.col("query"))).withColumn("full", search_text(F.col("heading_path"), F.col("content")))
-    names = list(picked.columns)
+    """picked rows with heading_path and excerpt: a fragment for rows that keywords found, else the chunk's head; clipped.
+
+    Picked are at most TOP_K_MAX rows a query; they are sent to the chunks, whose texts don't move.
+    """
+    rows = picked.join(queries.select("query_id", "project", tokenize(F.col("query")).alias("terms")), "query_id")
+    rows = chunks.select("project", *KEY, "heading_path", "content").join(sent(rows), ["project", *KEY])
+    wanted = rows.withColumn("full", F.when(F.col("by_keyword"), search_text(F.col("heading_path"), F.col("content"))))
+    names = [c for c in picked.columns if c != "by_keyword"]
     shape = picked.select(*names).schema.add("heading_path", "string").add("excerpt", "string")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for full, content, terms in zip(f["full"], f["content"], f["terms"], strict=True):
-                found = set(terms) & set(re.findall(r"[^\W_]+", full.lower()))
-                part = fragment(full, found) if found else content
+                part = content if full is None else fragment(full, set(terms) & set(re.findall(r"[^\W_]+", full.lower())))
                 out.append(part if len(part) <= EXCERPT_MAX else part[: EXCERPT_MAX - 1] + "…")
             yield f.assign(excerpt=out)[[*names, "heading_path", "excerpt"]]
 
     return wanted.select(*names, "heading_path", "content", "full", "terms").mapInPandas(task, shape)
 
 
-def search_docs(queries: DataFrame, documents: DataFrame, chunks: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """query_id, position, repo, path, chunk_idx, heading_path, excerpt, commit_sha, status, score (six digits)."""
+def _logged(results: DataFrame, accepted: DataFrame, tool: str, client: str, filters: tuple[str, ...], log: str | None, paths: bool) -> DataFrame:
+    """The results, after a row for each accepted query in the log, if there is one; rejected queries leave none."""
+    if not log:
+        return results
+    results = held(results)
+    append(query_log(accepted, results, tool, client, filters, paths).withColumn("created_at", F.current_timestamp()), log)
+    return results
+
+
+def search_docs(queries: DataFrame, documents: DataFrame, chunks: DataFrame, found: DataFrame | None = None, log: str | None = None, client: str = "batch") -> DataFrame:
+    """query_id, position, repo, path, chunk_idx, heading_path, excerpt, commit_sha, status, score (six digits).
+
+    found: stored postings of the chunks; without any the chunks are tokenized for this batch.
+    """
     accepted, _ = checked_doc_queries(queries)
     described = chunks.join(documents.select("project", "repo", "path", "module", "doc_type", "status"), ["project", "repo", "path"])
-    tokens = token_table(chunks) if tokens is None else tokens
-    picked = fused(keyword_arm(tokens, documents, accepted), vector_arm(described, accepted), accepted)
+    found = chunk_postings(chunks) if found is None else found
+    picked = held(fused(keyword_arm(found, documents, accepted), vector_arm(described, accepted), accepted))
     # Rows without a body any more drop out silently.
     rows = excerpts(picked, chunks, accepted)
     rows = rows.join(accepted.select("query_id", "project"), "query_id").join(documents.select("project", "repo", "path", "commit_sha", F.col("status").alias("doc_status")), ["project", "repo", "path"])
-    return rows.select("query_id", "position", *KEY, "heading_path", "excerpt", "commit_sha", F.col("doc_status").alias("status"), F.round("score", SCORE_DIGITS).alias("score"))
+    rows = rows.select("query_id", "position", *KEY, "heading_path", "excerpt", "commit_sha", F.col("doc_status").alias("status"), F.round("score", SCORE_DIGITS).alias("score"))
+    return _logged(rows, accepted, "search_docs", client, ("module", "doc_type", "status"), log, True)
+
+
+def search_index(queries: DataFrame, root: str, log: str | None = None, client: str = "batch") -> DataFrame:
+    """search_docs over the last version of the index stored at root: of its postings, the buckets of the queries' terms."""
+    spark = queries.sparkSession
+    version = manifest(spark, root)["version"]
+    documents, chunks = read_index(spark, root, version)
+    accepted, _ = checked_doc_queries(queries)
+    return search_docs(queries, documents, chunks, read_postings(spark, root, asked_terms(accepted), version), log, client)
 
 
 def checked_event_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,44 +134,88 @@ def _first_events(rows: DataFrame, n: int) -> DataFrame:
     return local.drop("__n", "__part").withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("position") <= n)
 
 
-def event_matches(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, occurred_at, ts_rank of web-style queries: OR groups of required and excluded terms and phrases.
+def parsed(queries: DataFrame) -> DataFrame:
+    """A row for each word of each web-style query: its group (of those joined by OR), part (a term or phrase) and place there.
+
+    negative parts exclude; size is the part's words, needed the group's parts that must be found.
+    """
+    shape = "query_id bigint, grp int, needed int, part int, negative boolean, at int, term string, size int"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g, group in enumerate(parse_web_query(query)):
+                    needed = len({tuple(p) for p in group["all"]})
+                    for negative, kind in ((False, "all"), (True, "none")):
+                        for k, phrase in enumerate(dict.fromkeys(map(tuple, group[kind]))):
+                            rows += [(name, g, needed, k, negative, i, term, len(phrase)) for i, term in enumerate(phrase)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "grp", "needed", "part", "negative", "at", "term", "size"])
+
+    return queries.filter("query is not null").select("query_id", "query").mapInArrow(task, shape)
+
+
+def event_words(queries: DataFrame) -> DataFrame:
+    """parsed(queries) with their project and filters."""
+    return parsed(queries).join(queries.select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until"), "query_id")
 
-    Terms are looked up in a token table; a phrase holds where its tokens stand one after another. The rank is the
-    mean of the query's terms' weights over their occurrences, normed by length.
+
+def event_matches(found: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id, id, occurred_at, ts_rank of the events that match web-style queries; found: postings of events, words: event_words.
+
+    A phrase holds where its words' positions, each less its place in the phrase, have a common one. A group holds where
+    all its parts are found and none that it excludes. The rank is the mean of the parts' weights over their
+    occurrences, normed by length, of the best group. An event's hits for a query meet once, in one shuffle.
     """
-    spark = events.sparkSession
-    asked = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} event queries in one batch")
-    asked = [q for q in asked if q["query"] is not None]
-    parts = [(q["query_id"], g, k, kind == "none", i, term, len(phrase)) for q in asked for g, group in enumerate(parse_web_query(q["query"])) for kind in ("all", "none") for k, phrase in enumerate(group[kind]) for i, term in enumerate(phrase)]
-    shape = "query_id bigint, grp int, part int, negative boolean, at int, term string, size int"
-    words = spark.createDataFrame(parts, shape)
-    needs = words.filter("not negative").groupBy("query_id", "grp").agg(F.count_distinct("part").alias("needed"))
-    text = tokenize(event_text(F.col("title"), F.col("summary"), F.col("root_cause"), F.col("resolution")))
-    tokens = events.select("project", "id", "occurred_at", "kind", "module", text.alias("t")).select("project", "id", "occurred_at", "kind", "module", F.size("t").alias("n_tokens"), F.posexplode("t").alias("pos", "term"))
-    # Each event is tokenized once; only tokens that a query of its project asks for go on, if its filters fit. The
-    # words are those of at most MOST_QUERIES queries of bounded length.
-    facts = words.join(queries.select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until"), "query_id")
-    hit = tokens.join(F.broadcast(facts), ["project", "term"]).filter(_fits())
-    # A phrase's tokens meet at the position where it starts, each once.
-    spot = hit.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    spot = spot.filter(F.col("n") == F.col("size")).groupBy("query_id", "id", "occurred_at", "n_tokens", "grp", "part", "negative").agg(F.count(F.lit(1)).alias("times"))
-    group = spot.groupBy("query_id", "id", "occurred_at", "n_tokens", "grp").agg(F.count(F.when(~F.col("negative"), 1)).alias("found"), F.count(F.when(F.col("negative"), 1)).alias("banned"), F.sum(F.when(~F.col("negative"), term_weight(F.col("times")))).alias("weight"))
-    good = group.join(F.broadcast(needs), ["query_id", "grp"]).filter("found = needed and banned = 0")
+    hit = found.join(sent(words), ["project", "term"]).filter(_fits()).repartition("query_id", "id")
+    event = ["query_id", "id", "occurred_at", "n_tokens"]
+    starts = F.transform("positions", lambda p: p - F.col("at"))
+    part = hit.withColumn("starts", starts).groupBy(*event, "grp", "needed", "part", "negative", "size").agg(F.collect_list("starts").alias("lists"))
+    common = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.col("lists")[0], lambda acc, x: F.array_intersect(acc, x))
+    part = part.filter(F.size("lists") == F.col("size")).withColumn("times", F.size(common)).filter("times > 0")
+    wanted = F.when(~F.col("negative"), 1)
+    group = part.groupBy(*event, "grp", "needed").agg(F.count(wanted).alias("got"), F.count(F.when(F.col("negative"), 1)).alias("banned"), F.sum(F.when(~F.col("negative"), term_weight(F.col("times")))).alias("weight"))
+    good = group.filter("got = needed and banned = 0")
     rank = F.round(F.max(F.col("weight") / F.col("needed")) / length_norm(F.col("n_tokens")), 12)
-    return good.groupBy("query_id", "id", "occurred_at", "n_tokens").agg(rank.alias("ts_rank")).drop("n_tokens")
+    return good.groupBy(*event).agg(rank.alias("ts_rank")).drop("n_tokens")
+
 
+def newest_events(queries: DataFrame, root: str) -> DataFrame:
+    """query_id, id, occurred_at, ts_rank (null) of the events that can be among the newest of queries without a text.
 
-def search_events(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """query_id, position, id, title, summary, kind, result, module, occurred_at (ISO), score: best first, newest first without a query."""
+    The store's zones say which segments to read; each meets only the queries that need it.
+    """
+    spark = queries.sparkSession
+    asked = queries.filter("query is null").select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until")
+    fits = (F.col("q_kind").isNull() | (F.col("q_kind") == F.col("kind"))) & (F.col("q_module").isNull() | (F.col("q_module") == F.col("module")))
+    needed = held(stored_events.holding(stored_events.read_zones(spark, root), sent(asked), fits, TOP_K_MAX))
+    few = [(r["batch"], r["segment"]) for r in needed.select("batch", "segment").distinct().limit(MOST_NAMED + 1).collect()]
+    rows = stored_events.read_events(spark, root).select("batch", "segment", *stored_events.KEY)
+    if len(few) <= MOST_NAMED:  # a hint to the reader, which the join makes exact
+        rows = rows.filter(F.col("batch").isin([b for b, _ in few]) & F.col("segment").isin([s for _, s in few]))
+    met = rows.join(sent(needed.join(asked, "query_id")), ["batch", "segment", "project"]).filter(_fits())
+    return met.select("query_id", "id", "occurred_at", F.lit(None).cast("double").alias("ts_rank"))
+
+
+def search_events(queries: DataFrame, events: DataFrame | None = None, root: str | None = None, log: str | None = None, client: str = "batch") -> DataFrame:
+    """query_id, position, id, title, summary, kind, result, module, occurred_at (ISO), score: best first, newest first without a query.
+
+    root: the events' store (sources.events); events that aren't stored are put into one for this batch.
+    """
+    spark = queries.sparkSession
+    if root is None:
+        root = shared_folder(spark)
+        stored_events.append_events(events, root)
     accepted, _ = checked_event_queries(queries)
-    matched = event_matches(events, accepted)  # raises where there are more than MOST_QUERIES
-    blank = accepted.filter("query is null").limit(MOST_QUERIES).select("query_id", "project", F.col("kind").alias("q_kind"), F.col("module").alias("q_module"), "since", "until")
-    plain = events.join(F.broadcast(blank), "project").filter(_fits()).select("query_id", "id", "occurred_at", F.lit(None).cast("double").alias("ts_rank"))
-    first = _first_events(matched.unionByName(plain), TOP_K_MAX).join(F.broadcast(accepted.select("query_id", F.coalesce("top_k", F.lit(TOP_K)).alias("k"))), "query_id").filter("position <= k")
+    words = held(event_words(accepted))
+    matched = event_matches(stored_events.read_postings(spark, root, words), words)
+    every = matched.unionByName(newest_events(accepted, root))
+    limits = accepted.select("query_id", "project", F.coalesce("top_k", F.lit(TOP_K)).alias("k"))
+    first = held(_first_events(every, TOP_K_MAX).join(limits, "query_id").filter("position <= k").select("query_id", "project", "id", "ts_rank", "position"))
     # At most TOP_K_MAX rows a query: the events are read once more for their texts and don't move.
-    rows = events.join(F.broadcast(first.select("query_id", "id", "ts_rank", "position")), "id")
+    rows = stored_events.read_events(spark, root).join(sent(first), ["project", "id"])
     score = F.when(F.col("ts_rank").isNotNull(), F.round(1.0 / (RRF_K + F.col("position")), SCORE_DIGITS))
-    return rows.select("query_id", "position", "id", "title", clip(F.col("summary")).alias("summary"), "kind", "result", "module", iso(F.col("occurred_at")).alias("occurred_at"), score.alias("score"))
+    rows = rows.select("query_id", "position", "id", "title", clip(F.col("summary")).alias("summary"), "kind", "result", "module", iso(F.col("occurred_at")).alias("occurred_at"), score.alias("score"))
+    return _logged(rows, accepted, "search_events", client, ("kind", "module", "since", "until"), log, False)

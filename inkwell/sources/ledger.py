@@ -1,13 +1,14 @@
-"""Ledger sources and sinks: event submissions, appended tables, snapshots of the index, backup."""
+"""Ledger sources and sinks: event submissions, appended tables, runs, backup."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CHUNKS, DOCUMENTS, EVENT_KEYS
+from ..schemas import EVENT_KEYS
+
+#: What a run has only when it has ended.
+RUN_RESULTS = {"finished_at": "timestamp", "files_seen": "bigint", "files_changed": "bigint", "files_deleted": "bigint", "chunks_upserted": "bigint", "error": "string"}
 
 
 def submissions(lines: DataFrame) -> DataFrame:
@@ -32,31 +33,17 @@ def append(df: DataFrame, path: str, partition: str = "project") -> None:
     df.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def write_index(documents: DataFrame, chunks: DataFrame, root: str) -> str:
-    """Documents and their chunks as a new snapshot, made current by one small file once both are whole."""
-    spark = documents.sparkSession
-    name = uuid.uuid4().hex
-    documents.write.partitionBy("project").parquet(f"{root}/{name}/documents")
-    chunks.write.partitionBy("project").parquet(f"{root}/{name}/chunks")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
-    return name
-
-
-def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    name = spark.read.parquet(f"{root}/_current").head()["name"]
-    read = lambda table, schema: spark.read.schema(schema).parquet(f"{root}/{name}/{table}")
-    return read("documents", DOCUMENTS), read("chunks", CHUNKS)
-
-
 def start_runs(projects: DataFrame, run_id: str, path: str) -> None:
-    """A row `running` for each project; a run that dies leaves it as it is."""
-    rows = projects.select("project", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at"), F.lit("running").alias("status"))
-    append(rows, path)
+    """A row `running` for each project, without counters; a run that dies leaves it as it is."""
+    unknown = [F.lit(None).cast(kind).alias(name) for name, kind in RUN_RESULTS.items()]
+    rows = projects.select("project", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at"), *unknown)
+    append(rows.withColumn("status", F.lit("running")), path)
 
 
 def append_run(run: DataFrame, path: str) -> None:
-    """The finished rows of a run beside those that started it."""
-    append(run, path)
+    """The finished rows of a run beside those that started it, in the same columns."""
+    missing = {name: F.lit(None).cast(kind) for name, kind in RUN_RESULTS.items() if name not in run.columns}
+    append(run.withColumns(missing).select("project", "run_id", "started_at", *RUN_RESULTS, "status"), path)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

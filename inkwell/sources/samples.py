@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RULES_VERSION
+from ..schemas import CHUNKS, RULES_VERSION
+from ..schemas import DOCUMENTS as INDEXED
+from . import events as stored_events
+from . import index
+from .shared import shared_folder
 
 _DOC_TYPE = "CASE doc_id % 6 WHEN 0 THEN 'adr' WHEN 1 THEN 'api' WHEN 2 THEN 'runbook' WHEN 3 THEN 'readme' WHEN 4 THEN 'schema' ELSE 'other' END"
 _STATUS = "CASE doc_id % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'draft' WHEN 2 THEN 'superseded' ELSE 'stale' END"
@@ -56,6 +60,38 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(vectors, "doc_id", "left").withColumn("heading_path", F.regexp_extract("content", "^[^ ]*", 0)).drop("doc_id")
 
 
+_stores: dict[tuple[str, str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """The folder of what a session stores once of a folder of tables, and whether it is new."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    new = key not in _stores
+    if new:
+        _stores[key] = f"{shared_folder(spark)}/{name}"
+    return _stores[key], new
+
+
+def line_index(spark: SparkSession, sf_dir: str) -> str:
+    """Documents and line chunks as a stored index, written at the session's first use of the tables."""
+    root, new = _store(spark, sf_dir, "index")
+    if new:
+        docs = documents(spark, sf_dir)
+        none = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], INDEXED).schema if f.name not in docs.columns}
+        columns = [f.split(" ")[0] for f in INDEXED.split(", ")]
+        chunks = line_chunks(spark, sf_dir).withColumn("token_count", F.lit(None).cast("int"))
+        index.write_index(docs.withColumns(none).select(*columns), chunks.select(*[f.split(" ")[0] for f in CHUNKS.split(", ")]), root)
+    return root
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a store, written at the session's first use of the table."""
+    root, new = _store(spark, sf_dir, "events")
+    if new:
+        stored_events.append_events(events(spark, sf_dir), root)
+    return root
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _load(spark, sf_dir, "events", EVENTS)
     done = F.timestamp_micros(F.unix_micros("occurred_at") + F.col("seconds") * 1_000_000)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import ingest
+from ..plans.ingest import ingest_into
 from ..plans.ledger import EVENT_FIELDS, validate_events
 from ..schemas import REPEAT_MIN
-from ..sources.ledger import read_index, write_index
+from ..sources.index import compact
 
 
 #: Bits of an event's number within its batch; the batch's number stands above them.
@@ -62,18 +62,20 @@ def repeats_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return repeat_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental(files: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """New and changed files (project, path, content, mtime) into the index at root, a snapshot a batch.
+def incremental(files: DataFrame, root: str, checkpoint: str, segments: int = 16) -> StreamingQuery:
+    """New and changed files (project, path, content, mtime) into the index at root, a version a batch.
 
-    The stored hashes are the state: a batch that runs again changes nothing, and files whose text is as stored aren't
-    parsed. Nothing is deleted, as a batch is a partial list. root must hold an index (write_index of an empty one).
+    A batch writes what it changes; where more than `segments` have gathered, they are made one. The stored hashes are
+    the state: a batch that runs again changes nothing, and files whose text is as stored aren't parsed. Nothing is
+    deleted, as a batch is a partial list.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         # Of several versions of a file in one batch the latest counts.
         latest = batch.groupBy("project", "path").agg(F.max(F.struct("mtime", "content")).alias("v")).select("project", "path", "v.content", "v.mtime")
         listing = latest.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact"))
-        made = ingest(latest, listing, *read_index(batch.sparkSession, root), whole=False)
-        write_index(made.documents, made.chunks, root)
+        head, _ = ingest_into(root, latest, listing, whole=False)
+        if len(head["segments"]) > segments:
+            compact(batch.sparkSession, root)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
