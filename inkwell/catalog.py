@@ -609,6 +609,7 @@ def run_ledger(spark, sf_dir):
 def stream_repeats(spark, sf_dir):
     folder = shared_folder(spark)
     events = samples.events(spark, sf_dir)
-    events.write.parquet(f"{folder}/events")
-    intake.repeats_sink(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), f"{folder}/repeats", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/repeats")
+    for part in (0, 1):  # two batches, the second of which adds to the first one's causes
+        events.filter(F.col("id") % 2 == part).write.mode("append").parquet(f"{folder}/events")
+        intake.repeats_sink(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), f"{folder}/repeats", f"{folder}/state").awaitTermination()
+    return intake.current_repeats(spark, f"{folder}/repeats")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import EXCERPT_MAX, SPACE, WINDOW_CHARS
+from ..schemas import BIDIRECTIONAL, EXCERPT_MAX, SPACE, WINDOW_CHARS
+from .redaction import redact
 
 _FRONT = r"^---[ \t]*\n((?:[\s\S]*?))\n---[ \t]*(?:\n|$)"
 
@@ -71,25 +74,37 @@ def clip(c: Column, most: int = EXCERPT_MAX) -> Column:
     return F.when(c.isNull(), "").when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most - 1), F.lit("…")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: lambdas compute other expressions anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows(text: Column, chars: int = WINDOW_CHARS) -> Column:
-    """Consecutive windows of a text as structs of no, text, offset, next_offset, total_bytes and truncated (bytes)."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / chars)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.substring(text, i * chars + 1, F.lit(chars)).alias("text")))
-    total = F.octet_length(text).cast("long")
+    """Consecutive windows of a text as structs of no, text, offset, next_offset, total_bytes and truncated (bytes).
+
+    One pass cuts the text; a window's offset is a sum of whole blocks of windows and of the windows in its own block, so
+    the work grows with the text.
+    """
+    block = 256
+    parts = F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0)))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, n: acc + n)
+    floor = lambda n: F.floor(n / block).cast("int")
+
+    def placed(ps: Column, sizes: Column, sums: Column) -> Column:
+        whole = total(sizes)
 
-    def place(p: Column) -> Column:
-        offset = F.octet_length(F.substring(text, F.lit(1), p["no"] * chars)).cast("long")
-        end = offset + F.octet_length(p["text"])
-        return F.struct(p["no"].alias("no"), p["text"].alias("text"), offset.alias("offset"), end.alias("next_offset"), total.alias("total_bytes"), (end < total).alias("truncated"))
+        def one(p: Column, i: Column) -> Column:
+            offset = total(F.slice(sums, F.lit(1), floor(i))) + total(F.slice(sizes, floor(i) * block + 1, i % block))
+            end = offset + F.octet_length(p)
+            return F.struct(i.alias("no"), p.alias("text"), offset.alias("offset"), end.alias("next_offset"), F.lit(0).cast("long").alias("total_bytes"), F.lit(False).alias("truncated"))
 
-    return F.transform(parts, place)
+        told = F.transform(ps, one)
+        return let(whole, lambda n: F.transform(told, lambda w: w.withField("total_bytes", n).withField("truncated", w["next_offset"] < n)))
 
+    def summed(sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), floor(F.size(sizes) - 1)), lambda b: total(F.slice(sizes, b * block + 1, F.lit(block))))
 
-def redact(c: Column) -> Column:
-    """Secrets masked: passwords of connection strings (up to the last @ before white space), password= and sslpassword=, sk- keys."""
-    out = F.regexp_replace(c, r"([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*):[^\s]*@", "$1:***@")
-    out = F.regexp_replace(out, r"(?i)\b((?:ssl)?password\s*=\s*)('(?:[^'\\]|\\.)*'|[^\s&'][^\s&]*)", "$1***")
-    return F.regexp_replace(out, r"\bsk-[A-Za-z0-9_-]{8,}", "sk-***")
+    return let(parts, lambda ps: let(F.transform(ps, lambda p: F.octet_length(p).cast("long")), lambda sizes: let(summed(sizes), lambda sums: placed(ps, sizes, sums))))
 
 
 def clip_error(c: Column) -> Column:
@@ -99,9 +114,14 @@ def clip_error(c: Column) -> Column:
 
 
 def printable(c: Column) -> Column:
-    """Control, bidirectional and separator characters as \\uNNNN escapes."""
-    one = lambda x: F.when(x.rlike(r"^[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]$"), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.encode(x, "UTF-16BE"))), 4, "0"))).otherwise(x)
-    return F.when(c.rlike(r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    """Control characters as \\xNN, bidirectional marks and line and paragraph separators as \\uNNNN; all others as they are."""
+    odd = r"\x00-\x1f\x7f-\x9f" + BIDIRECTIONAL + r"\u2028\u2029"
+
+    def one(x: Column) -> Column:
+        code = F.lower(F.hex(F.encode(x, "UTF-16BE")))
+        return F.when(~x.rlike(f"^[{odd}]$"), x).when(code.startswith("00"), F.concat(F.lit("\\x"), F.substring(code, 3, 2))).otherwise(F.concat(F.lit("\\u"), code))
+
+    return F.when(c.rlike(f"[{odd}]"), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
 def iso(c: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..schemas import EVENT_KEYS, KINDS, OPTIONAL_TEXTS, PAYLOAD_MAX, PROJECT_MAX, QUERY_MAX, REQUIRED, RESULTS, SEVERITIES, SOURCES, SPACE, SUMMARY_MAX, TITLE_MAX, TOP_K, TOP_K_MAX
+from ..schemas import EVENT_KEYS, KINDS, OPTIONAL_TEXTS, PAYLOAD_DEPTH, PAYLOAD_MAX, PROJECT_MAX, QUERY_MAX, REQUIRED, RESULTS, SEVERITIES, SOURCES, SPACE, SUMMARY_MAX, TITLE_MAX, TOP_K, TOP_K_MAX
 from .text import strip
 
 _ISO = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d(:?\d\d)?)$"
@@ -26,6 +31,7 @@ def timestamp(raw: Column) -> Column:
     """ISO 8601 with an offset as a timestamp; null for anything else (a date alone, a local time, out of range)."""
     whole = F.regexp_replace(raw, r"([+-]\d\d)(\d\d)$", "$1:$2")
     whole = F.regexp_replace(whole, r"([+-]\d\d)$", "$1:00")
+    whole = F.regexp_replace(whole, r"^(.{11}\d\d:\d\d)(?!:)", "$1:00")  # a time without seconds isn't read with every offset
     at = F.try_to_timestamp(whole)
     return F.when(raw.rlike(_ISO) & F.year(at).between(1, 9999), at)
 
@@ -40,16 +46,49 @@ def _member(c: Column, allowed: tuple[str, ...], field: str) -> Column:
     return F.when(c.isNotNull() & ~c.isin(*allowed), f"{field} must be one of [{', '.join(repr(a) for a in sorted(allowed))}]")
 
 
+def payload_problem(payload: str) -> str | None:
+    """Why JSON text can't be an event's payload: not JSON, not an object, too long or too deep, or with what can't be stored.
+
+    Looked at are the values as decoded, so an escaped backslash before u0000 is no NUL; the length is that of the compact form.
+    """
+    odd: list[str] = []
+    number = lambda text: float(text) if math.isfinite(float(text)) else odd.append(text)
+    too_long = f"payload longer than {PAYLOAD_MAX}"
+    try:
+        value = json.loads(payload, parse_constant=odd.append, parse_float=number)
+    except RecursionError:
+        return too_long
+    except ValueError:
+        return "payload is not JSON"
+    if not isinstance(value, dict):
+        return "payload must be an object"
+    level, depth = [value], 0
+    while level:
+        depth += 1
+        if depth > PAYLOAD_DEPTH:
+            return too_long
+        texts = [x for v in level for x in (v if isinstance(v, dict) else [v] if isinstance(v, str) else []) if isinstance(x, str)]
+        if any("\x00" in t for t in texts):
+            return "payload must not contain NUL"
+        if any("\ud800" <= c <= "\udfff" for t in texts for c in t):
+            return "payload must be valid Unicode"
+        level = [x for v in level if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+    if odd:
+        return "payload must not contain NaN or Infinity"
+    try:
+        return too_long if len(json.dumps(value, ensure_ascii=False, separators=(",", ":"))) > PAYLOAD_MAX else None
+    except RecursionError:
+        return too_long
+
+
+@F.pandas_udf(StringType())
+def _payload_problems(payloads: pd.Series) -> pd.Series:
+    return payloads.map(payload_problem, na_action="ignore").astype(object).where(payloads.notna(), None)
+
+
 def payload_error(payload: Column) -> Column:
-    """payload: JSON text. An object, storable, finite (what isn't JSON never parses), at most PAYLOAD_MAX compact."""
-    value = F.try_parse_json(payload)
-    return (
-        F.when(payload.isNull(), None)
-        .when(value.isNull(), "payload must not contain NaN or Infinity")
-        .when(~F.schema_of_variant(value).startswith("OBJECT"), "payload must be an object")
-        .when(payload.contains("\\u0000"), "payload must not contain NUL")
-        .when(F.length(F.to_json(value)) > PAYLOAD_MAX, f"payload longer than {PAYLOAD_MAX}")
-    )
+    """payload_problem of JSON text, row by row; null for null and for what can be stored."""
+    return _payload_problems(payload)
 
 
 def event_error(keys: Column) -> Column:

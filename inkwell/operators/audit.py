@@ -12,7 +12,7 @@ from ..functions.markdown import has_open_fence, prose
 from ..functions.text import front_matter
 from ..schemas import DOC_TYPES, STATUSES
 from ..sources.corpus import in_index_paths
-from ..sources.shared import held
+from ..sources.shared import held, shared_folder
 
 
 def front_matter_problems(docs: DataFrame) -> DataFrame:
@@ -50,16 +50,62 @@ def broken_links(docs: DataFrame) -> DataFrame:
     return links(docs).join(known, "dst", "left_anti").select("src", "dst")
 
 
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """Pointers of the nodes with one edge: level k leads 2^k steps on, or to where their chain ends.
+
+    As many levels as double to the longest chain; on a cycle there is no end, so they stop once they span all nodes.
+    """
+    step = edges.groupBy("src").agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    levels = [held(step)]
+    n = levels[0].count()
+    while n and 1 << (len(levels) - 1) < n:
+        on = levels[-1].select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        level = held(levels[-1].join(on, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
+        levels.append(level.drop("moved"))
+        if level.filter("moved").isEmpty():
+            break
+    return levels
+
+
+def reached(edges: DataFrame, start: DataFrame, plain_rounds: int = 4) -> DataFrame:
+    """path of all that chains of edges (src, dst) lead to from start (path), itself included.
+
+    A round joins the last round's new paths with the edges and appends what is new to a table. After plain_rounds such
+    rounds, edges into what is reached are dropped and the rest's chains (one edge a node) are walked by doubled steps, so
+    a chain of any length takes as many steps as its length has binary digits. Rounds grow with the branchings on a
+    path, not with its length.
+    """
+    spark, folder = edges.sparkSession, shared_folder(edges.sparkSession)
+    n = 0
+
+    def add(paths: DataFrame) -> DataFrame:
+        nonlocal n
+        n += 1
+        new = paths.join(spark.read.schema("path string").parquet(*seen), "path", "left_anti") if seen else paths
+        new.distinct().write.parquet(f"{folder}/{n}")
+        seen.append(f"{folder}/{n}")
+        return spark.read.schema("path string").parquet(seen[-1])
+
+    seen: list[str] = []
+    edges = held(edges.distinct())
+    front = add(start.select("path"))
+    while not front.isEmpty():
+        for _ in range(plain_rounds):
+            front = add(edges.join(front.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path")))
+            if front.isEmpty():
+                return spark.read.schema("path string").parquet(*seen)
+        known = spark.read.schema("path string").parquet(*seen)
+        edges = held(edges.join(known.withColumnRenamed("path", "dst"), "dst", "left_anti").select("src", "dst"))
+        # From the longest steps to single ones: each node on the front's chains is met.
+        for level in reversed(_jumps(edges)):
+            ahead = level.join(front.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path"))
+            front = held(front.unionByName(add(ahead)))
+    return spark.read.schema("path string").parquet(*seen)
+
+
 def orphans(docs: DataFrame, start: str = "README.md") -> DataFrame:
-    """Paths that no chain of links reaches from `start`. One join a step; each step's frontier is a table of its own."""
-    edges = held(links(docs).distinct())
-    seen = docs.filter(F.col("path") == start).select("path").distinct()
-    seen = held(seen)
-    frontier = seen
-    while not frontier.isEmpty():
-        ahead = edges.join(frontier.withColumnRenamed("path", "src"), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
-        frontier = held(ahead.join(seen, "path", "left_anti"))
-        seen = held(seen.unionByName(frontier))
+    """Paths that no chain of links reaches from `start`."""
+    seen = reached(links(docs), docs.filter(F.col("path") == start).select("path").distinct())
     return docs.select("path").join(seen, "path", "left_anti")
 
 

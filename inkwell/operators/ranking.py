@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_text
+from ..functions.text import let, search_text
 from ..functions.tokens import length_norm, query_terms, term_weight, tokenize
 from ..schemas import PER_DOCUMENT, POOL, RRF_K, TOP_K
 from .postings import postings
@@ -56,20 +56,27 @@ def proximity(hits: Column) -> Column:
     Pairs of terms further apart than NEAR positions all have one factor, a hair below 1, so they are only counted. The
     others stand, in the merged order of positions, among the NEAR places that follow: the work grows with the hits.
     """
-    own = F.transform(hits, lambda h: F.filter(h["positions"], lambda p: p <= 16383))
-    merged = F.array_sort(F.flatten(F.transform(own, lambda ps, t: F.transform(ps, lambda p: F.struct(p.alias("p"), t.alias("t"))))))
     miss = F.lit([1 - math.sqrt(0.1 * 0.1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in range(1, NEAR + 1)])
     start = F.struct(F.lit(1.0).alias("miss"), F.lit(0).cast("long").alias("n"))
+    size = lambda ps: F.size(ps).cast("long")
 
-    def ahead(a: Column, i: Column) -> Column:
-        near = F.filter(F.slice(merged, i + 2, NEAR), lambda b: (b["t"] != a["t"]) & (b["p"] - a["p"] <= NEAR))
-        return F.aggregate(near, start, lambda acc, b: F.struct((acc["miss"] * F.element_at(miss, b["p"] - a["p"])).alias("miss"), (acc["n"] + 1).alias("n")))
+    def ahead(merged: Column) -> Column:
+        """For each hit the product of its misses with the hits that follow, and their number."""
 
-    near = F.aggregate(F.transform(merged, ahead), start, lambda acc, x: F.struct((acc["miss"] * x["miss"]).alias("miss"), (acc["n"] + x["n"]).alias("n")))
-    size = lambda ps: F.size(ps).cast("long")
-    all_, same = F.size(merged).cast("long"), F.aggregate(own, F.lit(0).cast("long"), lambda acc, ps: acc + size(ps) * size(ps))
-    far = F.pow(F.lit(1 - 0.1 * 1e-15), ((all_ * all_ - same) / 2 - near["n"]).cast("double"))
-    return F.greatest(1 - near["miss"] * far, F.lit(1e-20))
+        def one(a: Column, i: Column) -> Column:
+            near = F.filter(F.slice(merged, i + 2, NEAR), lambda b: (b["t"] != a["t"]) & (b["p"] - a["p"] <= NEAR))
+            return F.aggregate(near, start, lambda acc, b: F.struct((acc["miss"] * F.element_at(miss, b["p"] - a["p"])).alias("miss"), (acc["n"] + 1).alias("n")))
+
+        return F.aggregate(F.transform(merged, one), start, lambda acc, x: F.struct((acc["miss"] * x["miss"]).alias("miss"), (acc["n"] + x["n"]).alias("n")))
+
+    def rank(own: Column) -> Column:
+        merged = F.array_sort(F.flatten(F.transform(own, lambda ps, t: F.transform(ps, lambda p: F.struct(p.alias("p"), t.alias("t"))))))
+        pairs = F.aggregate(own, F.lit(0).cast("long"), lambda acc, ps: acc + size(ps))
+        same = F.aggregate(own, F.lit(0).cast("long"), lambda acc, ps: acc + size(ps) * size(ps))
+        far = lambda near: F.pow(F.lit(1 - 0.1 * 1e-15), ((pairs * pairs - same) / 2 - near["n"]).cast("double"))
+        return let(let(merged, ahead), lambda near: F.greatest(1 - near["miss"] * far(near), F.lit(1e-20)))
+
+    return let(F.transform(hits, lambda h: F.filter(h["positions"], lambda p: p <= 16383)), rank)
 
 
 def sent(rows: DataFrame, most: int = SENT) -> DataFrame:

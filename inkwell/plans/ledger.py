@@ -65,7 +65,8 @@ def get_files(requests: DataFrame, texts: DataFrame, documents: DataFrame) -> Da
     known = documents.select("project", "path").distinct().withColumn("known", F.lit(True))
     rows = requests.join(known, ["project", "path"], "left").join(texts.select("project", "path", F.col("text").alias("full")), ["project", "path"], "left")
     raw = F.encode("full", "UTF-8")
-    cut = F.expr("substring(encode(full, 'UTF-8'), cast(offset as int) + 1)")
+    # A text has fewer bytes than an int counts; offsets past its end needn't fit.
+    cut = F.expr("substring(encode(full, 'UTF-8'), cast(least(offset, octet_length(full)) as int) + 1)")
     outcome = (
         F.when(F.col("known").isNull() | F.col("full").isNull(), "not_found")
         .when(F.col("offset") > F.octet_length(raw), "offset past the end")

@@ -39,3 +39,7 @@ WINDOW_CHARS = 4000
 SKIPPED_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", ".pytest_cache")
 #: White space as Python's str.isspace has it, as a Java character class.
 SPACE = r"\s\p{Z}\x1c-\x1f\x85"
+#: Marks that change the order in which characters are shown, as a Java character class.
+BIDIRECTIONAL = r"\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069"
+#: Levels of nesting that a payload can't have without being too long.
+PAYLOAD_DEPTH = PAYLOAD_MAX

@@ -19,8 +19,10 @@ def in_skipped_dir(path: Column) -> Column:
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content, mtime of the Markdown files below root that belong to the index."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    # Spark reports absolute locations; what follows the root is the path.
-    path = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/").split("://")[-1], -1), "^/+", "")
+    # Spark reports qualified locations; what follows the qualified root is the path, whatever names recur in it.
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = str(top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()).rstrip("/")
+    path = F.substring(F.col("path"), F.lit(len(qualified) + 2), F.length("path"))
     rows = files.select(path.alias("path"), "content", F.col("modificationTime").alias("mtime"))
     return rows.filter(in_index_paths(F.col("path")) & ~in_skipped_dir(F.col("path")))
 

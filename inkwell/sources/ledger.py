@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +15,37 @@ from ..schemas import EVENT_KEYS
 RUN_RESULTS = {"finished_at": "timestamp", "files_seen": "bigint", "files_changed": "bigint", "files_deleted": "bigint", "chunks_upserted": "bigint", "error": "string"}
 
 
+def _text(value: object, name: str) -> str | None:
+    """A field of a submission as text: strings as they are, anything else, and any payload, as compact JSON."""
+    if value is None:
+        return None
+    if isinstance(value, str) and name != "payload":
+        return value.encode("utf-8", "replace").decode()
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return text if text.isascii() or text.encode("utf-8", "ignore").decode() == text else json.dumps(value, separators=(",", ":"))
+
+
 def submissions(lines: DataFrame) -> DataFrame:
-    """Event fields as strings, and keys, of JSON objects in column `value`; what isn't an object has a single key ''."""
-    doc = F.try_parse_json("value")
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    field = lambda k: F.when(is_object, F.coalesce(F.try_variant_get(doc, f"$.{k}", "string"), F.get_json_object("value", f"$.{k}")))
-    return lines.select(*[field(k).alias(k) for k in EVENT_KEYS], F.when(is_object, F.json_object_keys("value")).otherwise(F.array(F.lit(""))).alias("keys"))
+    """Event fields as strings, and keys, of JSON objects in column `value`; what isn't an object has a single key ''.
+
+    NaN and Infinity are read, for the checks to find; a line that is nested too deep to be read isn't an object.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for line in batch.column(0).to_pylist():
+                try:
+                    body = json.loads(line) if line is not None else None
+                    fields = [_text(body.get(k), k) for k in EVENT_KEYS] if isinstance(body, dict) else None
+                except (ValueError, RecursionError):
+                    fields = None
+                known = fields is not None
+                rows.append((*(fields if known else [None] * len(EVENT_KEYS)), [k.encode("utf-8", "replace").decode() for k in body] if known else [""]))
+            columns = [pa.array(list(c), pa.string()) for c in list(zip(*rows, strict=True))[:-1]] if rows else [pa.array([], pa.string())] * len(EVENT_KEYS)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.list_(pa.string()))], names=[*EVENT_KEYS, "keys"])
+
+    return lines.select("value").mapInArrow(task, ", ".join(f"{k} string" for k in EVENT_KEYS) + ", keys array<string>")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -49,17 +49,32 @@ def intake(submitted: DataFrame, accepted: str, rejected: str, checkpoint: str,
 
 
 def repeat_counts(events: DataFrame) -> DataFrame:
-    """Running counts by cause for update or complete mode; the state is one number a distinct cause, without lateness."""
+    """Running counts by cause for update mode; the state is one number a distinct cause, without lateness."""
     return events.filter("root_cause is not null").groupBy("project", "module", "root_cause").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeats_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The causes that have recurred so far, as a table that each batch replaces."""
+    """The causes that have recurred, a folder a batch: those whose count the batch changed, from the second event on.
+
+    Nothing that is written is written again; a batch that runs again replaces its own folder. See current_repeats.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.filter(F.col("n") >= REPEAT_MIN).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    return repeat_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_repeats(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The causes that have recurred so far, or up to a batch, with their counts: of each the greatest, as counts only grow."""
+    rows = spark.read.schema("project string, module string, root_cause string, n bigint, batch_id bigint").parquet(path)
+    rows = rows if upto is None else rows.filter(F.col("batch_id") <= upto)
+    return rows.groupBy("project", "module", "root_cause").agg(F.max("n").alias("n"))
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.filter(F.col("n") >= REPEAT_MIN).write.mode("overwrite").parquet(path)
 
-    return repeat_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact_repeats(spark: SparkSession, path: str, target: str) -> None:
+    """The current counts as the first folder of a new table, which takes the place of one with very many batches."""
+    current_repeats(spark, path).write.parquet(f"{target}/batch_id=-1")
 
 
 def incremental(files: DataFrame, root: str, checkpoint: str, segments: int = 16) -> StreamingQuery:
