@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.tokens import tokenize
+from .functions.validation import payload_error
 from .operators import audit, changes, ranking, stats
 from .plans import ingest as ing
 from .plans import ledger, search
@@ -425,6 +426,82 @@ def proposals(spark, sf_dir):
     return out.select("project", "path", "outcome", F.coalesce(F.col("diff") == "", F.lit(False)).alias("changes_nothing"))
 
 
+@_register(f"WITH {EV[5:]}, {_EQ}, {_EMATCH}, n AS (SELECT query_id, least(count(*) FILTER (ts_rank IS NOT NULL), 8) AS hits FROM m GROUP BY query_id) SELECT q.query_id, project, 'search_events' AS tool, query, coalesce(kind, '') AS kind, since IS NOT NULL AS has_since, CAST(coalesce(hits, 0) AS INTEGER) AS hit_count FROM q LEFT JOIN n USING (query_id) WHERE query IS NOT NULL")
+def search_log(spark, sf_dir):
+    """What a batch of event searches leaves in the log, searches without a hit too."""
+    path = f"{shared_folder(spark)}/log"
+    search.search_events(samples.event_queries(spark, sf_dir).filter("query is not null"), root=samples.event_store(spark, sf_dir), log=path)
+    log = spark.read.parquet(path)
+    told = F.from_json("filters", "kind string, since string")
+    return log.select("query_id", "project", "tool", "query", F.coalesce(told["kind"], F.lit("")).alias("kind"), told["since"].isNotNull().alias("has_since"), F.col("hit_count").cast("int").alias("hit_count"))
+
+
+_SHAPES = {  # how a secret may stand, and what is left of it; {} is a number
+    " amqp://ann:x@y{}@box/v": " amqp://ann:***@box/v", " amqp://ann@box/v?a=1&pass%77ord=x#{}&b=2": " amqp://ann@box/v?a=1&pass%77ord=***&b=2", " server=box password='x y{}' user=ann": " server=box password=*** user=ann",
+    " server=box password='x y{} user=ann": " server=box password=***", ' password="x y{}" user=ann': " password=*** user=ann", " password=x\\ y{} user=ann": " password=*** user=ann", " sslpassword = x&y{} z": " sslpassword = *** z",
+    " amqp://box:{}/v: write to ann@box": " amqp://box:{}/v: write to ann@box",
+}
+_QUOTED = [(a.replace("'", "''"), b.replace("'", "''")) for a, b in _SHAPES.items()]
+
+
+@_register("SELECT event_id, props || CASE " + " ".join(f"WHEN event_id % {len(_SHAPES)} = {k} THEN replace('{b}', '{{}}', CAST(event_id AS VARCHAR))" for k, (_, b) in enumerate(_QUOTED)) + " END AS redacted FROM events")
+def redaction_shapes(spark, sf_dir):
+    """The events' own texts, each with a secret in one of several shapes at its end."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    added = F.expr("CASE " + " ".join(f"WHEN event_id % {len(_SHAPES)} = {k} THEN r'{a}'" for k, a in enumerate(x.replace("'", "\x01") for x in _SHAPES)) + " END")
+    added = F.replace(F.translate(added, "\x01", "'"), F.lit("{}"), F.col("event_id").cast("string"))
+    return e.select("event_id", T.redact(F.concat("props", added)).alias("redacted"))
+
+
+_PAYLOADS = [  # JSON around a text (@), and what is wrong with it
+    ('{"a":"@"}', None), ('{"a":["@",{"b":null}]}', None), ('{"a":"@\\\\u0000"}', None), ('{"a":"@\\u0000"}', "payload must not contain NUL"), ('{"@\\u0000":1}', "payload must not contain NUL"), ('{"@":NaN}', "payload must not contain NaN or Infinity"),
+    ('{"@":-1e999}', "payload must not contain NaN or Infinity"), ('["@"]', "payload must be an object"), ('"@"', "payload must be an object"), ('{"@"', "payload is not JSON"), ('{"@":"' + "x" * 2000 + '"}', "payload longer than 2000"), ('{"@":' + "[" * 1100 + "]" * 1100 + "}", "payload longer than 2000"),
+]
+
+
+@_register(f"SELECT event_id, CASE event_id % {len(_PAYLOADS)} " + " ".join(f"WHEN {k} THEN '{e}'" for k, (_, e) in enumerate(_PAYLOADS) if e) + " END AS error FROM events")
+def payload_checks(spark, sf_dir):
+    """Payloads around the events' types, good and bad ones."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    shapes = F.array(*[F.lit(p) for p, _ in _PAYLOADS])
+    shape = F.element_at(shapes, (F.col("event_id") % len(_PAYLOADS) + 1).cast("int"))
+    return e.select("event_id", payload_error(F.replace(shape, F.lit("@"), F.col("event_type"))).alias("error"))
+
+
+@_register("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'not UTF-8' WHEN 2 THEN 'contains NUL' END AS error, CASE WHEN doc_id % 4 IN (0, 3) THEN CAST(length(text) AS BIGINT) END AS n_chars FROM documents")
+def text_bytes(spark, sf_dir):
+    """Whole texts as bytes, some with a stray byte or a NUL at the end: what can't be a document's text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id") % 4
+    raw = F.concat(F.col("text").cast("binary"), F.when(k == 1, F.lit(b"\xc3")).when(k == 2, F.lit(b"\x00")).otherwise(F.lit(b"")))
+    rows = d.select("doc_id", raw.alias("content"))
+    error = T.text_error(F.col("content"))
+    return rows.select("doc_id", error.alias("error"), F.when(error.isNull(), F.length(F.col("content").cast("string")).cast("long")).alias("n_chars"))
+
+
+@_register(f"WITH e AS ({EVENTS}) SELECT project, count(*) AS n, count(*) FILTER (id % 50 = 0) AS blank, count(root_cause) AS causes, count(*) * 8 AS keys FROM e GROUP BY project")
+def read_events(spark, sf_dir):
+    """Submissions read in a batch from lines of JSON."""
+    folder = shared_folder(spark)
+    _submitted_lines(spark, sf_dir).write.text(f"{folder}/in")
+    rows = sinks.read_events(spark, f"{folder}/in")
+    return rows.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("title") == " ", 1)).alias("blank"), F.count("root_cause").alias("causes"), F.sum(F.greatest(F.size("keys"), F.lit(8))).alias("keys"))
+
+
+@_register(
+    f"WITH d AS ({MD}), bad AS (SELECT project, min(path) AS path FROM d WHERE doc_id % 13 = 0 AND doc_id % 10 <> 3 GROUP BY project), n AS (SELECT d.project, count(*) FILTER (bad.path IS NULL OR d.path < bad.path) AS n, any_value(bad.path) AS bad FROM d LEFT JOIN bad USING (project) GROUP BY d.project) "
+    "SELECT project, CASE WHEN bad IS NULL THEN 'ok' ELSE 'failed' END AS status, bad || ': doc_type must be one of [''adr'', ''api'', ''other'', ''readme'', ''runbook'', ''schema'']' AS error, n AS files_seen, n AS documents FROM n"
+)
+def ingest_taxonomy(spark, sf_dir):
+    """A run over documents of which some are outside the taxonomy: each project stops at its first one by bytes."""
+    docs = samples.markdown(spark, sf_dir)
+    raw = docs.select("project", "path", F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
+    listing = docs.select("project", "path", F.lit("file").alias("kind"), F.lit(True).alias("exact"))
+    made = ing.ingest(raw, listing, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHUNKS))
+    n = made.documents.groupBy("project").agg(F.count(F.lit(1)).alias("documents"))
+    return made.run.join(n, "project", "left").select("project", "status", "error", "files_seen", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 @_register(f"WITH {_LINES} SELECT project, count(*) AS chunks, CAST(count(*) AS BIGINT) AS filled FROM c GROUP BY project")
 def backfill(spark, sf_dir):
     filled, _ = ing.backfill_embeddings(samples.line_chunks(spark, sf_dir).select("project", "repo", "path", "chunk_idx", "heading_path", "content", "embedding"), _embed)
@@ -486,9 +563,12 @@ def phrase_scan(spark, sf_dir):
     return audit.phrase_hits(samples.documents(spark, sf_dir), ["All rights reserved", "MIT License", "Creative"])
 
 
+_SCANNED = """t AS (SELECT 'docs/' || doc_id || '.md' AS path, text || chr(10) || CASE doc_id % 20 WHEN 1 THEN 'x sk-abcdefghijklmnop0 y' WHEN 2 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 3 THEN 'pg://user:secret@h' WHEN 4 THEN 'pg://user:***@h' WHEN 5 THEN 'pg://user:${PW}@h' ELSE 'plain' END AS x FROM documents)"""
+
+
 @_register(
-    "SELECT 'docs/' || doc_id || '.md' AS path, 'key' AS kind, 'sk-abcdefghi' AS head FROM documents WHERE doc_id % 20 = 1 UNION ALL SELECT 'docs/' || doc_id || '.md', 'dsn', 'pg://u:pw' || rpad(doc_id || '@', 12, ' ')[1:3] FROM documents WHERE false "
-    "UNION ALL SELECT 'docs/' || doc_id || '.md', 'private key', '-----BEGIN R' FROM documents WHERE doc_id % 20 = 2 UNION ALL SELECT 'docs/' || doc_id || '.md', 'dsn', 'pg://user:se' FROM documents WHERE doc_id % 20 = 3"
+    rf"WITH {_SCANNED}, f AS (SELECT path, 'key' AS kind, unnest(regexp_extract_all(x, 'sk-[A-Za-z0-9_-]{{16,}}')) AS hit FROM t UNION ALL SELECT path, 'private key', unnest(regexp_extract_all(x, '-----BEGIN [A-Z ]*PRIVATE KEY-----')) FROM t "
+    r"UNION ALL SELECT path, 'dsn', unnest(list_filter(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]*:[^\s]+@'), lambda h: NOT regexp_matches(h, ':(\*+|\$\{[^}]*\}|)@$'))) FROM t) SELECT path, kind, hit[1:12] AS head FROM f"
 )
 def secret_scan(spark, sf_dir):
     """The secrets of the texts and of the sample lines at their ends."""

@@ -117,10 +117,10 @@ def append_changes(documents: DataFrame, chunks: DataFrame, gone: DataFrame, roo
     Written are these rows alone, whatever the index holds; no change makes no version. Returns the manifest.
     """
     spark = documents.sparkSession
+    if documents.isEmpty() and gone.isEmpty():
+        return manifest(spark, root)
     touched = documents.select(*KEY).unionByName(gone.select(*KEY)).distinct()
     segment = _written(root, documents, chunks, touched)
-    if not segment["touched"]:
-        return manifest(spark, root)
     return _commit(spark, root, lambda head, version: [*head["segments"], segment | {"version": version}])
 
 

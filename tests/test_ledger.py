@@ -1,73 +1,176 @@
-"""Events: intake, statistics, search, log and status."""
+"""Events: intake, statistics, search, log and status, against plain counting and plain search."""
 
 import datetime as dt
 import json
+import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from inkwell.functions.tokens import parse_web_query
 from inkwell.operators import stats
+from inkwell.operators.ranking import sent
 from inkwell.plans import ledger, search
-from inkwell.sources.ledger import submissions
+from inkwell.schemas import KINDS, OPTIONAL_TEXTS, REQUIRED, RESULTS, SEVERITIES, SOURCES
+from inkwell.sources import events as stored_events
+from inkwell.sources.ledger import read_events, submissions
+from inkwell.sources.shared import shared_folder
+from inkwell.streaming import intake
 
-BASE = {"project": "t", "kind": "failure", "title": "x", "summary": "y", "occurred_at": "2026-08-31T09:00:00Z", "result": "failure"}
+GOOD = {"project": "ship", "kind": "incident", "title": "Leak", "summary": "Water in the hold", "occurred_at": "2027-02-03T04:05:06Z", "result": "partial"}
 EVENT = "id bigint, project string, module string, kind string, title string, summary string, root_cause string, resolution string, result string, occurred_at timestamp, resolved_at timestamp"
 T0 = dt.datetime(2026, 1, 1)
 
 
-def errors(spark, *bodies):
+def judged(spark, *bodies):
+    """How many of the submissions are accepted, and the others' errors in order."""
     lines = spark.createDataFrame([(i, b if isinstance(b, str) else json.dumps(b)) for i, b in enumerate(bodies)], "n int, value string").coalesce(1).orderBy("n")
     good, bad = ledger.validate_events(submissions(lines.select("value")))
     return good.count(), [r["error"] for r in bad.select("error").collect()]
 
 
-def test_intake(spark):
-    n, found = errors(
-        spark, BASE, BASE, BASE | {"payload": {"a": [1, {"b": "c"}]}, "module": "m"}, {k: v for k, v in BASE.items() if k != "kind"}, BASE | {"title": " "}, BASE | {"root_casue": "x"}, BASE | {"severity": "typo"},
-        BASE | {"resolved_at": "2026-08-31T08:00:00Z"}, BASE | {"resolved_at": "2026-08-31T09:00:00Z"}, BASE | {"title": "x" * 201}, BASE | {"payload": [1]}, BASE | {"payload": {"x": "\x00"}}, "not json",
-    )
-    assert n == 4
-    assert found == [
-        "missing required field: kind", "missing required field: title", "unknown field: root_casue", "severity must be one of ['critical', 'high', 'low', 'medium']", "resolved_at is before occurred_at",
-        "title longer than 200", "payload must be an object", "payload must not contain NUL", "unknown field",
-    ]
-
-
-def ev(i, module=None, cause=None, resolved=None, **more):
-    row = {"id": i, "project": "p", "module": module, "kind": "failure", "title": "t", "summary": "s", "root_cause": cause, "resolution": None, "result": "failure", "occurred_at": T0 + dt.timedelta(hours=i), "resolved_at": None} | more
-    if resolved is not None:
-        row["resolved_at"] = row["occurred_at"] + dt.timedelta(seconds=resolved)
-    return tuple(row[c.split()[0]] for c in EVENT.split(", "))
-
-
-def test_statistics(spark):
-    e = spark.createDataFrame([ev(i, m, "c") for i, m in enumerate(["zeta", "zeta", None, None, "alpha", "alpha"])] + [ev(9, "one", "once"), ev(10, "x", None, 3600), ev(11, "x")], EVENT)
-    assert [r["module"] for r in stats.repeat_causes(e).orderBy("position").collect()] == ["alpha", "zeta", None]
-    assert stats.stats_head(e).head()["avg_resolution_seconds"] == 3600
-    assert stats.stats_head(e.filter("id < 9")).head()["avg_resolution_seconds"] is None
-    many = spark.createDataFrame([ev(i, f"m{i:02}") for i in range(15)], EVENT)
-    top = stats.module_counts(many).collect()
-    assert len(top) == 12 and {r["omitted"] for r in top} == {3}
-    assert stats.in_scope(e, " zeta ").count() == 2 and stats.in_scope(e, " ").count() == 9 and stats.in_scope(e, None, T0 + dt.timedelta(hours=10)).count() == 2
-    assert stats.event_stats(e).head()["total"] == 9
-
-
-def found(spark, events, query, **more):
-    row = {"query_id": 1, "project": "p", "query": query, "kind": None, "module": None, "since": None, "until": None, "top_k": 8} | more
-    q = spark.createDataFrame([tuple(row.values())], "query_id bigint, project string, query string, kind string, module string, since timestamp, until timestamp, top_k int")
-    return [r["id"] for r in search.search_events(q, events).orderBy("position").collect()]
-
-
-def test_event_search(spark):
-    e = spark.createDataFrame([ev(1, summary="plain stays here"), ev(2, summary="plain stays gone"), ev(3, summary="other words")], EVENT)
-    assert found(spark, e, "-nothere") == []
-    assert found(spark, e, "plain OR -nothere") == [2, 1]
-    assert found(spark, e, "stays -gone") == [1]
-    assert found(spark, e, '"stays here"') == [1] and found(spark, e, '"here stays"') == []
-    assert found(spark, e, "nothing") == []
-    assert found(spark, e, None) == [3, 2, 1]
-    at = T0 + dt.timedelta(hours=2)
-    assert found(spark, e, None, since=at) == [3, 2] and found(spark, e, None, until=at) == [1]
-    assert found(spark, e, None, top_k=1) == [3]
+def test_each_field_is_checked(spark):
+    """Every field left out, null, too long or outside its set, one at a time."""
+    required, sets = REQUIRED, {"kind": KINDS, "result": RESULTS, "severity": SEVERITIES, "source": SOURCES}
+    bodies = [GOOD, GOOD, GOOD | dict.fromkeys(OPTIONAL_TEXTS), GOOD | {f: "x" * n for f, n in OPTIONAL_TEXTS.items()}]
+    n = len(bodies) + sum(map(len, sets.values()))
+    bodies += [GOOD | {f: v} for f, own in sets.items() for v in own]
+    wrong = [({k: v for k, v in GOOD.items() if k != f}, f"missing required field: {f}") for f in required]
+    wrong += [(GOOD | {f: None}, f"missing required field: {f}") for f in required]
+    wrong += [(GOOD | {f: "\t "}, f"missing required field: {f}") for f in ("title", "summary")]
+    wrong += [(GOOD | {f: "x" * (m + 1)}, f"{f} longer than {m}") for f, m in OPTIONAL_TEXTS.items()] + [(GOOD | {"title": "x" * 201}, "title longer than 200"), (GOOD | {"summary": "x" * 2001}, "summary longer than 2000")]
+    wrong += [(GOOD | {f: "other"}, f"{f} must be one of [{', '.join(map(repr, sorted(own)))}]") for f, own in sets.items()]
+    wrong += [(GOOD | {"tittle": 1}, "unknown field: tittle"), ("[1]", "unknown field"), ("{", "unknown field"), ("", "unknown field"), ({}, "missing required field: " + ", ".join(required))]
+    wrong += [(GOOD | {"resolved_at": "2027-02-03T04:05:05Z"}, "resolved_at is before occurred_at"), (GOOD | {"title": "a\x00"}, "title must not contain NUL")]
+    count, errors = judged(spark, *bodies, *[b for b, _ in wrong])
+    assert count == n and errors == [e for _, e in wrong]
+
+
+def test_payloads_of_submissions(spark):
+    line = json.dumps(GOOD)[:-1]
+    good = ['{"a":"\\\\u0000"}', '{"a":[1,{"b":null}]}', "null", "{}"]
+    bad = {"[1]": "must be an object", '"{}"': "must be an object", '{"a":NaN}': "must not contain NaN or Infinity", '{"a":[1e999]}': "must not contain NaN or Infinity", '{"a":"\\u0000"}': "must not contain NUL", '{"a":"\\ud800"}': "must be valid Unicode"}
+    count, errors = judged(spark, *[f'{line}, "payload": {p}}}' for p in (*good, *bad)])
+    assert count == len(good) and errors == [f"payload {e}" for e in bad.values()]
+    deep = f'{line}, "payload": {{"a": {"[" * 1100}{"]" * 1100}}}}}'
+    assert judged(spark, deep)[1] == ["payload longer than 2000"]
+
+
+def test_submissions_are_read_from_files(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n".join([json.dumps(GOOD | {"title": f"t{i}", "payload": {"n": i}}) for i in range(3)] + ["no json", '{"severity": 5}']))
+    rows = read_events(spark, str(tmp_path)).collect()
+    assert sorted((r["title"], r["payload"]) for r in rows if r["title"]) == [(f"t{i}", f'{{"n":{i}}}') for i in range(3)]
+    assert sorted(len(r["keys"]) for r in rows) == [1, 1, 7, 7, 7] and {r["severity"] for r in rows} == {None, "5"}
+
+
+def events_of(rnd, n):
+    """Random events of two projects, some at the same time."""
+    say = lambda: " ".join(rnd.choice(["oil", "rope", "sail", "wind", "oar"]) for _ in range(rnd.randrange(1, 9)))
+    rows = []
+    for i in range(n):
+        at = T0 + dt.timedelta(hours=rnd.randrange(n // 2 + 1))
+        done = at + dt.timedelta(seconds=rnd.randrange(5000)) if rnd.random() < 0.5 else None
+        rows.append((i, rnd.choice("pq"), rnd.choice([None, *"abcdefghijklmnop"]), rnd.choice(KINDS), say(), say(), rnd.choice([None, "worn", "bent"]), rnd.choice([None, say()]), rnd.choice(RESULTS), at, done))
+    return rows
+
+
+def test_statistics_by_plain_counting(spark):
+    rows = events_of(random.Random(1), 300)
+    e = spark.createDataFrame(rows, EVENT)
+    head = {r["project"]: r["avg_resolution_seconds"] for r in stats.stats_head(e).collect()}
+    for p in "pq":
+        own = [r for r in rows if r[1] == p]
+        took = [(r[10] - r[9]).total_seconds() for r in own if r[10]]
+        assert head[p] == math.floor(sum(took) / len(took) + 0.5)
+        modules = Counter(r[2] for r in own if r[2])
+        told = sorted((r["position"], r["value"], r["n"], r["omitted"]) for r in stats.module_counts(e).filter(F.col("project") == p).withColumnRenamed("module", "value").collect())
+        best = sorted(modules.items(), key=lambda x: (-x[1], x[0]))
+        assert [t[1:] for t in told] == [(m, c, max(0, len(best) - 12)) for m, c in best[:12]]
+        causes = Counter((r[6], r[2]) for r in own if r[6])
+        again = sorted(((c, m, n) for (c, m), n in causes.items() if n > 1), key=lambda x: (-x[2], x[0], x[1] is None, x[1] or ""))[:12]
+        assert [(r["root_cause"], r["module"], r["n"]) for r in stats.repeat_causes(e).filter(F.col("project") == p).orderBy("position").collect()] == again
+    assert stats.in_scope(e, "\tc ").count() == sum(r[2] == "c" for r in rows) and stats.in_scope(e, " \n").count() == 300
+    since = T0 + dt.timedelta(hours=70)
+    assert stats.in_scope(e, None, since).count() == sum(r[9] >= since for r in rows)
+
+
+ASKED = "query_id bigint, project string, query string, kind string, module string, since timestamp, until timestamp, top_k int"
+
+
+def plain_events(rows, q):
+    """The events that a query finds, by the definition: every event is looked at."""
+    _, project, query, kind, module, since, until, top = q
+    fit = [r for r in rows if r[1] == project and kind in (None, r[3]) and module in (None, r[2]) and (since is None or r[9] >= since) and (until is None or r[9] < until)]
+    found = []
+    for r in fit:
+        if query is None:
+            found.append((0, r[9], r[0]))
+            continue
+        t = " ".join(x or "" for x in (r[4], r[5], r[6], r[7])).split()
+        times = lambda part, t=t: sum(t[i : i + len(part)] == part for i in range(len(t)))
+        ranks = []
+        for g in parse_web_query(query):
+            wanted = [list(x) for x in dict.fromkeys(map(tuple, g["all"]))]
+            if all(map(times, wanted)) and not any(map(times, g["none"])):
+                ranks.append(sum(0.1 * sum(1 / j**2 for j in range(1, times(p) + 1)) / 1.64493406685 for p in wanted) / len(wanted))
+        if ranks:
+            found.append((round(max(ranks) / math.log2(len(t) + 1), 12), r[9], r[0]))
+    return [i for *_, i in sorted(found, reverse=True)[:top]]
+
+
+def test_event_search_by_brute_force(spark, monkeypatch):
+    """Words, phrases, groups, exclusions, filters and periods over several batches and many small segments."""
+    monkeypatch.setattr(stored_events, "SEGMENT", 20)
+    rnd = random.Random(2)
+    rows = events_of(rnd, 600)
+    root = shared_folder(spark)
+    for batch in range(3):
+        stored_events.append_events(spark.createDataFrame(rows[batch::3], EVENT), root, batch)
+    stored_events.append_events(spark.createDataFrame(rows[1::3], EVENT), root, 1)  # again: it replaces itself
+    words = ["oil", "rope", '"oil rope"', '"rope rope"', '"wind oar sail"', "-sail", "-\"oar oar\"", "OR", "worn", "gone", '"']
+    asked = []
+    for k in range(90):
+        query = None if k % 3 == 0 else " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 5)))
+        since, until = sorted(rnd.sample(range(310), 2))
+        period = (T0 + dt.timedelta(hours=since) if k % 4 else None, T0 + dt.timedelta(hours=until) if k % 5 else None)
+        asked.append((k, rnd.choice("pqr"), query, rnd.choice([None, *KINDS]) if k % 2 else None, rnd.choice([None, "a", "b"]), *period, rnd.choice([1, 8, 12])))
+    q = spark.createDataFrame(asked, ASKED)
+    want = {a[0]: plain_events(rows, a) for a in asked}
+    for _ in range(2):
+        got = {a[0]: [] for a in asked}
+        for r in search.search_events(q, root=root).orderBy("query_id", "position").collect():
+            got[r["query_id"]].append(r["id"])
+        assert got == want and sum(map(len, want.values())) > 200
+        monkeypatch.setattr(sent, "__defaults__", (1,))  # once more, with all joins as shuffles
+    # The newest events of a project are in few of its segments.
+    plain = q.filter("query is null and kind is null and module is null").select("query_id", "project", "since", "until")
+    needed = stored_events.holding(stored_events.read_zones(spark, root), plain, F.lit(True), 12)
+    held = stored_events.read_zones(spark, root).select("batch", "segment").distinct().count()
+    assert held >= 30 and max(r["count"] for r in needed.groupBy("query_id").count().collect()) <= held / 2
+
+
+def test_searches_leave_a_log(spark, tmp_path):
+    rows = events_of(random.Random(3), 40)
+    q = spark.createDataFrame([(1, "p", "oil", None, " ", None, None, 8), (2, "p", None, "nokind", None, None, None, 8), (3, "q", "nothing", "failure", None, T0, None, 8)], ASKED)
+    found = search.search_events(q, spark.createDataFrame(rows, EVENT), log=str(tmp_path / "log")).count()
+    log = {r["query_id"]: r for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert set(log) == {1, 3} and log[1]["hit_count"] == found > 0 and log[1]["hit_paths"] is None and log[1]["tool"] == "search_events"
+    assert log[3]["hit_count"] == 0 and json.loads(log[3]["filters"]) == {"kind": "failure", "since": "2026-01-01T00:00:00+00:00"} and log[1]["filters"] == "{}"
+
+
+def test_running_causes_write_what_changes(spark, tmp_path):
+    causes = [["a", "b", "a"], ["c"], ["b", "d", "b"], ["a", None]]
+    for k, own in enumerate(causes):
+        spark.createDataFrame([("p", None, c) for c in own], "project string, module string, root_cause string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("project string, module string, root_cause string").parquet(f"{tmp_path}/in")
+        intake.repeats_sink(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        total = Counter(c for own in causes[: k + 1] for c in own if c)
+        assert {r["root_cause"]: r["n"] for r in intake.current_repeats(spark, f"{tmp_path}/out").collect()} == {c: n for c, n in total.items() if n > 1}
+    written = Counter(r["batch_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert written == {0: 1, 2: 1, 3: 1} and intake.current_repeats(spark, f"{tmp_path}/out", 1).count() == 1
+    intake.compact_repeats(spark, f"{tmp_path}/out", f"{tmp_path}/packed")
+    assert intake.current_repeats(spark, f"{tmp_path}/packed").count() == 2
 
 
 def test_status_and_log(spark):
@@ -108,5 +211,5 @@ def test_interrupted_runs(spark):
 
 
 def test_ids_are_unique(spark):
-    e = spark.createDataFrame([ev(i) for i in range(8)], EVENT).drop("id").withColumns({c: F.lit(None).cast("string") for c in ("severity", "source", "related_doc_path", "payload", "created_by")}).withColumn("created_at", F.current_timestamp())
+    e = spark.createDataFrame(events_of(random.Random(4), 8), EVENT).drop("id").withColumns({c: F.lit(None).cast("string") for c in ("severity", "source", "related_doc_path", "payload", "created_by")}).withColumn("created_at", F.current_timestamp())
     assert ledger.with_ids(e.repartition(4), 100).select("id").distinct().count() == 8
