@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import durable, durable_count, stored, tidy
+from .common import durable_count, stored, tidy
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
@@ -22,6 +22,8 @@ PERMUTATIONS, BANDS = 64, 32
 ROUNDS = 2
 #: Parts over which a pivot's pairs are dealt.
 SALTS = 32
+#: Labels or links that are sent to all tasks of a join (some 10 MB); more of them move with the other side.
+SENT = 50_000
 #: Slots of the frequency sketch by which the exact rest orders shingles (1 MB, whatever the input).
 SLOTS = 1 << 20
 
@@ -98,8 +100,13 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(docs.join(wanted, "id").select("cls", "raw").dropDuplicates(["cls"]), "neardup-texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those whose full sets are similar enough.
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are at most n, as the smaller side of a join."""
+    return F.broadcast(rows) if n <= SENT else rows
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """Of pairs (a, b) of classes those whose full sets are similar enough, and their number.
 
     b's pairs are dealt over SALTS parts and b's text goes to each part once, ahead of them, so a task that streams
     through its parts holds one b at a time and no text is repeated for each pair of a frequent b.
@@ -123,33 +130,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(other is not None and 100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return durable(rows.mapInArrow(tidy(task), "a binary, b binary"))
-
-
-def merge_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node, root) after joining the components that edges (a, b) connect; nodes not in labels are their own roots.
-
-    Each round rewrites the edges between roots, drops those within one and hooks every root to its smallest neighbour
-    below it, so links to one pivot take one round and chains a logarithmic number.
-    """
-    a, b = labels.toDF("a", "root_a"), labels.toDF("b", "root_b")
-    work = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    while True:
-        work, n = durable_count(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if not n:
-            return labels
-        hook = work.groupBy("a").agg(F.min("b").alias("to"))
-        more = 1
-        while more:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
-            further = hook.join(hook.toDF("to", "next"), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
-            further, more = durable_count(further, F.col("more"))
-            hook = further.select("a", "to")
-        hook = hook.withColumnRenamed("a", "root")
-        moved = labels.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        fresh = hook.select(F.col("root").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti")
-        labels = durable(moved.unionByName(fresh))
-        x, y = hook.select("root", "to").toDF("a", "to_a"), hook.select("root", "to").toDF("b", "to_b")
-        work = work.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    return durable_count(rows.mapInArrow(tidy(task), "a binary, b binary"))
+
+
+class Labels:
+    """The root of each class that is linked with others; any other class is its own root."""
+
+    def __init__(self, rows: DataFrame, n: int = 0) -> None:
+        self.rows, self.n = rows, n  # node, root
+
+    def rooted(self, rows: DataFrame, n: int, column: str, out: str) -> DataFrame:
+        """rows, of which there are at most n, with the root of the class in a column."""
+        own = self.rows
+        if n <= SENT < self.n:  # few of the labels are asked for
+            own = own.join(F.broadcast(rows.select(F.col(column).alias("node")).distinct()), "node", "left_semi")
+        return rows.join(_sent(own.toDF(column, out), min(n, self.n)), column, "left").withColumn(out, F.coalesce(out, column))
+
+    def merged(self, edges: DataFrame, n: int) -> Labels:
+        """The labels after joining the components that n edges (a, b) connect.
+
+        Each round rewrites the edges between roots, drops those within one and hooks every root to its smallest
+        neighbour below it, so links to one pivot take one round and chains a logarithmic number.
+        """
+        labels, n_labels = self.rows, self.n
+        work = self.rooted(self.rooted(edges, n, "a", "root_a"), n, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        while True:
+            work, n = durable_count(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            if not n:
+                return Labels(labels, n_labels)
+            hook = work.groupBy("a").agg(F.min("b").alias("to"))
+            more = 1
+            while more:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
+                further = hook.join(_sent(hook.toDF("to", "next"), n), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
+                further, more = durable_count(further, F.col("more"))
+                hook = further.select("a", "to")
+            known = labels.join(_sent(hook.select(F.col("a").alias("node")), n), "node", "left_semi").select(F.col("node").alias("a"))
+            fresh = hook.join(_sent(known, n), "a", "left_anti").toDF("node", "root")
+            moved = labels.join(_sent(hook.withColumnRenamed("a", "root"), n), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            labels, n_labels = durable_count(moved.unionByName(fresh))
+            x, y = _sent(hook.toDF("a", "to_a"), n), _sent(hook.toDF("b", "to_b"), n)
+            work = work.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
 
 
 def _sketch(texts: DataFrame) -> np.ndarray:
@@ -171,7 +191,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+def _rare_prefix_pairs(texts: DataFrame, labels: Labels) -> DataFrame:
     """All pairs (a, b) of classes in different components that can be similar enough, for an exact rest.
 
     Of two such sets, in any common order of shingles, one of the first n - ceil(t n) + 1 shingles of the larger is one
@@ -196,7 +216,7 @@ def _rare_prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), *(pa.array(np.concatenate(c)) for c in (hashes, sizes, places))], names=["node", "h", "n", "at"])
 
     rows = texts.select("cls", "raw").mapInArrow(tidy(task), "node binary, h bigint, n bigint, at bigint")
-    rows = rows.join(labels, "node", "left").select("node", "h", "n", "at", F.coalesce("root", "node").alias("root"))
+    rows = rows.join(_sent(labels.rows, labels.n), "node", "left").select("node", "h", "n", "at", F.coalesce("root", "node").alias("root"))
     rows = stored(rows, "neardup-prefixes")
     several = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
     rows = rows.join(several, "h", "left_semi")
@@ -237,40 +257,44 @@ def _components(docs: DataFrame) -> DataFrame:
     members = stored(posts.join(pivots, "band"), "neardup-buckets")
     texts = _class_texts(docs.select(ident, "raw"), members.select("cls", "id").distinct())
 
-    labels = members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+    labels = Labels(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0))
     near = members.filter(F.col("cls") != F.col("pivot"))
-    tried = near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b")
-    labels = merge_components(labels, _confirmed(tried, texts))
+    tried, n = durable_count(near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b"))
+    labels = labels.merged(*_confirmed(tried, texts))
 
-    def rooted(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(labels.toDF(column, out), column, "left").withColumn(out, F.coalesce(out, column))
+    def apart(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """Of at most n pairs (a, b) those in different components that weren't compared."""
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+        return durable_count(labels.rooted(labels.rooted(pairs, n, "a", "ra"), n, "b", "rb").filter("ra != rb").select("a", "b"))
 
-    pairs = near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs, n = durable_count(rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b"))
-    if n:
-        labels = merge_components(labels, _confirmed(pairs, texts))
-
-    def still_open() -> DataFrame:
-        spans = rooted(members.select("band", "cls"), "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        return members.join(spans.select("band"), "band", "left_semi").select("band", "cls")
+    def still_open(members: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """Of the members of buckets (at most n) those of buckets that hold several components: none opens again."""
+        spans = labels.rooted(members, n, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        return durable_count(members.join(spans.select("band"), "band", "left_semi").select("band", "cls"))
 
-    done = tried.unionByName(pairs)
+    done, many = tried, BANDS * n
+    pairs, n = apart(near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), many)
+    if n:
+        labels, done = labels.merged(*_confirmed(pairs, texts)), done.unionByName(pairs)
+    buckets, n = still_open(members.select("band", "cls"), 2 * many)
     for turn in range(ROUNDS):
-        buckets = still_open()
-        other = buckets.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
-        fresh = buckets.join(other, "band").filter("cls != pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
-        fresh, n = durable_count(rooted(rooted(fresh, "a", "ra"), "b", "rb").filter("ra != rb").select("a", "b").join(done, ["a", "b"], "left_anti"))
         if not n:
             break
-        labels, done = merge_components(labels, _confirmed(fresh, texts)), done.unionByName(fresh)
+        other = buckets.groupBy("band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
+        fresh = buckets.join(_sent(other, n), "band").filter("cls != pivot").select(F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b")).distinct()
+        fresh, some = apart(fresh, n)
+        if not some:
+            break
+        labels, done = labels.merged(*_confirmed(fresh, texts)), done.unionByName(fresh)
+        buckets, n = still_open(buckets, n)
 
-    left, n = durable_count(still_open().select("cls").distinct())
+    left, n = durable_count(buckets.select("cls").distinct())
     if n:
-        rest, n = durable_count(_rare_prefix_pairs(texts.join(left, "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
+        rest, n = durable_count(_rare_prefix_pairs(texts.join(_sent(left, n), "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
         if n:
-            labels = merge_components(labels, _confirmed(rest, texts))
+            labels = labels.merged(*_confirmed(rest, texts))
 
-    grouped = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    grouped = classes.select("cls", "first").join(_sent(labels.rows.withColumnRenamed("node", "cls"), labels.n), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("cls", "root", "component_id")
     return sigs.drop("bands", "id").join(named, "cls", "left")
