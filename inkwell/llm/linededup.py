@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import stored, tidy
 
@@ -23,18 +23,15 @@ SENTENCE = 8
 #: each, whatever the input; the joins behind them are exact).
 FILTER = 1 << 24
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
+_STOP = re.compile(rb"(?<=[.!?]) ")
+_UNEVEN = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c", b" \n", b"\n ")
 _PIECE = re.compile(rb".*?[.!?]+[\x20\t\x0b-\r]+|.+")
 _SPACE = b" \t\x0b\x0c\r"
 
 
 def sentences(line: bytes) -> list[bytes]:
     """The sentences of a line whose tokens are divided by single blanks: each ends with a token that ends with . ! or ?."""
-    parts = [line]
-    for stop in (b". ", b"! ", b"? "):
-        if stop in line:
-            cut = [p.split(stop) for p in parts]
-            parts = [q for own in cut for q in (*[x + stop[:1] for x in own[:-1]], own[-1])]
-    return parts
+    return _STOP.split(line)
 
 
 def masked(words: bytes) -> bytes:
@@ -47,16 +44,23 @@ def units(text: bytes) -> Iterator[tuple[int, bytes]]:
 
     A line is numbered before its sentences. What has no letter outside masked tokens is no unit, but has its number.
     """
-    no = 0
+    digits = _DIGIT.search(text) is not None
+    even = not any(x in text for x in _UNEVEN) and text[:1] != b" " and text[-1:] != b" "
+    letter, no = _LETTER.search, 0
     for line in text.split(b"\n"):
-        line = b" ".join(line.split())
-        if line and _LETTER.search(own := masked(line)):
-            yield no, own
+        if not even:
+            line = b" ".join(line.split())
+        parts = sentences(line)
+        if digits:
+            parts = [masked(p) for p in parts]
+            line = b" ".join(parts)
+        if letter(line):
+            yield no, line
         no += 1
-        if len(parts := sentences(line)) > 1:
+        if len(parts) > 1:
             for k, part in enumerate(parts, no):
-                if part.count(b" ") >= SENTENCE - 1 and _LETTER.search(own := masked(part)):
-                    yield k, own
+                if part.count(b" ") >= SENTENCE - 1 and letter(part):
+                    yield k, part
             no += len(parts)
 
 
@@ -67,40 +71,48 @@ def leaf_of(unit: bytes) -> int:
     """
     n = unit.count(b" ") + 1
     depth = n.bit_length()
-    return xxhash.xxh64_intdigest(b"%d " % n + b" ".join(unit.split(b" ", depth)[:depth]))
+    *lead, rest = unit.split(b" ", depth)
+    return xxhash.xxh64_intdigest(b"%d " % n + (unit[: -len(rest) - 1] if len(lead) == depth else unit))
 
 
 def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _lines(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """doc, key, no, line and leaf of every unit of docs (doc, key, raw); with bits, no leaf, and units whose bit is set."""
-    shape = docs.select("doc", "key").schema.add("no", "integer").add("line", "long")
-    leaves = bits is None
-    if leaves:
-        shape = shape.add("leaf", "long")
+def _units(docs: DataFrame) -> DataFrame:
+    """doc, key, and the numbers, hashes and leaves of all units of docs (doc, key, raw), as lists."""
+    shape = docs.select("doc", "key").schema.add("no", ArrayType(IntegerType())).add("line", ArrayType(LongType())).add("leaf", ArrayType(LongType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, no, line, leaf = [], [], [], []
-            for r, raw in enumerate(batch.column(2).to_pylist()):
+            no, line, leaf, ends = [], [], [], [0]
+            for raw in batch.column(2).to_pylist():
                 for i, own in units(raw or b""):
-                    name = xxhash.xxh64_intdigest(own)
-                    if bits is not None and not bits[name % FILTER >> 3] >> (name & 7) & 1:
-                        continue
-                    row.append(r)
                     no.append(i)
-                    line.append(name)
-                    if leaves:
-                        leaf.append(leaf_of(own))
-            take = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(no, pa.int32()), _longs(line)]
-            yield pa.RecordBatch.from_arrays([*columns, _longs(leaf)] if leaves else columns, names=shape.names)
+                    line.append(xxhash.xxh64_intdigest(own))
+                    leaf.append(leaf_of(own))
+                ends.append(len(no))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(no, pa.int32()), _longs(line), _longs(leaf))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=shape.names)
 
     return docs.mapInArrow(tidy(task), shape)
 
 
+def _found_in(held: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc, key, no, line of the units of _units whose hash has its bit set."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, lines = batch.column(2), batch.column(3).flatten()
+            slot = lines.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER)
+            at = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            row = pa.array(np.repeat(np.arange(len(batch)), numbers.value_lengths().to_numpy(zero_copy_only=False))[at])
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), numbers.flatten().take(at), lines.take(at)], names=["doc", "key", "no", "line"])
+
+    return held.select("doc", "key", "no", "line").mapInArrow(tidy(task), "doc bigint, key bigint, no int, line bigint")
+
+
 def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """line, leaf, tokens (hashes, null for <*>) of the units of docs (raw) whose leaf's bit is set; mostly once a task."""
 
@@ -147,10 +159,10 @@ def _where_set(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(tidy(task), rows.schema)
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, held: DataFrame) -> DataFrame:
     """line, first: for each unit of a template that recurs across documents the first document that has it.
 
-    docs: doc, key, raw. A leaf (leaf_of) holds the units of one token count and the same leading tokens. In a leaf of several
+    docs: doc, key, raw; held: their units (_units). A leaf (leaf_of) holds the units of one token count and the same leading tokens. In a leaf of several
     documents, what stands at a position in two or more of them is constant, anything else a variable field, as are
     tokens with a digit. A template is its constants and the places of its fields; it counts where enough positions are
     constant. All sums are over distinct units and combine before the shuffle, so a leaf or unit of any size is dealt
@@ -158,7 +170,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """
     several = F.col("lo") != F.col("hi")
     span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    distinct = _lines(docs).groupBy("line", "leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    each = held.select("key", F.explode(F.arrays_zip("line", "leaf")).alias("u")).select("key", "u.line", "u.leaf")
+    distinct = each.groupBy("line", "leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     distinct = stored(distinct, "lines-distinct")
     leaves = stored(distinct.groupBy("leaf").agg(*span, F.count(F.lit(1)).alias("n")).filter(several & (F.col("n") > 1)).select("leaf"), "lines-leaves")
     bits = _filter_of(leaves, "leaf")
@@ -232,9 +245,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     keep = [c for c in docs.columns if c not in added]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.xxhash64(ident, F.col(text)).alias("doc"), ident.alias("key"), F.col(text).cast("binary").alias("raw"))
-    # Reading the texts again costs less than holding every line between.
-    found = recurring_lines(rows)
-    gone = _lines(rows, _filter_of(found, "line")).join(found, "line").filter(F.col("key") != F.col("first"))
+    held = stored(_units(rows), "lines-units")  # a seventh of the texts; reading those again costs more
+    found = recurring_lines(rows, held)
+    gone = _found_in(held, _filter_of(found, "line")).join(found, "line").filter(F.col("key") != F.col("first"))
     # The same lines of one document, or of rows repeated, come once.
     gone = gone.groupBy("doc").agg(F.collect_set("no").alias("__gone"))
     told = docs.select(*keep).withColumn("__doc", F.xxhash64(ident, F.col(text)))

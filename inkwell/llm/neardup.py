@@ -100,6 +100,12 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(docs.join(wanted, "id").select("cls", "raw").dropDuplicates(["cls"]), "neardup-texts")
 
 
+def _held(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows, computed once and read again in parts of some SENT rows, and their number."""
+    out, n = durable_count(rows)
+    return out.coalesce(1 + n // SENT), n
+
+
 def _sent(rows: DataFrame, n: int) -> DataFrame:
     """rows, of which there are at most n, as the smaller side of a join."""
     return F.broadcast(rows) if n <= SENT else rows
@@ -130,7 +136,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
                 linked.append(other is not None and 100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return durable_count(rows.mapInArrow(tidy(task), "a binary, b binary"))
+    return _held(rows.mapInArrow(tidy(task), "a binary, b binary"))
 
 
 class Labels:
@@ -155,7 +161,7 @@ class Labels:
         labels, n_labels = self.rows, self.n
         work = self.rooted(self.rooted(edges, n, "a", "root_a"), n, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         while True:
-            work, n = durable_count(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            work, n = _held(work.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
             if not n:
                 return Labels(labels, n_labels)
             hook = work.groupBy("a").agg(F.min("b").alias("to"))
@@ -163,11 +169,11 @@ class Labels:
             while more:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
                 further = hook.join(_sent(hook.toDF("to", "next"), n), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
                 further, more = durable_count(further, F.col("more"))
-                hook = further.select("a", "to")
+                hook = further.select("a", "to").coalesce(1 + n // SENT)
             known = labels.join(_sent(hook.select(F.col("a").alias("node")), n), "node", "left_semi").select(F.col("node").alias("a"))
             fresh = hook.join(_sent(known, n), "a", "left_anti").toDF("node", "root")
             moved = labels.join(_sent(hook.withColumnRenamed("a", "root"), n), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            labels, n_labels = durable_count(moved.unionByName(fresh))
+            labels, n_labels = _held(moved.unionByName(fresh))
             x, y = _sent(hook.toDF("a", "to_a"), n), _sent(hook.toDF("b", "to_b"), n)
             work = work.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
 
@@ -259,18 +265,18 @@ def _components(docs: DataFrame) -> DataFrame:
 
     labels = Labels(members.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0))
     near = members.filter(F.col("cls") != F.col("pivot"))
-    tried, n = durable_count(near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b"))
+    tried, n = _held(near.groupBy("cls").agg(F.min("pivot").alias("b")).select(F.col("cls").alias("a"), "b"))
     labels = labels.merged(*_confirmed(tried, texts))
 
     def apart(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
         """Of at most n pairs (a, b) those in different components that weren't compared."""
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-        return durable_count(labels.rooted(labels.rooted(pairs, n, "a", "ra"), n, "b", "rb").filter("ra != rb").select("a", "b"))
+        return _held(labels.rooted(labels.rooted(pairs, n, "a", "ra"), n, "b", "rb").filter("ra != rb").select("a", "b"))
 
     def still_open(members: DataFrame, n: int) -> tuple[DataFrame, int]:
         """Of the members of buckets (at most n) those of buckets that hold several components: none opens again."""
         spans = labels.rooted(members, n, "cls", "root").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        return durable_count(members.join(spans.select("band"), "band", "left_semi").select("band", "cls"))
+        return _held(members.join(spans.select("band"), "band", "left_semi").select("band", "cls"))
 
     done, many = tried, BANDS * n
     pairs, n = apart(near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), many)
@@ -288,9 +294,9 @@ def _components(docs: DataFrame) -> DataFrame:
         labels, done = labels.merged(*_confirmed(fresh, texts)), done.unionByName(fresh)
         buckets, n = still_open(buckets, n)
 
-    left, n = durable_count(buckets.select("cls").distinct())
+    left, n = _held(buckets.select("cls").distinct())
     if n:
-        rest, n = durable_count(_rare_prefix_pairs(texts.join(_sent(left, n), "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
+        rest, n = _held(_rare_prefix_pairs(texts.join(_sent(left, n), "cls", "left_semi"), labels).join(done, ["a", "b"], "left_anti"))
         if n:
             labels = labels.merged(*_confirmed(rest, texts))
 

@@ -241,12 +241,13 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     rows are packed each for itself; an empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw"))
-    parts = stored(_windows(rows, path), "packing-windows")
+    # Rows that are equal in all, or share their key, are told apart by their place in the stored table.
+    parts = stored(_windows(rows, path).withColumn("row", F.monotonically_increasing_id()), "packing-windows")
     # At most BUCKETS rows, whatever the input.
     line = parts.groupBy("bucket").agg(F.sum(F.when(F.col("ids").isNotNull(), F.col("length")).otherwise(0)).alias("tokens"))
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     line = line.withColumn("before", before)
-    place = F.floor((F.col("before") + unit_hash(F.col("key")) * F.col("tokens")) / SHARD).cast("long")
+    place = F.floor((F.col("before") + unit_hash(F.col("key"), F.col("start"), F.col("row")) * F.col("tokens")) / SHARD).cast("long")
     parts = parts.join(F.broadcast(line), "bucket").select(place.alias("shard"), "key", "start", "length", "crc", "doc_tokens", "ids")
     shape = rows.select(F.col("key").alias(key)).schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):

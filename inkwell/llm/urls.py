@@ -18,6 +18,8 @@ SHAPE, ERRORS = 0.25, 1.96
 PRIOR_WEIGHT, REJECT_AT = 4.0, 0.8
 #: Parts over which a hot host's rows are dealt.
 SALTS = 8
+#: Level from which on runs of levels without a fork are looked for, so that they take one step together.
+RUNS = 4
 #: Levels that the SQL spells out; the operator itself goes as deep as the deepest path.
 SQL_LEVELS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,6 +53,15 @@ def _purity(bad: Column, labelled: Column, prior: Column) -> Column:
     return (bad + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
 
 
+def _run_length(tree: DataFrame, i: int, depth: int) -> int:
+    """For how many levels from i on no node with several rows forks or ends; where none has several, all that are left."""
+    rest = F.slice("segments", i + 1, depth)
+    nodes = tree.filter(F.size("segments") > i).groupBy("host", "template").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.count(F.lit(1)).alias("n"))
+    fork = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False) - 1
+    run = F.when(fork >= 0, fork).otherwise(F.size("lo"))
+    return nodes.filter("n > 1").agg(F.coalesce(F.min(run), F.lit(depth - i))).head()[0]
+
+
 def template_verdicts(urls: DataFrame) -> DataFrame:
     """One row a (host, segments): its template, labelled, bad, purity and verdict.
 
@@ -62,13 +73,20 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     covers over all hosts, which is smoothed towards the share of all labels; at REJECT_AT it is blocked.
 
     All sums combine before the shuffle. Node facts are joined to children with a salt, so a host of any size is dealt
-    out. A level takes three small jobs; there are as many levels as the deepest path has segments.
+    out. A level takes a few small jobs. Where no host's node has several children, all go down to the next fork, or to
+    their ends, in one step, so it is forks that count, not segments.
     """
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     tree = urls.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
     tree = durable(tree.withColumn("template", F.lit("")))
     depth = tree.agg(F.max(F.size("segments"))).head()[0] or 0
-    for i in range(depth):
+    i = 0
+    while i < depth:
+        if i >= RUNS and (run := _run_length(tree, i, depth)):
+            further = F.array_join(F.slice("segments", i + 1, run), "/")
+            tree = durable(tree.withColumn("template", F.when(F.size("segments") > i, F.concat_ws("/", "template", further)).otherwise(F.col("template"))))
+            i += run
+            continue
         s = F.when(F.size("segments") > i, F.get("segments", F.lit(i)))
         below = F.coalesce(F.get("segments", F.lit(i + 1)), F.lit(""))
         own = tree.filter(F.size("segments") > i).select("host", "template", s.alias("s"), below.alias("kind"), "n", "labelled", "bad")
@@ -101,6 +119,7 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
         named = facts.select("host", "template", "s", F.concat("template", F.lit("/"), name).alias("__next"))
         rows = salted_join(tree.withColumn("s", s), named, ["host", "template", "s"], F.xxhash64("segments"), SALTS)
         tree = durable(rows.withColumn("template", F.coalesce("__next", "template")).drop("s", "__next"))
+        i += 1
     over = tree.groupBy("segments").agg(F.sum("labelled").alias("o_labelled"), F.sum("bad").alias("o_bad"))
     total = salted_join(tree, over, ["segments"], F.xxhash64("host"), SALTS).groupBy("host", "template")
     total = total.agg(F.sum("labelled").alias("t_labelled"), F.sum("bad").alias("t_bad"), F.sum("o_labelled").alias("o_labelled"), F.sum("o_bad").alias("o_bad"))
