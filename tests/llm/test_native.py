@@ -44,6 +44,23 @@ def test_url_templates(spark):
     assert out["/wiki/new"]["verdict"] == "allow" and out["/other"]["verdict"] == "allow" and out["/wiki/Page3"]["verdict"] == "allow"
 
 
+def test_paths_of_a_thousand_segments(spark, monkeypatch):
+    """Levels without a fork take one step together, and the templates are those of a walk level by level."""
+    words = lambda n, of: "/".join(f"{of}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(n))
+    rows = [f"/{words(7, 'p')}/{leaf}{tail}" for leaf in ("one", "two", "three") for tail in ("", "/end", f"/{words(6, 'q')}")] + [f"/{words(9, 'p')}", "/a", "", "/", f"/{words(7, 'p')}"]
+    small = spark.createDataFrame([(i, f"http://h{h}.org{p}", bool(i % 3)) for h in range(2) for i, p in enumerate(rows)], "page_id bigint, url string, bad boolean")
+    told = lambda pages: sorted((r["page_id"], r["host"], r["template"], r["verdict"]) for r in urls.judged(pages, rules=(), label="bad").collect())
+    folded = told(small)
+    monkeypatch.setattr(urls, "RUNS", 99)
+    assert told(small) == folded
+    monkeypatch.setattr(urls, "RUNS", 4)
+    steps, real = [], urls.durable
+    monkeypatch.setattr(urls, "durable", lambda df: steps.append(1) or real(df))
+    deep = spark.createDataFrame([(1, f"http://h.org/{words(1000, 's')}"), (2, f"http://h.org/{words(1000, 's')}/end"), (3, f"http://h.org/{words(500, 's')}/own"), (4, "http://h.org/a")], "page_id bigint, url string")
+    out = {r["page_id"]: r["template"] for r in urls.judged(deep).collect()}
+    assert out[1] == f"/{words(1000, 's')}" and out[2] == out[1] + "/end" and out[3] == f"/{words(500, 's')}/own" and len(steps) < 45
+
+
 def test_labels_reach_urls_without_a_rule(spark):
     rows = [(f"h{h}.example.{top}", f"/{lang}/{n}") for h in range(6) for top in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(100, 110)]
     rows += [("deep.example.org", "/de/" + "/".join(f"x{i}" for i in range(2)) + f"/{n}") for n in range(40)] + [("other.test", "/news/1")]

@@ -176,6 +176,44 @@ def test_packing_round_trip(spark):
     assert packing.packed(docs(spark, (1, "x")).limit(0), packing._vocabulary()).count() == 0
 
 
+def test_many_equal_rows_are_packed_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 1 << 12)
+    rows = [(None, "the same words again and again")] * 3000 + [(7, "other words, as often repeated")] * 3000
+    out = packing.packed(docs(spark, *rows).repartition(4), packing._vocabulary()).toPandas()
+    sizes = out.groupby(out.sequence_id // 2**32).length.sum()
+    assert len(out) >= 6000 and len(sizes) > 5 and sizes.max() < 3 * packing.SHARD
+
+
+def test_units_by_a_plain_walk():
+    """Lines before their sentences, by one walk over tokens."""
+
+    def plain(text):
+        no, out = 0, []
+        for line in text.split(b"\n"):
+            tokens = line.split()
+            cut, parts = [], []
+            for t in tokens:
+                cut.append(t)
+                if t[-1:] in (b".", b"!", b"?"):
+                    parts.append(cut)
+                    cut = []
+            parts += [cut] if cut or not parts else []
+            told = lambda own: b" ".join(b"<*>" if any(48 <= c <= 57 for c in t) else t for t in own)
+            lettered = lambda own: any(chr(c).isalpha() or c > 127 for t in own.split(b" ") for c in t)
+            if lettered(told(tokens)):
+                out.append((no, told(tokens)))
+            no += 1
+            if len(parts) > 1:
+                out += [(no + k, told(p)) for k, p in enumerate(parts) if len(p) >= linededup.SENTENCE and lettered(told(p))]
+                no += len(parts)
+        return out
+
+    rnd = random.Random(12)
+    for _ in range(400):
+        text = "".join(rnd.choice(["a", "bc", "é", "d4", "5", ".", "!", "?", ". ", "? ", " ", "  ", "\t", "\r", "\n", "x y z u v w q r. "]) for _ in range(rnd.randrange(60))).encode()
+        assert list(linededup.units(text)) == plain(text), text
+
+
 def test_neighbours_share_rare_terms():
     shard = [np.array([7, 8, 1000 + 3 * i, 1001 + 3 * i, 1002 + 3 * i], np.uint16) for i in range(50)]
     shard[1][2:4] = shard[0][2:4]
@@ -265,13 +303,17 @@ def test_stage_with_null_and_repeated_ids(spark, tmp_path):
     assert packed == by_id(packing.stage(spark, docs(spark, *words), "")) and packed[None] > 0
 
 
-def test_chain_of_components(spark):
+def test_chain_of_components(spark, monkeypatch):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(20)] + [(bytes([100]), bytes([101]))], "a binary, b binary")
-    labels = spark.createDataFrame([], "node binary, root binary")
-    groups = defaultdict(set)
-    for r in neardup.merge_components(labels, edges).collect():
-        groups[bytes(r["root"])].add(bytes(r["node"]))
-    assert {len(v | {k}) for k, v in groups.items()} == {21, 2}
+    for most in (neardup.SENT, 3):  # the second time most joins are shuffles
+        monkeypatch.setattr(neardup, "SENT", most)
+        labels, groups = neardup.Labels(spark.createDataFrame([], "node binary, root binary")), defaultdict(set)
+        for part in (edges.filter("a < X'0A'"), edges.filter("a >= X'0A'")):
+            labels = labels.merged(part, part.count())
+        assert labels.n == labels.rows.count()
+        for r in labels.rows.collect():
+            groups[bytes(r["root"])].add(bytes(r["node"]))
+        assert {len(v | {k}) for k, v in groups.items()} == {21, 2}
 
 
 # --- media ---------------------------------------------------------------------------------------------------------
