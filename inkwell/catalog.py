@@ -132,7 +132,37 @@ def deleted_docs(spark, sf_dir):
     return changes.deletable(d, d.filter("doc_id % 3 = 0"), links).select("project", "path")
 
 
-@_register()
+def _packs(units: str, out: str, most: int, joiner: int) -> str:
+    """SQL that gathers units (keys doc, sec, blk; order k; size n) in turn as long as they fit: out has grp for each unit."""
+    return f"""{out}(doc, sec, blk, k, n, size, grp) AS (SELECT doc, sec, blk, k, n, n, 0 FROM {units} WHERE k = 1
+  UNION ALL SELECT u.doc, u.sec, u.blk, u.k, u.n, CASE WHEN p.size + {joiner} + u.n <= {most} THEN p.size + {joiner} + u.n ELSE u.n END, CASE WHEN p.size + {joiner} + u.n <= {most} THEN p.grp ELSE p.grp + 1 END
+  FROM {out} p JOIN {units} u ON u.doc = p.doc AND u.sec = p.sec AND u.blk = p.blk AND u.k = p.k + 1)"""
+
+
+#: The chunks of the Markdown corpus in SQL, with recursion for fences and for gathering: chunk has doc, project, path, sec and n.
+_CHUNKED = rf"""RECURSIVE d AS ({MD}), body AS (SELECT *, regexp_replace(text, '^---[ 	]*
+[\s\S]*?
+---[ 	]*(
+|\z)', '') AS x FROM d),
+ln AS (SELECT doc_id AS doc, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS no FROM body),
+fl AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY no) AS k FROM (SELECT doc, no, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1) AS mark FROM ln) WHERE mark <> ''),
+fs(doc, k, no, state) AS (SELECT doc, k, no, mark FROM fl WHERE k = 1
+  UNION ALL SELECT f.doc, f.k, f.no, CASE WHEN s.state = '' THEN f.mark WHEN f.mark[1] = s.state[1] AND len(f.mark) >= len(s.state) THEN '' ELSE s.state END FROM fs s JOIN fl f ON f.doc = s.doc AND f.k = s.k + 1),
+st AS (SELECT l.doc, l.no, l.line, fs.k IS NOT NULL AS is_mark, coalesce(last_value(fs.state IGNORE NULLS) OVER (PARTITION BY l.doc ORDER BY l.no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') <> '' AS inside FROM ln l LEFT JOIN fs ON fs.doc = l.doc AND fs.no = l.no),
+hd AS (SELECT *, NOT is_mark AND NOT inside AND regexp_matches(line, '^#{{1,6}}\s') AS h, NOT is_mark AND NOT inside AND trim(line, ' ' || chr(9) || chr(13)) = '' AS blank FROM st),
+se AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY doc ORDER BY no) AS sec FROM hd),
+bl AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY doc, sec ORDER BY no) AS blk FROM se WHERE NOT h),
+kept AS (SELECT doc, sec, blk, no, length(line) AS n FROM bl WHERE NOT blank),
+blocks AS (SELECT doc, sec, blk, CAST(sum(n) + count(*) - 1 AS BIGINT) AS n FROM kept GROUP BY ALL),
+longs AS (SELECT doc, sec, blk, row_number() OVER (PARTITION BY doc, sec, blk ORDER BY no) AS k, CAST(kept.n AS BIGINT) AS n FROM kept JOIN (SELECT doc, sec, blk FROM blocks WHERE n > 4000) USING (doc, sec, blk)),
+{_packs("longs", "cutup", 4000, 1)},
+pieces AS (SELECT doc, sec, blk, 0 AS part, n FROM blocks WHERE n <= 4000 UNION ALL SELECT doc, sec, blk, grp, max(size) FROM cutup GROUP BY ALL),
+units AS (SELECT doc, sec, 0 AS blk, row_number() OVER (PARTITION BY doc, sec ORDER BY blk, part) AS k, n FROM pieces),
+{_packs("units", "packed", 1200, 2)},
+chunk AS (SELECT doc, project, path, sec, max(size) AS n FROM packed JOIN d ON d.doc_id = doc GROUP BY doc, project, path, sec, grp)"""
+
+
+@_register(f"WITH {_CHUNKED} SELECT project, path, count(*) AS chunks, CAST(max(n) AS INTEGER) AS longest, count(*) FILTER (n > 1200) AS over_soft, count(*) FILTER (sec = 0) AS without_heading FROM chunk GROUP BY project, path")
 def chunk_profile(spark, sf_dir):
     parsed = ing.parse_documents(samples.markdown(spark, sf_dir))
     return ing.chunk_profile(parsed.select("project", "path", F.explode("chunks").alias("c")).select("project", "path", "c.*"))
@@ -145,7 +175,12 @@ def _embed(texts: list[str]) -> list[list[float]]:
     return [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts]
 
 
-@_register()
+@_register(
+    f"WITH {_CHUNKED}, bad AS (SELECT project, min(path) AS path FROM d WHERE doc_id % 13 = 0 AND doc_id % 10 <> 3 GROUP BY project), use AS (SELECT d.project, d.doc_id, bad.path AS bad FROM d LEFT JOIN bad USING (project) WHERE bad.path IS NULL OR d.path < bad.path), "
+    "c AS (SELECT project, count(*) AS chunks FROM chunk WHERE doc IN (SELECT doc_id FROM use) GROUP BY project) SELECT p.project, coalesce(n, 0) AS files_seen, coalesce(n, 0) AS files_changed, CAST(0 AS BIGINT) AS files_deleted, coalesce(chunks, 0) AS chunks_upserted, "
+    "bad.path || ': doc_type must be one of [''adr'', ''api'', ''other'', ''readme'', ''runbook'', ''schema'']' AS error, CASE WHEN bad.path IS NULL THEN 'ok' ELSE 'failed' END AS status "
+    "FROM (SELECT DISTINCT project FROM d) p LEFT JOIN (SELECT project, count(*) AS n FROM use GROUP BY project) USING (project) LEFT JOIN c USING (project) LEFT JOIN bad USING (project)"
+)
 def ingest(spark, sf_dir):
     """A first run over the Markdown corpus with back-fill: counters and status of each project."""
     docs = samples.markdown(spark, sf_dir)
@@ -172,7 +207,7 @@ def ingest_projects(spark, sf_dir):
     return made.run.join(links, "project", "left").select("project", "files_seen", "files_changed", "files_deleted", "status", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@_register()
+@_register(f"WITH {_CHUNKED} SELECT count(*) AS chunks, CAST(min(n) AS INTEGER) AS shortest, quantile_cont(n, 0.5) AS median, avg(n) AS mean, CAST(max(n) AS INTEGER) AS longest, count(*) FILTER (n < 200) AS under_200 FROM chunk")
 def chunk_summary(spark, sf_dir):
     parsed = ing.parse_documents(samples.markdown(spark, sf_dir))
     return ing.chunk_summary(parsed.select(F.explode("chunks").alias("c")).select("c.*"))
