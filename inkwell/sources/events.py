@@ -37,6 +37,12 @@ def append_events(events: DataFrame, root: str, batch: int = 0) -> None:
     write_postings(event_postings(held), f"{root}/postings/batch={batch}", overwrite=True)
 
 
+def is_stored(spark: SparkSession, root: str) -> bool:
+    """Whether a whole batch is there: its postings are written last."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/postings/batch=0/_SUCCESS")
+    return bool(done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done))
+
+
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """All events, with the batch and segment that they are in."""
     return spark.read.parquet(f"{root}/segments")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,10 +65,10 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stores: dict[tuple[str, str, str], str] = {}
 
 
-def _store(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
-    """The folder of what a session stores once of a folder of tables, and whether it is new."""
+def _store(spark: SparkSession, sf_dir: str, name: str, made: Callable[[str], bool]) -> tuple[str, bool]:
+    """The folder of what a session stores once of a folder of tables, and whether it is to be filled (it may have been cleared)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    new = key not in _stores
+    new = key not in _stores or not made(_stores[key])
     if new:
         _stores[key] = f"{shared_folder(spark)}/{name}"
     return _stores[key], new
@@ -74,7 +76,7 @@ def _store(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
 
 def line_index(spark: SparkSession, sf_dir: str) -> str:
     """Documents and line chunks as a stored index, written at the session's first use of the tables."""
-    root, new = _store(spark, sf_dir, "index")
+    root, new = _store(spark, sf_dir, "index", lambda at: bool(index.versions(spark, at)))
     if new:
         docs = documents(spark, sf_dir)
         none = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], INDEXED).schema if f.name not in docs.columns}
@@ -86,7 +88,7 @@ def line_index(spark: SparkSession, sf_dir: str) -> str:
 
 def event_store(spark: SparkSession, sf_dir: str) -> str:
     """The events as a store, written at the session's first use of the table."""
-    root, new = _store(spark, sf_dir, "events")
+    root, new = _store(spark, sf_dir, "events", lambda at: stored_events.is_stored(spark, at))
     if new:
         stored_events.append_events(events(spark, sf_dir), root)
     return root

@@ -39,11 +39,11 @@ def test_runs_follow_a_plain_model(spark, tmp_path):
     """Random edits of a small tree, run after run into a stored index: its rows, counters and written rows are those of a dict."""
     rnd = random.Random(1)
     root, model = f"{tmp_path}/index", {}
-    for step in range(5):
+    for step in range(4):
         files = {p: t for p, t in model.items() if rnd.random() < 0.8}
         for _ in range(rnd.randrange(1, 4)):
             files[f"docs/{rnd.choice('abcdef')}/{rnd.choice('xyz')}.md"] = f"# Heading {rnd.randrange(9)}\n\ntext {rnd.randrange(3)}\n\n## Part\n\nmore\n"
-        broken = step == 3
+        broken = step == 2
         if broken:  # nothing is deleted, and files from the bad one on wait
             files["docs/c/bad.md"] = b"\xff"
         head, made = ing.ingest_into(root, *files_of(spark, files), f"{tmp_path}/runs")
@@ -69,7 +69,7 @@ def test_runs_follow_a_plain_model(spark, tmp_path):
         if step == 1:
             index.compact(spark, root)
     statuses = [r["status"] for r in ledger.latest_runs(spark.read.parquet(f"{tmp_path}/runs")).collect()]
-    assert sorted(statuses) == ["failed"] + ["ok"] * 4
+    assert sorted(statuses) == ["failed"] + ["ok"] * 3
 
 
 def test_documents_of_old_rules_are_rebuilt(spark):
@@ -341,7 +341,7 @@ def test_read_corpus_and_run_ledger(spark, tmp_path):
 
 def test_reached_by_brute_force(spark):
     rnd = random.Random(5)
-    for n, degree in ((30, 1), (60, 2), (40, 3)):
+    for n, degree in ((30, 1), (60, 2)):
         pairs = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(n * degree // 2)}
         edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
         seen, ahead = {0}, [0]
