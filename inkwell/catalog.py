@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.tokens import tokenize
 from .functions.validation import payload_error
 from .operators import audit, changes, ranking, stats
 from .plans import ingest as ing

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, clip, event_text, iso, search_text, strip
+from ..functions.text import blank_to_null, clip, iso, search_text, strip
 from ..functions.tokens import length_norm, parse_web_query, term_weight, tokenize
 from ..functions.validation import closed_set_error, project_error, query_error
 from ..operators.ranking import KEY, asked_terms, chunk_postings, fused, keyword_arm, sent, vector_arm
