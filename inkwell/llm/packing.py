@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, tidy, unit_hash, worker_held
+from .words import slices
 
 #: Tokens of a window, and the id that ends each document.
 LENGTH, END = 4096, 2
@@ -22,9 +25,12 @@ SHARD = 1 << 19
 BUCKETS = 4096
 #: BM25's parameters, terms of a query, and the share of a shard's documents beyond which a term is not indexed.
 K1, B, TERMS, COMMON = 1.2, 0.75, 32, 0.1
-#: Words whose ids a worker remembers, new words that are tokenized as one text, and texts looked at together.
-CACHE, TOGETHER, AT_ONCE = 400_000, 1000, 32
+#: Parts of words whose ids a worker remembers, new ones that are tokenized as one text, and bytes of texts looked at together.
+CACHE, TOGETHER, AT_ONCE = 500_000, 1000, 1 << 23
 
+#: What may follow a word's letters as one piece: ASCII marks but the apostrophe, which begins pieces like 's.
+_MARKS = "!-&(-/:-@\\[-`{-~"
+_MARK_LIST = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _ASCII_PIECES = re.compile(r"[a-zA-Z]+|[0-9]|[^a-zA-Z0-9]+")
 
 
@@ -37,67 +43,91 @@ def pieces_of(word: str) -> int:
     return 0
 
 
+def letters(words: pa.StringArray) -> pa.BooleanArray:
+    """Which words are one piece of letters."""
+    told = pc.and_not(pc.utf8_is_alpha(words), pc.match_substring(words, "\u0130"))
+    if not (text := "".join(pc.filter(words, told).to_pylist())).isalpha() and text:
+        told = pa.array([t and w.isalpha() for t, w in zip(told.to_pylist(), words.to_pylist(), strict=True)], pa.bool_())
+    return told
+
+
 class WordIds:
     """Token ids of texts by word: words are split at ASCII white space, which no token of the vocabulary crosses.
 
-    Ids equal those of the tokenizer over the whole text; each distinct word is tokenized once while remembered.
+    Ids equal those of the tokenizer over the whole text. Texts are looked at together: each distinct word of theirs once,
+    letters apart from marks behind them, and such a part is tokenized once while remembered.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For words of one piece each, the pattern that finds pieces is spared.
+        self.single.normalizer = normalizers.Lowercase()
+        self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known, self.ids = pa.array([""]), pa.array([b""])
         vocabulary = self.tokenizer.get_vocab()
         #: Whether an id ends a piece of a word: a run of letters, a digit or a run of other characters.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def tokenize(self, words: set[bytes]) -> None:
-        """Ids of new words into known: plain ones together, one text of TOGETHER words a call, odd ones each alone."""
-        known, plain, odd, marked = self.known, [], [], []
-        for w in words:
-            # A comma or full stop after a letter is a piece of its own.
-            if w[-1:] in (b",", b".") and (body := w[:-1]).isalpha():
-                marked.append((w, body))
-                w = body
-                if w in known or w in words:
-                    continue
-            text = w.decode()
-            (plain if (n := pieces_of(text)) else odd).append((w, text, n))
-        plain += [(w, w.decode(), 1) for w in (b",", b".") if w not in known and w not in words]
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        joined = self.tokenizer.encode_batch_fast([" ".join([t for _, t, _ in g]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, joined, strict=True):
+    def together(self, words: pa.StringArray, pieces: np.ndarray, by: object) -> pa.BinaryArray:
+        """Ids of words of so many pieces, one text of TOGETHER words a call; null where the pieces are others."""
+        out = [pa.array([], pa.binary())]
+        for k in range(0, len(words), TOGETHER):
+            own, last = words[k : k + TOGETHER], np.cumsum(pieces[k : k + TOGETHER])
+            text = " ".join(own.to_pylist())
+            e = (by if unicodedata.is_normalized("NFC", text) else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u2")  # raises for vocabularies beyond 65,536 ids
             stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([n for *_, n in group])
-            if len(stops) != last[-1] or stops[-1] != len(ids):
-                odd += group
-                continue
-            cut, raw = (stops[last - 1] * 2).tolist(), ids.tobytes()
-            known.update(zip([w for w, *_ in group], [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
-        for (w, *_), e in zip(odd, self.tokenizer.encode_batch([t for _, t, _ in odd], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-        for w, body in marked:
-            known[w] = known[body] + known[w[-1:]]
+            if len(stops) == last[-1] and stops[-1] == len(ids):
+                cut = np.append(0, stops[last - 1] * 2).astype(np.int32)
+                out.append(pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cut), pa.py_buffer(ids)]))
+            else:
+                out.append(pa.nulls(len(own), pa.binary()))
+        return pa.concat_arrays(out)
+
+    def tokenize(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of new parts of words: plain ones together, odd ones each alone."""
+        one = pc.or_(letters(words), pc.match_substring_regex(words, f"^[{_MARKS}]+$")).to_numpy(zero_copy_only=False)
+        pieces = np.ones(len(words), np.int64)
+        pieces[~one] = [pieces_of(w) for w in words.filter(pa.array(~one)).to_pylist()]
+        sorts = [np.flatnonzero(one), np.flatnonzero(~one & (pieces > 0)), np.flatnonzero(pieces == 0)]
+        plain = [self.together(words.take(pa.array(at)), pieces[at], by) for at, by in zip(sorts, (self.single, self.tokenizer), strict=False)]
+        ids = pa.concat_arrays([*plain, pa.nulls(len(sorts[2]), pa.binary())])
+        order = np.concatenate(sorts)
+        odd = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+        alone = self.tokenizer.encode_batch(words.take(pa.array(order[odd])).to_pylist(), add_special_tokens=False)
+        ids = pc.replace_with_mask(ids, ids.is_null(), pa.array([np.array(e.ids, "<u2").tobytes() for e in alone], pa.binary()))
+        return ids.take(pa.array(np.argsort(order)))
 
     def __call__(self, raws: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not raws:
+            return []
         # The vocabulary is lower case. Texts with combining marks or special tokens go as they are: case matters there.
-        texts = [(raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split() for raw in raws]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        found = [list(map(known.get, words)) for words in texts]  # one look a word: that is what takes the time
-        lacking = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
-        if new := {words[i] for words, gaps in zip(texts, lacking, strict=True) for i in gaps}:
-            self.tokenize(new)
-            for words, own, gaps in zip(texts, found, lacking, strict=True):
-                for i in gaps:
-                    own[i] = known[words[i]]
-        return [np.frombuffer(b"".join(own), "<u2") for own in found]
+        texts = [raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower() for raw in raws]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        flat = split.flatten().dictionary_encode()
+        words = flat.dictionary
+        bodies = pc.ascii_rtrim(words, characters=_MARK_LIST)
+        plain = letters(bodies)
+        marks = pc.struct_field(pc.extract_regex(words, f"(?P<marks>[{_MARKS}]*)$"), "marks")
+        parts = pa.concat_arrays([pc.if_else(plain, bodies, words), pc.if_else(plain, marks, "")]).dictionary_encode()
+        names, at = parts.dictionary, pc.index_in(parts.dictionary, value_set=self.known)
+        if at.null_count:
+            new = names.filter(at.is_null())
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, self.tokenize(new)])
+            at = pc.replace_with_mask(at, at.is_null(), pa.array(np.arange(len(self.known) - len(new), len(self.known)), pa.int32()))
+        own = self.ids.take(at)
+        if len(self.known) > CACHE:  # the words of these texts stay, so frequent ones do
+            self.known, self.ids = pa.concat_arrays([names, pa.array([""])]), pa.concat_arrays([own, pa.array([b""])])
+        spelt = pc.binary_join_element_wise(own.take(parts.indices[: len(words)]), own.take(parts.indices[len(words) :]), b"")
+        ids = spelt.take(flat.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[split.offsets.to_numpy()] // 2
+        found = np.frombuffer(ids.buffers()[2] or b"", "<u2", ends[-1])
+        return [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def word_ids(path: str) -> WordIds:
@@ -126,10 +156,9 @@ def _windows(docs: DataFrame, path: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, AT_ONCE)):
             take, rows = [], []
-            raws = [raw or b"" for raw in batch.column(1).to_pylist()]
-            for r, ids in ((k + i, ids) for k in range(0, len(raws), AT_ONCE) for i, ids in enumerate(encode(raws[k : k + AT_ONCE]))):
+            for r, ids in enumerate(encode([raw or b"" for raw in batch.column(1).to_pylist()])):
                 ids = np.append(ids, np.uint16(END))
                 bucket = content_bucket(ids)
                 for start in range(0, len(ids), LENGTH):

@@ -153,6 +153,22 @@ def test_word_ids_equal_the_tokenizer():
         assert whole.encode(t, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_words_with_marks_share_their_letters_ids(monkeypatch):
+    """A word is tokenized once, whatever marks follow it and however often it stands in the texts looked at together."""
+    from tokenizers import Tokenizer
+
+    path = packing._vocabulary()
+    whole, own = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = [" zebra zebra. zebra*** Größe größe, größe&&&\tdon't don't. x9. ", "größe*** zebra, <|x|> İx İx."]
+    told = lambda: [ids.tolist() for ids in own([t.encode() for t in texts])]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert told() == want
+    known = own.known.to_pylist()
+    assert {"zebra", "größe", ".", ",", "***"} < set(known) and not any(w.startswith("zebra") and w != "zebra" for w in known) and len(known) == len(set(known))
+    monkeypatch.setattr(packing, "CACHE", 3)
+    assert told() == want and told() == want
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
