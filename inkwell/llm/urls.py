@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, salted_join
+from .common import durable, salted_join, stored
 
 #: (verdict, host, path), as the query applies them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -78,13 +78,15 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     """
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     tree = urls.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.count(F.when(F.col("bad"), 1)).alias("bad"))
-    tree = durable(tree.withColumn("template", F.lit("")))
+    # A checkpoint keeps its plan's estimated size, which joins multiply: its digits would double with every level. A table
+    # that is read again has its own.
+    tree = stored(tree.withColumn("template", F.lit("")), "urls-tree")
     depth = tree.agg(F.max(F.size("segments"))).head()[0] or 0
     i = 0
     while i < depth:
         if i >= RUNS and (run := _run_length(tree, i, depth)):
             further = F.array_join(F.slice("segments", i + 1, run), "/")
-            tree = durable(tree.withColumn("template", F.when(F.size("segments") > i, F.concat_ws("/", "template", further)).otherwise(F.col("template"))))
+            tree = stored(tree.withColumn("template", F.when(F.size("segments") > i, F.concat_ws("/", "template", further)).otherwise(F.col("template"))), "urls-tree")
             i += run
             continue
         s = F.when(F.size("segments") > i, F.get("segments", F.lit(i)))
@@ -118,7 +120,7 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
         name = F.when(F.col("s") == "", "").when(rare, "*").when(merged, "~").otherwise(F.col("s"))
         named = facts.select("host", "template", "s", F.concat("template", F.lit("/"), name).alias("__next"))
         rows = salted_join(tree.withColumn("s", s), named, ["host", "template", "s"], F.xxhash64("segments"), SALTS)
-        tree = durable(rows.withColumn("template", F.coalesce("__next", "template")).drop("s", "__next"))
+        tree = stored(rows.withColumn("template", F.coalesce("__next", "template")).drop("s", "__next"), "urls-tree")
         i += 1
     over = tree.groupBy("segments").agg(F.sum("labelled").alias("o_labelled"), F.sum("bad").alias("o_bad"))
     total = salted_join(tree, over, ["segments"], F.xxhash64("host"), SALTS).groupBy("host", "template")

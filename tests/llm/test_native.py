@@ -61,6 +61,18 @@ def test_paths_of_a_thousand_segments(spark, monkeypatch):
     assert out[1] == f"/{words(1000, 's')}" and out[2] == out[1] + "/end" and out[3] == f"/{words(500, 's')}/own" and len(steps) < 45
 
 
+def test_estimates_of_deep_trees_stay_small(spark):
+    """The planner's estimate of the result's size doesn't grow with the number of levels that fork."""
+    estimates = []
+    for depth in (2, 5):
+        paths = ["/".join(f"{'x' if i < fork else 'y'}{chr(97 + i)}" for i in range(fork + 1)) for fork in range(depth)]
+        pages = spark.createDataFrame([(i, f"http://h.org/{p}") for i, p in enumerate(paths)], "page_id bigint, url string")
+        facts = urls.template_verdicts(pages.select(urls.host_and_path(F.col("url"))[0].alias("host"), urls.segments(urls.host_and_path(F.col("url"))[1]).alias("segments"), F.lit(None).cast("boolean").alias("bad")))
+        assert facts.count() == depth
+        estimates.append(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+    assert estimates[1] < estimates[0] + 64
+
+
 def test_labels_reach_urls_without_a_rule(spark):
     rows = [(f"h{h}.example.{top}", f"/{lang}/{n}") for h in range(6) for top in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in range(100, 110)]
     rows += [("deep.example.org", "/de/" + "/".join(f"x{i}" for i in range(2)) + f"/{n}") for n in range(40)] + [("other.test", "/news/1")]
