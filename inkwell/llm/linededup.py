@@ -23,7 +23,6 @@ SENTENCE = 8
 #: each, whatever the input; the joins behind them are exact).
 FILTER = 1 << 24
 _DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Za-z\x80-\xff]")
-_STOP = re.compile(rb"(?<=[.!?]) ")
 _UNEVEN = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c", b" \n", b"\n ")
 _PIECE = re.compile(rb".*?[.!?]+[\x20\t\x0b-\r]+|.+")
 _SPACE = b" \t\x0b\x0c\r"
@@ -31,7 +30,7 @@ _SPACE = b" \t\x0b\x0c\r"
 
 def sentences(line: bytes) -> list[bytes]:
     """The sentences of a line whose tokens are divided by single blanks: each ends with a token that ends with . ! or ?."""
-    return _STOP.split(line)
+    return line.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n").split(b"\n")
 
 
 def masked(words: bytes) -> bytes:
@@ -39,29 +38,40 @@ def masked(words: bytes) -> bytes:
     return b" ".join(b"<*>" if _DIGIT.search(w) else w for w in words.split(b" ")) if _DIGIT.search(words) else words
 
 
-def units(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Number and masked tokens, divided by blanks, of every line and every long enough sentence of lines with several.
+def evened(text: bytes) -> bytes:
+    """The text with its lines' tokens divided by single blanks."""
+    if text[:1] != b" " and text[-1:] != b" " and not any(x in text for x in _UNEVEN):
+        return text
+    return b"\n".join([b" ".join(line.split()) for line in text.split(b"\n")])
 
-    A line is numbered before its sentences. What has no letter outside masked tokens is no unit, but has its number.
-    """
+
+def _cuts(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """The units of an evened text: number, where it starts in the text, its length there, and its masked tokens."""
     digits = _DIGIT.search(text) is not None
-    even = not any(x in text for x in _UNEVEN) and text[:1] != b" " and text[-1:] != b" "
-    letter, no = _LETTER.search, 0
+    letter, no, start = _LETTER.search, 0, 0
     for line in text.split(b"\n"):
-        if not even:
-            line = b" ".join(line.split())
-        parts = sentences(line)
-        if digits:
-            parts = [masked(p) for p in parts]
-            line = b" ".join(parts)
-        if letter(line):
-            yield no, line
+        own = masked(line) if digits else line
+        if letter(own):
+            yield no, start, len(line), own
         no += 1
-        if len(parts) > 1:
+        if b". " in line or b"! " in line or b"? " in line:
+            at, parts = start, sentences(line)
             for k, part in enumerate(parts, no):
-                if part.count(b" ") >= SENTENCE - 1 and letter(part):
-                    yield k, part
+                if part.count(b" ") >= SENTENCE - 1:
+                    own = masked(part) if digits else part
+                    if letter(own):
+                        yield k, at, len(part), own
+                at += len(part) + 1
             no += len(parts)
+        start += len(line) + 1
+
+
+def units(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Number and masked tokens, divided by blanks, of every line and every long enough sentence of lines with several.
+
+    A line is numbered before its sentences. What has no letter outside masked tokens is no unit, but has its number.
+    """
+    return ((no, own) for no, _, _, own in _cuts(evened(text)))
 
 
 def leaf_of(unit: bytes) -> int:
@@ -70,9 +80,12 @@ def leaf_of(unit: bytes) -> int:
     So short lines share a leaf by three tokens or fewer, and long ones seldom share one by chance, however many there are.
     """
     n = unit.count(b" ") + 1
-    depth = n.bit_length()
-    *lead, rest = unit.split(b" ", depth)
-    return xxhash.xxh64_intdigest(b"%d " % n + (unit[: -len(rest) - 1] if len(lead) == depth else unit))
+    depth, end = n.bit_length(), -1
+    if depth < n:
+        for _ in range(depth):
+            end = unit.find(b" ", end + 1)
+        unit = unit[:end]
+    return xxhash.xxh64_intdigest(b"%d " % n + unit)
 
 
 def _longs(values: list[int]) -> pa.Array:
@@ -80,20 +93,29 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """doc, key, and the numbers, hashes and leaves of all units of docs (doc, key, raw), as lists."""
+    """doc, key, and the numbers, hashes, leaves, places and lengths of all units of docs (doc, key, raw), as lists; even.
+
+    even is the text in which the places are, so that units needn't be looked for again.
+    """
     shape = docs.select("doc", "key").schema.add("no", ArrayType(IntegerType())).add("line", ArrayType(LongType())).add("leaf", ArrayType(LongType()))
+    shape = shape.add("at", ArrayType(IntegerType())).add("size", ArrayType(IntegerType())).add("even", "binary")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            no, line, leaf, ends = [], [], [], [0]
+            no, line, leaf, at, size, even, ends = [], [], [], [], [], [], [0]
             for raw in batch.column(2).to_pylist():
-                for i, own in units(raw or b""):
+                text = evened(raw or b"")
+                for i, start, length, own in _cuts(text):
                     no.append(i)
+                    at.append(start)
+                    size.append(length)
                     line.append(xxhash.xxh64_intdigest(own))
                     leaf.append(leaf_of(own))
+                even.append(text)
                 ends.append(len(no))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(no, pa.int32()), _longs(line), _longs(leaf))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=shape.names)
+            values = (pa.array(no, pa.int32()), _longs(line), _longs(leaf), pa.array(at, pa.int32()), pa.array(size, pa.int32()))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(even, pa.binary())], names=shape.names)
 
     return docs.mapInArrow(tidy(task), shape)
 
@@ -113,28 +135,32 @@ def _found_in(held: DataFrame, bits: np.ndarray) -> DataFrame:
     return held.select("doc", "key", "no", "line").mapInArrow(tidy(task), "doc bigint, key bigint, no int, line bigint")
 
 
-def _tokens_in(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """line, leaf, tokens (hashes, null for <*>) of the units of docs (raw) whose leaf's bit is set; mostly once a task."""
+def _tokens_in(held: DataFrame, bits: np.ndarray) -> DataFrame:
+    """line, leaf, tokens (hashes, null for <*>) of the units of _units whose leaf's bit is set; mostly once a task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            line, leaf, tokens, ends = [], [], [], [0]
-            for raw in batch.column(0).to_pylist():
-                for _, own in units(raw or b""):
-                    h = leaf_of(own)
-                    if bits[h % FILTER >> 3] >> (h & 7) & 1 and (name := xxhash.xxh64_intdigest(own)) not in seen:
-                        seen.add(name)
-                        line.append(name)
-                        leaf.append(h)
-                        tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own.split(b" ")]
-                        ends.append(len(tokens))
+            lines, leaves, starts, sizes = [batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(4)]
+            slot = leaves.view(np.uint64) % np.uint64(FILTER)
+            set_at = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            set_at = set_at[np.unique(lines[set_at], return_index=True)[1]]
+            row = np.repeat(np.arange(len(batch)), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))[set_at]
+            at, tokens, ends, texts = [], [], [0], batch.column(4)
+            for k, name, r, start, size in zip(set_at.tolist(), lines[set_at].tolist(), row.tolist(), starts[set_at].tolist(), sizes[set_at].tolist(), strict=True):
+                if name not in seen:
+                    seen.add(name)
+                    at.append(k)
+                    own = masked(texts[r].as_buffer()[start : start + size].to_pybytes())
+                    tokens += [None if t == b"<*>" else xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in own.split(b" ")]
+                    ends.append(len(tokens))
             if len(seen) > 100_000:
                 seen.clear()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int64()))
-            yield pa.RecordBatch.from_arrays([_longs(line), _longs(leaf), lists], names=["line", "leaf", "tokens"])
+            chosen = np.array(at, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lines[chosen]), pa.array(leaves[chosen]), lists], names=["line", "leaf", "tokens"])
 
-    return docs.mapInArrow(tidy(task), "line bigint, leaf bigint, tokens array<bigint>")
+    return held.select("line", "leaf", "at", "size", "even").mapInArrow(tidy(task), "line bigint, leaf bigint, tokens array<bigint>")
 
 
 def _filter_of(rows: DataFrame, column: str) -> np.ndarray:
@@ -159,10 +185,10 @@ def _where_set(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(tidy(task), rows.schema)
 
 
-def recurring_lines(docs: DataFrame, held: DataFrame) -> DataFrame:
+def recurring_lines(held: DataFrame) -> DataFrame:
     """line, first: for each unit of a template that recurs across documents the first document that has it.
 
-    docs: doc, key, raw; held: their units (_units). A leaf (leaf_of) holds the units of one token count and the same leading tokens. In a leaf of several
+    held: the documents' units (_units). A leaf (leaf_of) holds the units of one token count and the same leading tokens. In a leaf of several
     documents, what stands at a position in two or more of them is constant, anything else a variable field, as are
     tokens with a digit. A template is its constants and the places of its fields; it counts where enough positions are
     constant. All sums are over distinct units and combine before the shuffle, so a leaf or unit of any size is dealt
@@ -175,7 +201,7 @@ def recurring_lines(docs: DataFrame, held: DataFrame) -> DataFrame:
     distinct = stored(distinct, "lines-distinct")
     leaves = stored(distinct.groupBy("leaf").agg(*span, F.count(F.lit(1)).alias("n")).filter(several & (F.col("n") > 1)).select("leaf"), "lines-leaves")
     bits = _filter_of(leaves, "leaf")
-    tokens = _tokens_in(docs.select("raw"), bits).drop("leaf").dropDuplicates(["line"])
+    tokens = _tokens_in(held, bits).drop("leaf").dropDuplicates(["line"])
     shared = _where_set(distinct, "leaf", bits).join(leaves, "leaf", "left_semi")
     rows = stored(shared.join(tokens, "line"), "lines-shared")
     at = rows.select("line", "lo", "hi", F.posexplode("tokens").alias("at", "token"), "leaf").withColumn("value", F.when(F.col("token").isNotNull(), F.xxhash64("leaf", "at", "token")))
@@ -245,8 +271,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     keep = [c for c in docs.columns if c not in added]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.xxhash64(ident, F.col(text)).alias("doc"), ident.alias("key"), F.col(text).cast("binary").alias("raw"))
-    held = stored(_units(rows), "lines-units")  # a seventh of the texts; reading those again costs more
-    found = recurring_lines(rows, held)
+    held = stored(_units(rows), "lines-units")
+    found = recurring_lines(held)
     gone = _found_in(held, _filter_of(found, "line")).join(found, "line").filter(F.col("key") != F.col("first"))
     # The same lines of one document, or of rows repeated, come once.
     gone = gone.groupBy("doc").agg(F.collect_set("no").alias("__gone"))

@@ -139,6 +139,15 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in html_text.extracted(pages).collect()} == {"Only text"}
 
 
+def test_units_are_found_again_by_their_places(spark):
+    """What is compared token by token is cut from the stored text, which isn't parsed a second time."""
+    texts = ["one  two\tx9 three.\n\n ends here", "a b c d e f g h. i j k l m n o p 5! q\nnext é line", "", None]
+    rows = spark.createDataFrame([(i, i, t.encode() if t is not None else None) for i, t in enumerate(texts)], "doc bigint, key bigint, raw binary")
+    for r in linededup._units(rows).collect():
+        found = [(no, linededup.masked(bytes(r["even"])[at : at + size])) for no, at, size in zip(r["no"], r["at"], r["size"], strict=True)]
+        assert found == list(linededup.units((texts[r["doc"]] or "").encode()))
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
