@@ -69,7 +69,7 @@ def test_estimates_of_deep_trees_stay_small(spark):
         pages = spark.createDataFrame([(i, f"http://h.org/{p}") for i, p in enumerate(paths)], "page_id bigint, url string")
         facts = urls.template_verdicts(pages.select(urls.host_and_path(F.col("url"))[0].alias("host"), urls.segments(urls.host_and_path(F.col("url"))[1]).alias("segments"), F.lit(None).cast("boolean").alias("bad")))
         assert facts.count() == depth
-        estimates.append(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+        estimates.append(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
     assert estimates[1] < estimates[0] + 64
 
 
