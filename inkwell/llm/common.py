@@ -81,6 +81,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_count(df: DataFrame, name: str, such: Column | None = None) -> tuple[DataFrame, int]:
+    """stored(df, name), and how many of its rows are `such`, counted on the way; after a lost executor it may be more.
+
+    For tables that loops join again and again: a checkpoint keeps its plan's estimated size, which joins multiply, so its
+    digits would double with every turn and fill the driver. A table that is read again has its own.
+    """
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1) if such is None else F.when(such, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def salted_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
     """rows left-joined with facts (one row a key), null keys equal, a hot key dealt over `salts` partitions.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import durable_count, stored, tidy
+from .common import stored, stored_count, tidy
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
@@ -102,7 +102,7 @@ def _class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _held(rows: DataFrame) -> tuple[DataFrame, int]:
     """rows, computed once and read again in parts of some SENT rows, and their number."""
-    out, n = durable_count(rows)
+    out, n = stored_count(rows, "neardup-held")
     return out.coalesce(1 + n // SENT), n
 
 
@@ -168,7 +168,7 @@ class Labels:
             more = 1
             while more:  # each pass doubles how far a hook reaches, until all end at roots that aren't hooked
                 further = hook.join(_sent(hook.toDF("to", "next"), n), "to", "left").select("a", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more"))
-                further, more = durable_count(further, F.col("more"))
+                further, more = stored_count(further, "neardup-hooks", F.col("more"))
                 hook = further.select("a", "to").coalesce(1 + n // SENT)
             known = labels.join(_sent(hook.select(F.col("a").alias("node")), n), "node", "left_semi").select(F.col("node").alias("a"))
             fresh = hook.join(_sent(known, n), "a", "left_anti").toDF("node", "root")

@@ -341,6 +341,17 @@ def test_chain_of_components(spark, monkeypatch):
         assert {len(v | {k}) for k, v in groups.items()} == {21, 2}
 
 
+def test_estimates_of_long_chains_stay_small(spark):
+    """The planner's estimate of the labels' size doesn't grow with the passes that a chain takes."""
+    estimates = []
+    for n in (2, 64):
+        edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)], "a binary, b binary")
+        labels = neardup.Labels(spark.createDataFrame([], "node binary, root binary")).merged(edges, n)
+        assert sorted((bytes(r["node"]), bytes(r["root"])) for r in labels.rows.collect()) == [(bytes([i + 1]), b"\0") for i in range(n)]
+        estimates.append(labels.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+    assert estimates[1] < estimates[0] + 64
+
+
 # --- media ---------------------------------------------------------------------------------------------------------
 
 
